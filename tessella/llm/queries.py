@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_formatting, url_filters
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, chat_formatting, packing, url_filters
 from tessella.llm.common import table
 
 URL_RULES = [
@@ -18,6 +20,41 @@ URL_RULES = [
 ]
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; workers find it at the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    decoded = bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.joined_ids("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def pieces_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=1))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.format_conversations(table(spark, sf_dir, "conversations"))
 
@@ -51,6 +88,8 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
 }
