@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_formatting, packing, url_filters
-from tessella.llm.common import table
+from tessella.llm import bpe, chat_formatting, media, packing, url_filters, warc
+from tessella.llm.common import cut, table
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -39,6 +39,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = cut(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))))
+    resolved = warc.resolve_revisits(cut(warc.read_archives(archives)))
+    return resolved.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_samples(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
+    sniffed = media.sniff(stored.withColumn("declared", F.lit("image/png")), "media", "declared")
+    back = media.read_samples(sniffed).withColumn("tail", media.tail("samples"))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32("tail").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def pieces_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id",
@@ -68,6 +90,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+""",
     "op8_chat_formatting": chat_formatting.ORACLE_SQL,
     "op10_url_filters": f"""
 WITH rest AS (
@@ -89,6 +120,8 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
+    "op4_media": op4_media,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
