@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_formatting, media, packing, url_filters, warc
+from tessella.llm import bpe, chat_formatting, media, packing, substring_dedup, url_filters, warc
 from tessella.llm.common import cut, table
 
 URL_RULES = [
@@ -61,6 +61,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pieces_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id",
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_media": op4_media,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
