@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_formatting, media, packing, substring_dedup, url_filters, warc
+from tessella.llm import bpe, chat_formatting, media, near_dedup, packing, substring_dedup, url_filters, warc
 from tessella.llm.common import cut, table
 
 URL_RULES = [
@@ -27,6 +27,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold_percent=85)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -123,6 +127,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_media": op4_media,
