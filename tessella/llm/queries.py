@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_formatting, media, near_dedup, packing, substring_dedup, url_filters, warc
+from tessella.llm import ann, bpe, chat_formatting, media, near_dedup, packing, quality, substring_dedup, url_filters, warc
 from tessella.llm.common import cut, table
 
 URL_RULES = [
@@ -69,6 +69,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's site is its source, the path below it the part in one language."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def pieces_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id",
@@ -132,6 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_media": op4_media,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality": op6_quality,
+    "op7_ann": op7_ann,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
