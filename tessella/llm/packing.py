@@ -13,30 +13,35 @@ rows are packed each; other columns are left out.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.bpe import byte_characters
 from tessella.llm.common import column_buffers, cut, slices
 
-#: Entries after which a worker empties its cache; it bounds memory, not results.
-CACHE_ENTRIES = 500_000
 SLICE_BYTES = 4 << 20
-#: Texts in which words can't be told apart at single spaces: white space next to white space, or other white space.
-UNEVEN = regex.compile(r"[\t-\r \x1c-\x1f\x85\xa0  -     　]{2}|[\x1c-\x1f\x85\xa0  -     　]")
+#: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PIECES = "doc_id long, doc_tokens long, start long, ids binary, window long, offset long, open boolean"
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE tokenizer file, kept by word: in evenly spaced text a space belongs to the word after it."""
+    """Ids of a byte-level BPE tokenizer file, by tiktoken from the file's own vocabulary.
+
+    In such a file a token's id grows with its merge's rank, which loading checks, so
+    ids serve as ranks. Texts that hold a special token's string go to the tokenizers
+    library itself.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # read when the library loads
@@ -46,32 +51,21 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pieces, model = spec["pre_tokenizer"], spec["model"]
+        plain = pieces["type"] == "ByteLevel" and pieces.get("use_regex", True) and not pieces["add_prefix_space"] and not spec["normalizer"]
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if not plain or model.get("ignore_merges") or merged != sorted(merged) or merged and merged[0] < 256:
+            raise ValueError("not a plain byte-level vocabulary in the order of its merges")
+        byte = {c: b for b, c in byte_characters().items()}
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        uneven = [i for i, t in enumerate(texts) if UNEVEN.search(t) or any(s in t for s in self.special)]
-        for i, ids in zip(uneven, self.plain([texts[i] for i in uneven]), strict=True):
-            out[i] = ids
-        even = sorted(set(range(len(texts))) - set(uneven))
-        parts = {i: texts[i].split(" ") for i in even}
-        new: set[str] = set()
-        for p in parts.values():
-            new |= set(p).difference(self.words)
-        if new and len(self.words) + len(new) > CACHE_ENTRIES:
-            self.words.clear()
-            new = {w for p in parts.values() for w in p}
-        words = list(new)
-        self.words.update(zip(words, self.plain([" " + w for w in words]), strict=True))
-        firsts = self.plain([parts[i][0] for i in even])
-        get = self.words.__getitem__
-        for i, first in zip(even, firsts, strict=True):
-            out[i] = first + b"".join(map(get, parts[i][1:]))
-        return out
+        own = self.fast.encode_ordinary
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if any(s in t for s in self.special) else own(t), "<u4").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
