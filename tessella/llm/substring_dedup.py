@@ -7,12 +7,13 @@ only there (6 of 31 positions) misses no match. Anchors that several documents s
 are extended to the windows around them; a window that also starts in a document with
 a smaller id is removed.
 
-Exact copies are settled first: of texts that occur again only the smallest id takes
-part, and the others lose all words if they have a window at all. Nothing here pairs
-documents: anchors and windows are met by hash aggregates and equi-joins, which split
-hot keys.
+Anchors are counted by text, so exact copies nominate nothing. Of texts that occur
+again only the smallest id's windows are compared, and the others lose all words if they
+have a window at all. Nothing here pairs documents: anchors and windows are met by hash
+aggregates and equi-joins, which split hot keys. Texts move twice: to the places that
+are nominated, and to the words that go.
 
-Windows are compared by 128-bit hashes. Defined cases: a null text has no words; a row
+Windows are compared by 128-bit hashes, texts by 64-bit ones (128 bits for copies). Defined cases: a null text has no words; a row
 with a null id keeps all words and removes none elsewhere; rows that repeat an id are
 judged each, and don't remove each other's words; an empty table gives an empty result.
 """
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import column_buffers, slices
+from tessella.llm.common import column_buffers, cut, slices
 from tessella.llm.textscan import run_hashes, word_hashes, words_of
 
 SLICE_BYTES = 2 << 20
 #: Perfect difference covers (fixed values): period and cover.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
-ANCHORS = "doc_id long, text_key long, hash long, pos int"
+ANCHORS = "text_key long, hash long, pos int"
 WINDOWS = "doc_id long, text_key long, h0 long, h1 long, pos int"
 
 
@@ -58,8 +59,8 @@ def _anchors(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_buffers(batch.column(2))
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = column_buffers(batch.column(1))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets, SLICE_BYTES):
                 part = data[offsets[i] : offsets[j]]
                 starts, ends, before = words_of(part, offsets[i : j + 1] - offsets[i])
@@ -72,8 +73,8 @@ def _anchors(window: int):
                     continue
                 hashes = run_hashes(word_hashes(part, starts, ends), length)[before[row] + place].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + row]), pa.array(keys[i + row]), pa.array(hashes), pa.array(place.astype(np.int32))],
-                    ["doc_id", "text_key", "hash", "pos"],
+                    [pa.array(keys[i + row]), pa.array(hashes), pa.array(place.astype(np.int32))],
+                    ["text_key", "hash", "pos"],
                 )
 
     return run
@@ -151,22 +152,24 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_key"))
     keyed = rows.where(F.col("_doc").isNotNull() & F.col(text_col).isNotNull())
 
-    texts = keyed.select("_doc", "_key", F.md5(F.col(text_col).cast("binary")).alias("whole"), F.octet_length(text_col).alias("size"))
-    first = texts.groupBy("whole", "size").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
-    copies = texts.join(first, ["whole", "size"]).where("_doc > first").select("_doc", "_key").distinct()
+    ids = keyed.select("_doc", "_key", F.xxhash64(F.lit(1), F.col(text_col)).alias("_key2"))
+    first = ids.groupBy("_key", "_key2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
+    copies = cut(ids.join(first.where("first < last"), ["_key", "_key2"]).where("_doc > first").select("_doc", "_key").distinct())
 
-    text = keyed.select("_doc", "_key", text_col).join(copies.hint("shuffle_hash"), ["_doc", "_key"], "left_anti")
-    anchors = text.mapInArrow(_anchors(window), ANCHORS)
-    shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash")
-    spots = anchors.join(shared, "hash").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("spots"))
-    near = text.join(spots.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "spots").hint("shuffle_hash"), ["_doc", "_key"])
+    anchors = keyed.select("_key", text_col).mapInArrow(_anchors(window), ANCHORS)
+    shared = cut(anchors.groupBy("hash").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least < most").select("hash"))
+    spots = anchors.join(shared, "hash").groupBy(F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("spots"))
+    spots = cut(spots.join(first.groupBy("_key").agg(F.min("first").alias("_doc")), "_key").select("_doc", "_key", "spots"))
+    near = keyed.select("_doc", "_key", text_col).join(spots.hint("shuffle_hash"), ["_doc", "_key"])
 
     windows = near.select("_doc", "_key", text_col, "spots").mapInArrow(_windows(window), WINDOWS)
     smallest = windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h0", "h1", "first")
     gone = windows.join(smallest, ["h0", "h1"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_spots"))
 
-    marks = gone.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_spots", F.lit(False).alias("_copy")).unionByName(
-        copies.select("_doc", "_key", F.lit(None).cast("array<int>").alias("_spots"), F.lit(True).alias("_copy"))
+    marks = cut(
+        gone.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_spots", F.lit(False).alias("_copy")).unionByName(
+            copies.select("_doc", "_key", F.lit(None).cast("array<int>").alias("_spots"), F.lit(True).alias("_copy"))
+        )
     )
     marked = rows.join(marks.hint("shuffle_hash"), ["_doc", "_key"], "left").drop("_doc", "_key")
     schema = T.StructType([docs.schema[c] for c in names]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
