@@ -1,10 +1,11 @@
 """MinHash near-duplicate detection with banded candidates and odd sketches.
 
-A text's set is its distinct word shingles. Texts with equal sets form one node. Each
-node has MinHash samples; bands of them put nodes that may be similar into buckets. An
-odd sketch folds all samples into a parity bitmap: the population count of two
-bitmaps' exclusive or estimates their similarity and discards candidates that are far
-below the threshold. What is left is confirmed on the full shingle sets.
+A text's set is its distinct word shingles. Rows with equal sets are one node, named by
+their smallest id. Each node has MinHash samples; bands of them put nodes that may be
+similar into buckets. An odd sketch folds all samples into a parity bitmap: the
+population count of two bitmaps' exclusive or estimates their similarity and discards
+candidates that are far below the threshold. What is left is confirmed on the full
+shingle sets.
 
 No bucket is paired out. In a round each bucket compares its members with pivots (in
 the first round its smallest node, then up to PIVOT_SLOTS of those outside the bucket's
@@ -14,9 +15,8 @@ pivot are in one component, so no link between components is lost.
 
 Defined cases: texts without words (null or empty) have an empty set and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one shingle;
-rows with a null id are kept and are linked with nothing; rows that repeat an id and
-text are returned each, and rows with one id and several texts are judged by text; an
-empty table gives an empty result.
+rows with a null id are kept and are linked with nothing; rows that repeat an id are
+one vertex, which has the links of all their texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +34,15 @@ from tessella.llm.components import connected
 from tessella.llm.textscan import U, lowered, mix, run_hashes, word_hashes, words_of
 
 SLICE_BYTES = 1 << 20
-ROWS_PER_BAND = 5
+ROWS_PER_BAND = 6
 #: Share of links at the threshold that banding and sketches may miss.
 MISS = 1e-6
 SKETCH_WORDS = 4
-PIVOT_SLOTS = 16
+PIVOT_SLOTS = 64
+#: Ids up to which the rows wanted for a comparison are picked by a broadcast (of 8 bytes an id), and not by a shuffle.
+BROADCAST_IDS = 500_000
 
-SIGNED = "doc_id long, n_shingles long, node binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SIGNED = "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -80,21 +82,22 @@ def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(sets) if sets else hashes, np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int64)
 
 
-def node_keys(sets: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
-    """A 128-bit key of each row's set; None for an empty one."""
+def set_keys(sets: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """A 128-bit key of each row's set, in two columns; null for an empty one."""
     size = np.diff(bounds)
     full = np.flatnonzero(size)
-    out: list[bytes | None] = [None] * len(size)
-    if len(full):
-        lanes = [np.add.reduceat(mix(sets ^ s), bounds[full]) for s in (U(0x243F6A8885A308D3), U(0x13198A2E03707344))]
-        keys = np.stack(lanes, axis=1)
-        for k, r in enumerate(full.tolist()):
-            out[r] = keys[k].astype(">u8").tobytes()
+    out = []
+    for salt in (U(0x243F6A8885A308D3), U(0x13198A2E03707344)):
+        lane = np.zeros(len(size), U)
+        if len(full):
+            lane[full] = np.add.reduceat(mix(sets ^ salt), bounds[full])
+        out.append(pa.array(lane.view(np.int64), mask=size == 0))
     return out
 
 
 def _sign(words: int, bands: int, rows: int):
-    salts = mix(np.arange(1, bands * rows + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    # sets hold mixed hashes, so their products with odd numbers are samples of permutations
+    salts = mix(np.arange(1, bands * rows + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +108,10 @@ def _sign(words: int, bands: int, rows: int):
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
                 lowest = np.zeros((len(salts), j - i), U)
-                for k, salt in enumerate(salts):
-                    x = (sets ^ salt) * U(0xD6E8FEB86659FD93)
-                    x ^= x >> U(32)
-                    if len(full):
-                        lowest[k, full] = np.minimum.reduceat(x * U(0xD6E8FEB86659FD93), bounds[full])
+                product = np.empty_like(sets)
+                for k, salt in enumerate(salts if len(full) else ()):
+                    np.multiply(sets, salt, out=product)
+                    lowest[k, full] = np.minimum.reduceat(product, bounds[full])
                 sketch = np.zeros((j - i, SKETCH_WORDS), U)
                 spots = mix(lowest + salts[:, None]) >> U(56)  # one of 256 bits for each sample
                 for k in range(len(salts)):
@@ -122,7 +124,7 @@ def _sign(words: int, bands: int, rows: int):
                     keys[:, b] = h
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size), pa.array(node_keys(sets, bounds), pa.binary()), lists, *(pa.array(sketch[:, w].copy().view(np.int64)) for w in range(SKETCH_WORDS))],
+                    [batch.column(0).slice(i, j - i), pa.array(size), *set_keys(sets, bounds), lists, *(pa.array(sketch[:, w].copy().view(np.int64)) for w in range(SKETCH_WORDS))],
                     [x.split()[0] for x in SIGNED.split(", ")],
                 )
 
@@ -131,38 +133,29 @@ def _sign(words: int, bands: int, rows: int):
 
 def _confirm(words: int, threshold_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, np.ndarray] = {}
+        kept: dict[str, np.ndarray] = {}
         held = [0]
 
-        def sets(column: pa.Array, nodes: list[bytes]) -> list[np.ndarray | None]:
-            """The full set of each text, checked against its node's key; hot pivots come again and again."""
-            out: list[np.ndarray | None] = []
-            for k, node in enumerate(nodes):
-                if node not in kept:
-                    data, offsets = column_buffers(column.slice(k, 1))
-                    own, bounds = distinct_sets(*shingle_hashes(data, offsets, words))
-                    if node_keys(own, bounds)[0] != node:
-                        out.append(None)
-                        continue
-                    held[0] += len(own)
-                    if held[0] > 4 << 20:  # hashes held
-                        kept.clear()
-                        held[0] = len(own)
-                    kept[node] = own
-                out.append(kept[node])
-            return out
+        def full_set(text: str) -> np.ndarray:
+            """The set of a text; hot pivots come again and again."""
+            if text not in kept:
+                data = np.frombuffer(text.encode(), np.uint8)
+                own, _ = distinct_sets(*shingle_hashes(data, np.array([0, len(data)]), words))
+                held[0] += len(own) + len(text) // 8
+                if held[0] > 4 << 20:  # hashes held
+                    kept.clear()
+                    held[0] = len(own) + len(text) // 8
+                kept[text] = own
+            return kept[text]
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            for k in range(len(a)):
-                x, y = sets(batch.column(2).slice(k, 1), a[k : k + 1])[0], sets(batch.column(3).slice(k, 1), b[k : k + 1])[0]
-                if x is None or y is None:
-                    continue
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = full_set(a.as_py()), full_set(b.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= threshold_percent * (len(x) + len(y) - both):
+                if both and 100 * both >= threshold_percent * (len(x) + len(y) - both):
                     good.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.binary()), pa.array([b[k] for k in good], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -185,33 +178,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     limit = sketch_limit(threshold_percent / 100, bands * ROWS_PER_BAND)
     sketch = [f"s{w}" for w in range(SKETCH_WORDS)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(rows.select("doc_id", "text").mapInArrow(_sign(words, bands, ROWS_PER_BAND), SIGNED))
-    nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in sketch], F.first("bands").alias("bands")
-    )
-    nodes = cut(nodes)
+    signed = cut(rows.mapInArrow(_sign(words, bands, ROWS_PER_BAND), SIGNED))
+    keyed = signed.where("k0 IS NOT NULL AND doc_id IS NOT NULL")
+    reps = cut(keyed.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
+    nodes = cut(keyed.join(reps, ["k0", "k1"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands", *sketch))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    members = cut(spread.join(shared.select("bucket", "pivot"), "bucket"))
+    members = cut(spread.join(shared.select("bucket", "pivot"), "bucket").distinct())
 
-    texts = rows.where("doc_id IS NOT NULL")
+    texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes with their ids, those that the full sets confirm."""
-        one = pairs.join(texts.select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
-        two = one.join(texts.select(F.col("doc_id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-        return two.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(words, threshold_percent), "a binary, b binary").distinct()
+        """Of pairs (a, b) of nodes those that the full sets confirm."""
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        own = texts.join(wanted, "doc_id")
+        one = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+        return cut(two.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(words, threshold_percent), "a long, b long").distinct())
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Sizes and odd sketches of both nodes decide which pairs are worth the full comparison."""
-        side = lambda p: nodes.select(F.col("node").alias(p), F.col("rep").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in sketch])
+        side = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in sketch])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         fits = 100 * F.least("a_n", "b_n") >= threshold_percent * F.greatest("a_n", "b_n")
-        return both.where(fits & _apart(limit, "a_", "b_")).select("a", "b", "a_id", "b_id")
-
-    tried = cut(candidates(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
-    links = cut(linked(tried))
-    parts = cut(connected(links, "a", "b"))
+        return cut(both.where(fits & _apart(limit, "a_", "b_")).select("a", "b").distinct())
+
+    def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components (node, component) after some more links: only the components that these meet are joined."""
+        if parts is None:
+            return cut(connected(links, "a", "b"))
+        part = lambda p: parts.select(F.col("node").alias(p), F.col("component").alias(f"{p}_part"))
+        ends = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
+        ends = cut(ends.select("a", "b", F.coalesce("a_part", "a").alias("a_part"), F.coalesce("b_part", "b").alias("b_part")))
+        moved = cut(connected(ends, "a_part", "b_part")).withColumnRenamed("node", "component").toDF("component", "to")
+        new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_part").alias("component")), F.struct(F.col("b").alias("node"), F.col("b_part").alias("component")))).alias("x")).select("x.*")
+        every = parts.unionByName(new).unionByName(new.select(F.col("component").alias("node"), "component")).distinct()
+        return cut(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+    # the texts of one id are one vertex
+    several = keyed.join(reps, ["k0", "k1"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
+    same = several.select("a", F.explode("all").alias("b")).where("a < b")
+    tried = candidates(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    parts = merged(None, linked(tried).unionByName(same))
     # rounds over the buckets whose members are not yet in one component
     state = members.select("bucket", "node", (F.col("node") == F.col("pivot")).alias("done"))
     while True:
@@ -228,24 +237,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
             .join(main, "bucket")
             .where("component <> main")
             .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOT_SLOTS)).alias("slot"))
-            .agg(F.min(F.struct("node", "component")).alias("p"))
-            .select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("pivot_component"))
+            .agg(F.min("node").alias("node"))
+            .select("bucket", "node", F.lit(True).alias("used"))
         )
         pivots = cut(pivots)
-        met = state.where("NOT done").join(pivots, "bucket").where("component <> pivot_component")
+        asked = pivots.join(state.select("bucket", "node", "component"), ["bucket", "node"]).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
+        met = state.where("NOT done").join(asked, "bucket").where("component <> pivot_component")
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        new = cut(candidates(pairs))
-        tried = tried.unionByName(new)
-        links = links.unionByName(cut(linked(new)))
-        parts = cut(connected(links, "a", "b"))
-        used = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("used"))
-        state = state.join(used, ["bucket", "node"], "left").select("bucket", "node", (F.col("done") | F.coalesce("used", F.lit(False))).alias("done"))
-
-    named = nodes.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.join(smallest, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(labels, "node", "left")
+        new = candidates(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            tried = tried.unionByName(new)
+            links = linked(new)
+            if not links.isEmpty():
+                parts = merged(parts, links)
+        state = state.join(pivots, ["bucket", "node"], "left").select("bucket", "node", (F.col("done") | F.coalesce("used", F.lit(False))).alias("done"))
+
+    labels = reps.join(parts, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k0")).alias("k0"), "k1").join(labels, ["k0", "k1"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
