@@ -23,8 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +30,8 @@ from pyspark.sql import types as T
 from tessella.llm.common import column_buffers, cut, slices
 from tessella.llm.textscan import mix, word_hashes, words_of
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a task works on at a time; about fifty bytes are held for each.
+SLICE_BYTES = 256 << 10
 #: Rate of low quality where no label tells one, and a document is rejected beyond this posterior.
 PRIOR, REJECT = 0.1, 0.5
 #: Bounds of the pseudo-counts that sites are shrunk with.
@@ -133,6 +132,10 @@ class Model:
 
 def fit_documents(styled: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
     """Logistic regression of ``label_col = 0`` on the features, over all labelled rows."""
+    # here, so that workers that only make features don't load them
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).alias("_good"))
     rows = styled.join(known, "_id").select((F.col("_good") == 0).cast("double").alias("label"), array_to_vector("_style").alias("features"))
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("low")).first()
