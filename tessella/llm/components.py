@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to its smallest neighbour (or itself)."""
     both = _both(edges)
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down, or has edges only from larger nodes: then the lower ends are the components."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    sums = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.where("down > 1 OR down > 0 AND up > 0").isEmpty()
+
+
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """Columns node and component (the smallest node reachable) for all nodes that have a link to another."""
-    edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen, old = state, edges
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    while not _is_stars(edges):
+        old = edges
         edges = cut(_small_star(_large_star(edges)))
         drop_cut(old)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,16 +2,22 @@
 
 A text's set is its distinct word shingles. Rows with equal sets are one node, named by
 their smallest id. Each node has MinHash samples; bands of them put nodes that may be
-similar into buckets. An odd sketch folds all samples into a parity bitmap: the
-population count of two bitmaps' exclusive or estimates their similarity and discards
-candidates that are far below the threshold. What is left is confirmed on the full
-shingle sets.
-
-No bucket is paired out. In a round each bucket compares its members with pivots (in
-the first round its smallest node, then up to PIVOT_SLOTS of those outside the bucket's
-largest component) and confirmed links are merged into components. Two members of one
-component need no comparison; rounds go on until each bucket's members that were no
-pivot are in one component, so no link between components is lost.
+similar into buckets. Sets that link have sizes in the same or in neighbouring classes
+of a geometric scale, so a bucket holds the sets of one class and the next.
+
+Two bitmaps discard candidates. An odd sketch folds all samples: the population count of
+two sketches' exclusive or estimates the similarity, and pairs that are far below the
+threshold go. The same of the whole set never has more bits than the sets' difference
+has members, so it discards without error whatever differs in too many. What is left is
+confirmed on the full shingle sets.
+
+No bucket is paired out. In the first round each bucket compares its members with its
+smallest node, and confirmed links are merged into components. Then those outside the
+bucket's largest component (or, of more than PIVOTS, one for each of PIVOTS slots) are
+its pivots, and members meet pivots of other components in a join that lets through only
+what both bitmaps allow. Two members of one component need no comparison; rounds go on
+until each bucket's members that were no pivot are in one component, so no link between
+components is lost.
 
 Defined cases: texts without words (null or empty) have an empty set and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one shingle;
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +41,17 @@ from tessella.llm.components import connected
 from tessella.llm.textscan import U, lowered, mix, run_hashes, word_hashes, words_of
 
 SLICE_BYTES = 1 << 20
-ROWS_PER_BAND = 6
+ROWS_PER_BAND = 8
 #: Share of links at the threshold that banding and sketches may miss.
 MISS = 1e-6
-SKETCH_WORDS = 4
-PIVOT_SLOTS = 64
+#: 64-bit words of the sample's and of the whole set's bitmap.
+SKETCH_WORDS, SET_WORDS = 8, 16
+PIVOTS = 1024
 #: Ids up to which the rows wanted for a comparison are picked by a broadcast (of 8 bytes an id), and not by a shuffle.
 BROADCAST_IDS = 500_000
 
-SIGNED = "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+BITMAPS = [*(f"s{w}" for w in range(SKETCH_WORDS)), *(f"p{w}" for w in range(SET_WORDS))]
+SIGNED = "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, " + ", ".join(f"{b} long" for b in BITMAPS)
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -95,7 +104,14 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
     return out
 
 
-def _sign(words: int, bands: int, rows: int):
+def parities(hashes: np.ndarray, row: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Each row's bitmap of 64-bit words: a bit is set if an odd number of the row's hashes fall on it."""
+    bits = 64 * words
+    counts = np.bincount(row * bits + (hashes % U(bits)).astype(np.int64), minlength=rows * bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(rows, words)
+
+
+def _sign(words: int, bands: int, rows: int, threshold: float):
     # sets hold mixed hashes, so their products with odd numbers are samples of permutations
     salts = mix(np.arange(1, bands * rows + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -112,19 +128,19 @@ def _sign(words: int, bands: int, rows: int):
                 for k, salt in enumerate(salts if len(full) else ()):
                     np.multiply(sets, salt, out=product)
                     lowest[k, full] = np.minimum.reduceat(product, bounds[full])
-                sketch = np.zeros((j - i, SKETCH_WORDS), U)
-                spots = mix(lowest + salts[:, None]) >> U(56)  # one of 256 bits for each sample
-                for k in range(len(salts)):
-                    sketch[np.arange(j - i), (spots[k] >> U(6)).astype(np.int64)] ^= U(1) << (spots[k] & U(63))
-                keys = np.zeros((j - i, bands), U)
+                row_of_sample = np.broadcast_to(np.arange(j - i), lowest.shape).reshape(-1)
+                bitmaps = np.concatenate([parities(mix(lowest + salts[:, None]).reshape(-1), row_of_sample, j - i, SKETCH_WORDS), parities(mix(sets), np.repeat(np.arange(j - i), size), j - i, SET_WORDS)], axis=1)
+                # sizes in the ratio of the threshold are at most one class apart
+                size_class = np.floor(np.log(np.maximum(size, 1)) / (-math.log(threshold) * (1 + 1e-9))).astype(U)
+                keys = np.zeros((j - i, 2 * bands), U)
                 for b in range(bands):
                     h = np.full(j - i, b + 1, U)
                     for r in range(rows):
                         h = mix(h ^ lowest[b * rows + r])
-                    keys[:, b] = h
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                    keys[:, 2 * b], keys[:, 2 * b + 1] = mix(h + size_class), mix(h + size_class + U(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * 2 * bands, 2 * bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size), *set_keys(sets, bounds), lists, *(pa.array(sketch[:, w].copy().view(np.int64)) for w in range(SKETCH_WORDS))],
+                    [batch.column(0).slice(i, j - i), pa.array(size), *set_keys(sets, bounds), lists, *(pa.array(b.copy()) for b in bitmaps.T)],
                     [x.split()[0] for x in SIGNED.split(", ")],
                 )
 
@@ -160,12 +176,16 @@ def _confirm(words: int, threshold_percent: int):
     return run
 
 
-def _apart(limit: int, x: str, y: str) -> Column:
-    """Whether two odd sketches are near enough for the full comparison."""
-    total = F.lit(0)
-    for w in range(SKETCH_WORDS):
-        total = total + F.bit_count(F.col(f"{x}s{w}").bitwiseXOR(F.col(f"{y}s{w}")))
-    return total <= limit
+def _may_link(x: str, y: str, limit: int, threshold_percent: int) -> Column:
+    """Whether sizes and bitmaps of two nodes (columns with these prefixes) allow a link."""
+
+    def differing(names: list[str]) -> Column:
+        return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}{n}").bitwiseXOR(F.col(f"{y}{n}"))) for n in names])
+
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
+    sizes = 100 * F.least(a, b) >= threshold_percent * F.greatest(a, b)
+    # at the threshold the sets' difference has (a + b) * (100 - t) / (100 + t) members
+    return sizes & (differing(BITMAPS[:SKETCH_WORDS]) <= limit) & (differing(BITMAPS[SKETCH_WORDS:]) * (100 + threshold_percent) <= (a + b) * (100 - threshold_percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,12 +196,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     """
     bands = bands_for(threshold_percent / 100)
     limit = sketch_limit(threshold_percent / 100, bands * ROWS_PER_BAND)
-    sketch = [f"s{w}" for w in range(SKETCH_WORDS)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(rows.mapInArrow(_sign(words, bands, ROWS_PER_BAND), SIGNED))
+    signed = cut(rows.mapInArrow(_sign(words, bands, ROWS_PER_BAND, threshold_percent / 100), SIGNED))
     keyed = signed.where("k0 IS NOT NULL AND doc_id IS NOT NULL")
     reps = cut(keyed.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
-    nodes = cut(keyed.join(reps, ["k0", "k1"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands", *sketch))
+    nodes = cut(keyed.join(reps, ["k0", "k1"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands", *BITMAPS))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     members = cut(spread.join(shared.select("bucket", "pivot"), "bucket").distinct())
@@ -197,12 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
         two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
         return cut(two.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(words, threshold_percent), "a long, b long").distinct())
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Sizes and odd sketches of both nodes decide which pairs are worth the full comparison."""
-        side = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in sketch])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        fits = 100 * F.least("a_n", "b_n") >= threshold_percent * F.greatest("a_n", "b_n")
-        return cut(both.where(fits & _apart(limit, "a_", "b_")).select("a", "b").distinct())
+    def side(p: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", *BITMAPS)])
 
     def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
         """Components (node, component) after some more links: only the components that these meet are joined."""
@@ -219,38 +234,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     # the texts of one id are one vertex
     several = keyed.join(reps, ["k0", "k1"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
     same = several.select("a", F.explode("all").alias("b")).where("a < b")
-    tried = candidates(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    tried = cut(first.join(side("a"), "a").join(side("b"), "b").where(_may_link("a_", "b_", limit, threshold_percent)).select("a", "b"))
     parts = merged(None, linked(tried).unionByName(same))
     # rounds over the buckets whose members are not yet in one component
     state = members.select("bucket", "node", (F.col("node") == F.col("pivot")).alias("done"))
     while True:
         state = state.join(parts, "node", "left").select("bucket", "node", "done", F.coalesce("component", "node").alias("component"))
         # a bucket is settled when one component is left among the members that were no pivot
-        left = state.where("NOT done").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        state = cut(state.join(left.select("bucket"), "bucket").select("bucket", "node", "done", "component"))
-        if state.isEmpty():
+        open_ = state.where("NOT done")
+        left = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        open_ = cut(open_.join(left, "bucket").select("bucket", "node", "component"))
+        if open_.isEmpty():
             break
-        sizes = state.where("NOT done").groupBy("bucket", "component").count()
-        main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        pivots = (
-            state.where("NOT done")
-            .join(main, "bucket")
-            .where("component <> main")
-            .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOT_SLOTS)).alias("slot"))
-            .agg(F.min("node").alias("node"))
-            .select("bucket", "node", F.lit(True).alias("used"))
-        )
-        pivots = cut(pivots)
-        asked = pivots.join(state.select("bucket", "node", "component"), ["bucket", "node"]).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-        met = state.where("NOT done").join(asked, "bucket").where("component <> pivot_component")
+        sizes = open_.groupBy("bucket", "component").count()
+        main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
+        outside = open_.join(main, "bucket").where("component <> main")
+        slot = F.when(F.col("others") <= PIVOTS, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)))
+        pivots = cut(outside.groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("bucket", "pivot"))
+        asked = pivots.join(open_.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component")), ["bucket", "pivot"]).join(side("pivot"), "pivot")
+        met = open_.join(side("node"), "node").join(asked, "bucket").where((F.col("component") != F.col("pivot_component")) & _may_link("node_", "pivot_", limit, threshold_percent))
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        new = candidates(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             tried = tried.unionByName(new)
             links = linked(new)
             if not links.isEmpty():
                 parts = merged(parts, links)
-        state = state.join(pivots, ["bucket", "node"], "left").select("bucket", "node", (F.col("done") | F.coalesce("used", F.lit(False))).alias("done"))
+        state = open_.join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", F.lit(False).alias("done"))
 
     labels = reps.join(parts, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k0")).alias("k0"), "k1").join(labels, ["k0", "k1"], "left")
