@@ -42,9 +42,9 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
 def digit_requests(x: Column) -> dict[str, Column]:
     """For one aggregation: whether all values have at most so many decimal digits, and the longest integer part."""
     size = F.abs(x)
-    whole = F.when(size < 1e15, F.length(F.floor(size).cast("string"))).otherwise(F.lit(16))
+    whole = F.when(size < 1e15, F.length(F.floor(size).cast("string"))).when(size.isNotNull(), F.lit(16))
     out = {f"digits{d}": F.bool_and(x == F.bround(x, d)) for d in range(MAX_DIGITS + 1)}
-    return out | {"whole": F.max(whole), "finite": F.bool_and(size < math.inf)}
+    return out | {"whole": F.max(whole), "finite": F.bool_and(size < F.lit(math.inf))}
 
 
 def learned_digits(stats: dict) -> int | None:
@@ -139,8 +139,9 @@ def normal_cdf_of(z: np.ndarray) -> np.ndarray:
     near = lambda pair, v: np.polyval(pair[0], v) / np.polyval(pair[1], v)
     x = z / math.sqrt(2)
     y, square = np.abs(x), x * x
-    w = 1 / np.maximum(square, 1e-300)
-    erfc = np.exp(-square) * np.where(y <= 4, near(_ERFC, np.minimum(y, 4)), (1 / math.sqrt(math.pi) - w * near(_ERFC_TAIL, w)) / np.maximum(y, 1e-300))
+    far = np.maximum(y, 4)
+    w = 1 / (far * far)
+    erfc = np.exp(-square) * np.where(y <= 4, near(_ERFC, np.minimum(y, 4)), (1 / math.sqrt(math.pi) - w * near(_ERFC_TAIL, w)) / far)
     return np.where(y <= 0.46875, 0.5 + 0.5 * x * near(_ERF, np.minimum(square, 1)), np.where(x < 0, 0.5 * erfc, 1 - 0.5 * erfc))
 
 

@@ -259,8 +259,8 @@ class ColumnFunctions(BaseTransformer):
         return F.pandas_udf(function, kind)(x) if self.pandas_type else function(x)
 
     def forward(self, df, x, draws):
-        return df, {None: self._made(self.forward_function, x[self.columns[0]], self.pandas_type)}
+        return df, {next(iter(self.output_properties)): self._made(self.forward_function, x[self.columns[0]], self.pandas_type)}
 
     def inverse(self, df, y, draws):
         kind = self.kinds[self.columns[0]]
-        return df, {self.columns[0]: self._made(self.inverse_function, y[None], kind.simpleString()).cast(kind)}
+        return df, {self.columns[0]: self._made(self.inverse_function, y[next(iter(self.output_properties))], kind.simpleString()).cast(kind)}

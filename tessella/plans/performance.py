@@ -40,7 +40,7 @@ def profile_transformer(spark: SparkSession, transformer: BaseTransformer, sdtyp
     made.count()
     out["reverse_transform_time"] = _timed(lambda: _run(own.reverse_transform(made)), times)
     stats = made._jdf.queryExecution().optimizedPlan().stats()
-    out["transformed_bytes"] = float(stats.sizeInBytes().toString())
+    out["transformed_bytes"] = float(str(stats.sizeInBytes()))
     made.unpersist()
     data.unpersist()
     return out
