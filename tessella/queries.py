@@ -641,10 +641,13 @@ _KINDS = {"value": T.LongType(), "lo": T.DoubleType(), "hi": T.DoubleType()}
 
 
 def _grid(n: int) -> Dictionary:
-    return Dictionary(_KINDS, rows=[{"value": k, "lo": (k / n) ** 2, "hi": ((k + 1) / n) ** 2} for k in range(n)], size=n)
+    return Dictionary(_KINDS, rows=[{"value": k, "lo": (k / n) * (k / n), "hi": ((k + 1) / n) * ((k + 1) / n)} for k in range(n)], size=n)
 
 
-@query("interval_join", "SELECT event_id, CAST(greatest(ceil(sqrt(value / 500) * 100) - 1, 0) AS BIGINT) AS bin FROM events")
+_BINS = "(SELECT k, (k / {n}e0) * (k / {n}e0) AS lo, ((k + 1) / {n}e0) * ((k + 1) / {n}e0) AS hi FROM range({n}) r(k))"
+
+
+@query("interval_join", f"SELECT event_id, k AS bin FROM events JOIN {_BINS.format(n=100)} ON value / 500 > lo AND value / 500 <= hi")
 def interval_join(spark, sf_dir):
     """Right-closed bins of uneven width, as a join on buckets."""
     data = table(spark, sf_dir, "events", "event_id", "value / 500 AS v")
@@ -652,7 +655,7 @@ def interval_join(spark, sf_dir):
     return df.select("event_id", value.alias("bin"))
 
 
-@query("asof_lookup", "SELECT event_id, CAST(floor(sqrt(value / 500) * 10) AS BIGINT) AS bin FROM events")
+@query("asof_lookup", f"SELECT event_id, k AS bin FROM events JOIN {_BINS.format(n=10)} ON value / 500 >= lo AND value / 500 < hi")
 def asof_lookup(spark, sf_dir):
     """The last start that is not beyond the value, as a CASE."""
     data = table(spark, sf_dir, "events", "event_id", "value / 500 AS v")
