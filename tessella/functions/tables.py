@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+#: Spark's setting by which a query's shuffle files go at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,10 +26,22 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: it is made once and outlives executors."""
-    path = f"{shared_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet and read it back: it is made once and outlives executors.
+
+    The write's shuffle files go when it has ended: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running(table: DataFrame, order: list[Column], amount: Column) -> DataFrame:
