@@ -31,7 +31,9 @@ def truncated_moments(mean: float, sd: float, low: float, high: float) -> tuple[
     widest = 10 * (high - low)
     for _ in range(200):
         a, b = (low - mu) / sigma, (high - mu) / sigma
-        z = max(_N.cdf(b) - _N.cdf(a), 1e-300)
+        z = _N.cdf(b) - _N.cdf(a)
+        if z < 1e-9:  # the bounds leave next to nothing of such a normal
+            return mean, sd
         fa, fb = _N.pdf(a), _N.pdf(b)
         shift = (fa - fb) / z
         m = mu + sigma * shift
