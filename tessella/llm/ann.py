@@ -21,6 +21,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ SHARD_ROWS = 8192
 DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
 SEARCH_BEAM = 160
 BUILD_BATCH, QUERY_BLOCK = 512, 1024
+MOST_PARTITIONS = 20_000
 
 SHARD = "dim int, shard int, h0 binary, h1 binary, vectors binary, edges binary, entry int"
 FOUND = "q0 long, q1 long, h0 long, h1 long, score double"
@@ -204,7 +206,10 @@ def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(out, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
-    return placed.select("dim", "shard", "h0", "h1", "vector").groupBy("dim", "shard").applyInArrow(build, SHARD)
+    # a shard's bytes are few and its work is much, so shards are not put together by size
+    shards = placed.agg(F.sum(F.lit(1.0) / shard_rows)).first()[0] or 0
+    parts = min(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * math.ceil(shards)), MOST_PARTITIONS)
+    return placed.select("dim", "shard", "h0", "h1", "vector").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, SHARD)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
