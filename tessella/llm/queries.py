@@ -45,7 +45,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = cut(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))))
-    resolved = warc.resolve_revisits(cut(warc.read_archives(archives)))
+    resolved = warc.resolve_revisits(cut(warc.record_lengths(warc.read_archives(archives))))
     return resolved.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -171,12 +171,16 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, RECORDS)
 
 
-def resolve_revisits(archived: DataFrame) -> DataFrame:
-    """Per record page_id, url, record_type, refers_to, payload_bytes and payload_digest of the full payload.
+def record_lengths(archived: DataFrame) -> DataFrame:
+    """Records with payload_bytes in place of their payloads."""
+    return archived.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest")
 
-    A revisit's length is that of the response it refers to; only lengths and digests move.
+
+def resolve_revisits(own: DataFrame) -> DataFrame:
+    """Per record (as :func:`record_lengths` gives them) page_id, url, record_type, refers_to, payload_bytes and payload_digest of the full payload.
+
+    A revisit's length is that of the response it refers to.
     """
-    own = archived.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest")
     lengths = own.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
     revisits = own.where("record_type = 'revisit'").join(lengths, ["refers_to", "payload_digest"], "left")
     revisits = revisits.select("page_id", "url", "record_type", "refers_to", F.col("_bytes").alias("payload_bytes"), "payload_digest")
