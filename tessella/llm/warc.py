@@ -68,11 +68,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def archive(records: list[bytes]) -> bytes:
     """A file: the dictionary's frame, and a frame per record."""
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
+    total = sum(map(len, records))
+    step = max(1, total // SAMPLE_BYTES)
     samples = records[::step]
     head, dictionary = b"", None
     try:
-        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8)
+        # a small archive gets a small dictionary, which its records can earn back
+        dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 64)), samples, k=256, d=8)
         raw = dictionary.as_bytes()
         head = struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw
     except zstandard.ZstdError:  # too few records for a dictionary: the format allows none
