@@ -94,9 +94,9 @@ class Windows:
         del self.held[k]
         self.free = np.delete(self.free, k)
 
-    def place(self, *pieces: tuple) -> None:
-        """Put pieces together into the best fitting window."""
-        need = sum(len(p[3]) for p in pieces) // 4
+    def place(self, piece: tuple) -> None:
+        """Put a piece into the best fitting window."""
+        need = len(piece[3]) // 4
         room = np.where(self.free >= need, self.free, np.iinfo(np.int64).max)
         k = int(room.argmin()) if len(room) else -1
         if k < 0 or room[k] == np.iinfo(np.int64).max:
@@ -105,7 +105,7 @@ class Windows:
             self.held.append([])
             self.free = np.append(self.free, self.size)
             k = len(self.held) - 1
-        self.held[k] += pieces
+        self.held[k].append(piece)
         self.free[k] -= need
         if self.free[k] == 0:
             self.remove(k)
@@ -152,13 +152,12 @@ def pack(df: DataFrame, path: str, end_id: int, size: int = 2048, open_windows:
         yield windows.batch()
 
     def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("window", "ascending"), ("offset", "ascending")])
         windows = Windows(size, open_windows, (1 << 62) | int(table.column("window")[0].as_py()))
-        pieces: dict[int, list[tuple]] = {}
-        for r in table.sort_by([("window", "ascending"), ("offset", "ascending")]).to_pylist():
-            pieces.setdefault(r["window"], []).append((r["doc_id"], r["doc_tokens"], r["start"], r["ids"]))
+        pieces = [(r["doc_id"], r["doc_tokens"], r["start"], r["ids"]) for r in table.to_pylist()]
         windows.limit = len(pieces)
-        for own in sorted(pieces.values(), key=lambda own: -sum(len(p[3]) for p in own)):  # the fullest first
-            windows.place(*own)
+        for piece in sorted(pieces, key=lambda p: -len(p[3])):  # the longest first
+            windows.place(piece)
         windows.finish(still_open=False)
         return pa.Table.from_batches([windows.batch()])
 
