@@ -7,11 +7,12 @@ and is joined, and Spark broadcasts it only if its size allows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass
 from typing import Any
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,22 @@ class Dictionary:
     rows: list[dict] | None = None
     table: DataFrame | None = None
     size: int = 0
-    names: dict[str, str] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        """For copies and pickles: a stored table is told by its folder, and read again from there."""
+        state = dict(self.__dict__)
+        if self.table is not None:
+            folders = {f.rpartition("/")[0] for f in self.table.inputFiles()}
+            if len(folders) != 1:
+                raise TypeError("only a dictionary whose table is stored in one folder can be copied")
+            state["table"] = (folders.pop(), self.table.schema.json())
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        if state["table"] is not None:
+            folder, schema = state["table"]
+            state = state | {"table": SparkSession.active().read.schema(T.StructType.fromJson(json.loads(schema))).parquet(folder)}
+        self.__dict__.update(state)
 
     def _joinable(self, wanted: list[str]) -> tuple[DataFrame, dict[str, str]]:
         tag = uuid4().hex[:8]

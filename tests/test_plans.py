@@ -1,3 +1,5 @@
+import pickle
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,16 @@ def test_a_transform_is_one_projection_without_shuffles(spark, sf_dir):
     assert "Python" not in text
 
 
+def test_fitted_plans_are_pickled(spark):
+    df = spark.range(1500).select("id", F.concat(F.lit("v"), "id").alias("many"), (F.col("id") % 3).cast("string").alias("few"), F.col("id").cast("double").alias("n"))
+    plan = HyperTransformer("id")
+    plan.set_config({"sdtypes": {"id": "id", "many": "categorical", "few": "categorical", "n": "numerical"}, "transformers": {"id": None, "many": UniformEncoder(), "few": LabelEncoder(), "n": FloatFormatter()}})
+    plan.fit(df)
+    assert plan.field_transformers["many"].dictionary.table is not None
+    again = pickle.loads(pickle.dumps(plan))
+    assert sorted(map(tuple, again.transform(df).collect())) == sorted(map(tuple, plan.transform(df).collect()))
+
+
 def test_registry():
     assert registry.get_transformer_class("FloatFormatter") is FloatFormatter
     assert IndexGenerator in registry.get_transformers_by_type()["id"]
