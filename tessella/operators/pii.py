@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,7 +146,6 @@ class PseudoAnonymizedFaker(AnonymizedFaker):
         values = data.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").alias("value")).distinct()
         salt = f"{self.seeds['fit']}|{name}|pseudonym"
         ordered = running(values.withColumn("_h", F.md5(F.concat(F.lit(f"{salt}|"), F.col("value").cast("string")))), [F.col("_h"), F.col("value")], F.lit(0))
-        _, made = None, None
         named, made = self._distinct(ordered.select("value", "_number"), F.col("_number"), salt)
         table = cut(named.select("value", made.alias("pseudonym")))
         size = table.count()

@@ -69,6 +69,24 @@ def test_null_share_and_parameters(spark):
         assert column(FloatFormatter(how).fit_transform(df, "x", "k")) == [0.0, 0.0]
 
 
+def test_operators_fitted_without_data(spark):
+    t = FloatFormatter(missing_value_replacement=None, enforce_min_max_values=True)
+    nulls = NullTransformer(0.0, "random")
+    nulls._set_fitted_parameters(0.0)
+    nulls.value = 0.0
+    t._set_fitted_parameters("x", nulls, rounding_digits=None, min_max_values=(0.0, 2.0))
+    assert column(t.transform(frame(spark, [None, 1.0], "double"))) == [0.0, 1.0]
+    assert column(t.reverse_transform(frame(spark, [5.0, -1.0], "double"))) == [2.0, 0.0]
+    t = UniformEncoder()
+    t._set_fitted_parameters("x", {"a": (0.0, 0.25), "b": (0.25, 1.0)})
+    assert column(t.reverse_transform(frame(spark, [0.1, 0.9], "double"))) == ["a", "b"]
+    t = AnonymizedFaker("person", "name", cardinality_rule="match")
+    with pytest.raises(TransformerInputError):
+        t._set_fitted_parameters("x")
+    t._set_fitted_parameters("x", cardinality=2)
+    assert len(set(column(t.reverse_transform(spark.range(6).selectExpr("id AS k"))))) == 2
+
+
 def test_scalers_refuse_what_they_cannot_map(spark):
     with pytest.raises(InvalidDataError):
         LogScaler(constant=1.0).fit(frame(spark, [1.0, 2.0], "double"), "x")
