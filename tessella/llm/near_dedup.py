@@ -16,8 +16,8 @@ smallest node, and confirmed links are merged into components. Then those outsid
 bucket's largest component (or, of more than PIVOTS, one for each of PIVOTS slots) are
 its pivots, and members meet pivots of other components in a join that lets through only
 what both bitmaps allow. Two members of one component need no comparison; rounds go on
-until each bucket's members that were no pivot are in one component, so no link between
-components is lost.
+until each bucket's members that were no pivot are in one component (after one round,
+but for huge buckets), so no link between components is lost.
 
 Defined cases: texts without words (null or empty) have an empty set and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one shingle;
@@ -261,7 +261,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
             links = linked(new)
             if not links.isEmpty():
                 parts = merged(parts, links)
-        state = open_.join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", F.lit(False).alias("done"))
+        # where all outside the largest component were pivots, the bucket is settled
+        huge = cut(main.where(F.col("others") > PIVOTS).select("bucket"))
+        if huge.isEmpty():
+            break
+        state = open_.join(huge, "bucket").join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", F.lit(False).alias("done"))
 
     labels = reps.join(parts, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k0")).alias("k0"), "k1").join(labels, ["k0", "k1"], "left")
