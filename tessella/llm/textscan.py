@@ -16,6 +16,9 @@ U = np.uint64
 BYTE_BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 WORD_BASES = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
+#: Bytes, or words, that are summed at a time; it bounds the tables of powers, and fits the cache.
+PART = 1 << 17
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,11 +77,20 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length."""
     base = BYTE_BASES[lane]
-    power, inverse = powers(base, len(data) + 1)
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        # a hash does not depend on where its word stands, so parts of the data are summed on their own
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, low + PART)))
+        part = data[low : ends[j - 1]]
+        power, inverse = powers(base, len(part) + 1)
+        sums = np.empty(len(part) + 1, U)
+        sums[0] = 0
+        np.cumsum((part.astype(U) + U(1)) * power[: len(part)], out=sums[1:])
+        begin = starts[i:j] - low
+        h[i:j] = (sums[ends[i:j] - low] - sums[begin]) * inverse[begin]
+        i = j
     return mix(h + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
@@ -88,8 +100,13 @@ def run_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U)
     base = WORD_BASES[lane]
-    power, inverse = powers(base, len(words) + 1)
-    sums = np.empty(len(words) + 1, U)
-    sums[0] = 0
-    np.cumsum(words * power[: len(words)], out=sums[1:])
-    return mix((sums[length:] - sums[:n]) * inverse[:n])
+    h = np.empty(n, U)
+    for i in range(0, n, PART):
+        k = min(PART, n - i)
+        part = words[i : i + k + length - 1]
+        power, inverse = powers(base, len(part) + 1)
+        sums = np.empty(len(part) + 1, U)
+        sums[0] = 0
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        h[i : i + k] = (sums[length:] - sums[:k]) * inverse[:k]
+    return mix(h)
