@@ -10,8 +10,8 @@ a smaller id is removed.
 Anchors are counted by text, so exact copies nominate nothing. Of texts that occur
 again only the smallest id's windows are compared, and the others lose all words if they
 have a window at all. Nothing here pairs documents: anchors and windows are met by hash
-aggregates and equi-joins, which split hot keys. Texts move twice: to the places that
-are nominated, and to the words that go.
+aggregates and equi-joins, which split hot keys. Texts move to the places that are
+nominated (to count windows, then to mark them), and to the words that go.
 
 Windows are compared by 128-bit hashes, texts by 64-bit ones (128 bits for copies). Defined cases: a null text has no words; a row
 with a null id keeps all words and removes none elsewhere; rows that repeat an id are
@@ -163,7 +163,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     near = keyed.select("_doc", "_key", text_col).join(spots.hint("shuffle_hash"), ["_doc", "_key"])
 
     windows = near.select("_doc", "_key", text_col, "spots").mapInArrow(_windows(window), WINDOWS)
-    smallest = windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h0", "h1", "first")
+    # a table of its own, so the join below can split a window that very many documents share
+    smallest = cut(windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h0", "h1", "first"))
     gone = windows.join(smallest, ["h0", "h1"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_spots"))
 
     marks = cut(
