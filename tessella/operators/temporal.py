@@ -146,8 +146,11 @@ class OptimizedTimestampEncoder(UnixTimestampEncoder):
         return out
 
     def number(self, x):
-        v = self.nanoseconds(x, self.datetime_format)
-        return F.floor(v / F.lit(float(self.divider))).cast("double") if self.fitted else v
+        if not self.fitted:
+            return self.nanoseconds(x, self.datetime_format)
+        # from microseconds, which are integers: a double of nanoseconds may lie just below its value
+        micros, unit = F.unix_micros(D.parsed(x[self.columns[0]], self.kinds[self.columns[0]], self.datetime_format)), F.lit(max(1, self.divider // 1000))
+        return ((micros - F.pmod(micros, unit)) / unit).cast("double")
 
     def filled(self, df, x, draws):
         v, flag = self.null_transformer.forward(self.number(x), draws)
