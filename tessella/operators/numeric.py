@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from typing import Any
 
@@ -215,17 +216,30 @@ class GaussianNormalizer(FloatFormatter):
         out = super().requests(x, kinds)
         out |= {"d_mean": F.avg(v), "d_sd": F.stddev_pop(v), "d_low": F.min(v), "d_high": F.max(v), "d_kurtosis": F.kurtosis(v), "d_skew": F.skewness(v)}
         if self.distribution == "gaussian_kde":
-            out["d_quantiles"] = F.percentile_approx(v, [k / 256 for k in range(257)], 10_000)
+            out["d_quartiles"] = F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000)
         return out
 
     def bind(self, stats, values):
         super().bind(stats, values)
         own = {k[2:]: v for k, v in stats.items() if k.startswith("d_")}
         if own["mean"] is None:
-            own = {"mean": 0.0, "sd": 0.0, "low": 0.0, "high": 0.0, "kurtosis": None, "skew": None, "quantiles": [0.0]}
+            own = {"mean": 0.0, "sd": 0.0, "low": 0.0, "high": 0.0, "kurtosis": None, "skew": None, "quartiles": [0.0] * 3}
         share = 1.0 - stats["null_nulls"] / max(1, stats["null_n"])
         own["n"] = max(1, round(stats["null_n"] * share))
         self.fitted_distribution = Fitted.of(self.distribution, own)
+        self.spread = (own["quartiles"], own["sd"]) if self.distribution == "gaussian_kde" and own["sd"] and math.isfinite(own["sd"]) else None
+
+    def fit(self, data, column, row_key=None):
+        super().fit(data, column, row_key)
+        self.second_pass(data)
+
+    def second_pass(self, data) -> None:
+        """The kernel density of all values, from sums in bins that a second scan makes; it is bounded by the number of bins."""
+        if self.spread is None:
+            return
+        (low, middle, high), sd = self.spread
+        bins = mixture_bins(data, self.number(self.inputs()) - F.lit(float(middle)), [low - middle, 0.0, high - middle], sd)
+        self.fitted_distribution = Fitted.of_kernels(bins, middle, sd)
 
     @property
     def learned_distribution(self) -> dict:

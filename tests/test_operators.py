@@ -1,6 +1,8 @@
 """Small frames with known results."""
 
 import datetime as dt
+import math
+from statistics import NormalDist, fmean, pstdev
 
 import pytest
 
@@ -114,6 +116,16 @@ def test_gaussian_round_trip(spark, family):
     assert t.learned_distribution["distribution"] == family
 
 
+def test_the_kernel_density_is_that_of_all_values(spark):
+    values = [math.exp(2 * NormalDist().inv_cdf((i * 7919 % 4001 + 0.5) / 4001)) for i in range(4001)]
+    t = GaussianNormalizer(distribution="gaussian_kde")
+    asked = [sorted(values)[int(4001 * q)] for q in (0.001, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999)]
+    t.fit(frame(spark, [*values, None], "double"), "x")
+    band = 1.06 * pstdev(values) * 4001**-0.2
+    expected = [fmean(NormalDist(v, band).cdf(x) for v in values) for x in asked]
+    assert [NormalDist().cdf(z) for z in column(t.transform(frame(spark, asked, "double")))] == pytest.approx(expected, abs=5e-5)
+
+
 def test_clusters_are_found(spark):
     values = [5 + (i * 37 % 100 - 50) / 1000 for i in range(300)] + [-4 + (i * 37 % 100 - 50) / 500 for i in range(1000)] + [100 + (i * 37 % 100 - 50) / 10 for i in range(500)]
     t, df = ClusterBasedNormalizer(), frame(spark, values, "double")
