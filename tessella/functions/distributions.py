@@ -8,6 +8,7 @@ normal distribution's side. A kernel density is fitted over bins of sums instead
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tessella.functions.numeric import clip, normal_cdf, normal_cdf_of, normal_ppf, normal_ppf_of, staged
 
 FAMILIES = ("norm", "uniform", "truncnorm", "gamma", "beta", "t", "gaussian_kde")
+#: Knots of one kind in a table.
 KNOTS = 4097
 #: Distance that truncation keeps from the extremes.
 EDGE = 1e-9
@@ -47,6 +49,24 @@ def truncated_moments(mean: float, sd: float, low: float, high: float) -> tuple[
     return mu, sigma
 
 
+def _places(mean: float, sd: float, top: float) -> np.ndarray:
+    """Places from 0 to ``top``: even in logarithms, and even around the mean."""
+    even = np.clip(np.linspace(mean - 12 * sd, mean + 12 * sd, KNOTS), 0.0, top)
+    return np.concatenate([[0.0, top], top * np.geomspace(1e-300, 1e-20, KNOTS // 2), top * np.geomspace(1e-20, 1e-6, KNOTS // 2), top * np.geomspace(1e-6, 1.0, KNOTS), even])
+
+
+def _cells(edges: np.ndarray, a: float, log_density: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Logarithms of a density's masses between ``edges``, the first of which is 0, where the density is like u^(a - 1)."""
+    nodes, weights = np.polynomial.legendre.leggauss(8)
+    half, middle = np.diff(edges[1:]) / 2, (edges[1:-1] + edges[2:]) / 2
+    inner = log_density(middle[:, None] + half[:, None] * nodes)
+    most = inner.max(axis=1)
+    # in the first cell the power is integrated, and the rest is taken at the power's mean
+    first, at = edges[1], edges[1] * a / (a + 1)
+    end = a * math.log(first) - math.log(a) + float(log_density(np.array(at))) - (a - 1) * math.log(at)
+    return np.append(end, most + np.log(np.exp(inner - most[:, None]) @ weights) + np.log(half))
+
+
 @dataclass
 class Fitted:
     family: str
@@ -71,19 +91,18 @@ class Fitted:
             start = low - width / (2 * stats["n"])
             shape = ((mean - start) / sd) ** 2
             scale = sd**2 / (mean - start)
-            return Fitted("gamma", {"a": shape, "loc": start, "scale": scale})._tabulated(start, max(high, start + scale * (shape + 12 * math.sqrt(shape) + 30)))
+            return Fitted("gamma", {"a": shape, "loc": start, "scale": scale})._tabulated(mean, sd, high)
         if family == "beta":
             m, v = (mean - low) / width, (sd / width) ** 2
             both = m * (1 - m) / v - 1
             if both <= 0:
                 return Fitted("norm", {"loc": mean, "scale": sd})
-            return Fitted("beta", {"a": m * both, "b": (1 - m) * both, "loc": low, "scale": width})._tabulated(low, high)
+            return Fitted("beta", {"a": m * both, "b": (1 - m) * both, "loc": low, "scale": width})._tabulated(mean, sd, high)
         if family == "t":
             excess = stats["kurtosis"] or 0.0
             df = min(4 + 6 / excess, 1e4) if excess > 0 else 1e4
             scale = sd * math.sqrt((df - 2) / df)
-            reach = max(high - mean, mean - low, 12 * scale)
-            return Fitted("t", {"df": df, "loc": mean, "scale": scale})._tabulated(mean - reach, mean + reach)
+            return Fitted("t", {"df": df, "loc": mean, "scale": scale})._tabulated(mean, sd, mean + max(high - mean, mean - low))
         return Fitted("norm", {"loc": mean, "scale": sd})  # a kernel density takes sums in bins: see of_kernels
 
     @staticmethod
@@ -114,24 +133,35 @@ class Fitted:
             knots, mass = np.delete(knots, told), np.delete(mass, told)
         return Fitted("gaussian_kde", {"bandwidth": float(band), "values": int(n.sum())}, (knots + middle, mass))
 
-    def _density(self, x: np.ndarray) -> np.ndarray:
+    def _tabulated(self, mean: float, sd: float, high: float) -> Fitted:
+        """The probability at knots, by quadrature from each end of the density, where it may be unbounded."""
         p = self.parameters
-        z = (x - p["loc"]) / p["scale"]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            if self.family == "gamma":
-                return np.where(z > 0, np.exp((p["a"] - 1) * np.log(z) - z), 0.0)
-            if self.family == "beta":
-                return np.where((z > 0) & (z < 1), np.exp((p["a"] - 1) * np.log(z) + (p["b"] - 1) * np.log1p(-z)), 0.0)
-            return (1 + z * z / p["df"]) ** (-(p["df"] + 1) / 2)
-
-    def _tabulated(self, low: float, high: float) -> Fitted:
-        """The probability at KNOTS places, by the midpoint rule on a finer grid."""
-        fine = 32 * (KNOTS - 1)
-        edges = np.linspace(low, high, fine + 1)
-        mass = np.append(0.0, np.cumsum(self._density((edges[1:] + edges[:-1]) / 2)))
-        if not np.isfinite(mass[-1]) or mass[-1] <= 0:  # no such density: the normal
-            return Fitted("norm", {"loc": (low + high) / 2, "scale": (high - low) / 6})
-        self.table = (edges[::32], mass[::32] / mass[-1])
+        loc, scale = p["loc"], p["scale"]
+        if self.family == "t":
+            z = np.sinh(np.linspace(0.0, math.asinh(max(1e3, (high - loc) / scale)), KNOTS))
+            cells = _cells(z, 1.0, lambda u: -(p["df"] + 1) / 2 * np.log1p(u * u / p["df"]))
+            above = np.append(np.cumsum(np.exp(cells - cells.max())[::-1])[::-1], 0.0)
+            above /= 2 * above[0]
+            knots, mass = loc + scale * np.concatenate([-z[:0:-1], z]), np.concatenate([above[:0:-1], 1 - above])
+        elif self.family == "gamma":
+            a = p["a"]
+            knots = np.unique(loc + scale * _places(a, math.sqrt(a), max((high - loc) / scale, a + 12 * math.sqrt(a) + 30)))
+            cells = _cells((knots - loc) / scale, a, lambda u: (a - 1) * np.log(u) - u)
+            mass = np.append(0.0, np.cumsum(np.exp(cells - cells.max())))
+            mass /= mass[-1]
+        else:  # each half from its own end
+            a, b, middle = p["a"], p["b"], (mean - loc) / scale
+            left = np.unique(loc + scale * _places(middle, sd / scale, 0.5))
+            right = np.unique(high - scale * _places(1 - middle, sd / scale, 0.5))[::-1]
+            lower = _cells((left - loc) / scale, a, lambda u: (a - 1) * np.log(u) + (b - 1) * np.log1p(-u))
+            upper = _cells((high - right) / scale, b, lambda u: (b - 1) * np.log(u) + (a - 1) * np.log1p(-u))
+            peak = max(lower.max(), upper.max())
+            below, above = (np.append(0.0, np.cumsum(np.exp(c - peak))) for c in (lower, upper))
+            whole = below[-1] + above[-1]
+            knots, mass = np.concatenate([left, right[-2::-1]]), np.concatenate([below / whole, 1 - above[-2::-1] / whole])
+        if not np.isfinite(mass).all():  # no such density: the normal
+            return Fitted("norm", {"loc": mean, "scale": sd})
+        self.table = (knots, mass)
         return self
 
     def normalized(self, df: DataFrame, x: Column, epsilon: float) -> tuple[DataFrame, Column]:

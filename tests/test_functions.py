@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import dates, numeric
+from tessella.functions.distributions import Fitted
 from tessella.functions.regexes import enumeration
 from tessella.functions.rng import uniform
 from tessella.functions.tables import running
@@ -61,3 +62,47 @@ def test_strftime_patterns():
     assert dates.spark_pattern("%b %d, %Y") == "MMM dd, yyyy"
     assert dates.spark_pattern("%Y-%m-%dT%H:%M:%S") == "yyyy-MM-dd'T'HH:mm:ss"
     assert dates.spark_pattern("%-d/%m/%Y", parsing=True) == "d/M/yyyy"
+
+
+def _gamma_below(a, x):
+    term = total = 1 / math.gamma(a + 1)
+    for k in range(1, 400):
+        term *= x / (a + k)
+        total += term
+    return x**a * math.exp(-x) * total
+
+
+def _beta_below(a, b, x):
+    if x > 0.5:
+        return 1 - _beta_below(b, a, 1 - x)
+    term, total = 1.0, 1 / a
+    for k in range(1, 400):
+        term *= (k - b) * x / k
+        total += term / (a + k)
+    return x**a * total * math.gamma(a + b) / math.gamma(a) / math.gamma(b)
+
+
+@pytest.mark.parametrize("a", [0.05, 0.102, 0.5, 1.0, 5.0])
+def test_gamma_table(a):
+    fitted = Fitted.of("gamma", {"mean": a, "sd": math.sqrt(a), "low": 0.0, "high": 60.0, "n": 10**15, "kurtosis": 0.0})
+    for x in (1e-6, 1e-3, 0.02, 0.3, 1.0, 4.0, 15.0):
+        assert np.interp(x, *fitted.table) == pytest.approx(_gamma_below(a, x), rel=1e-4, abs=2e-7)
+
+
+@pytest.mark.parametrize(("a", "b"), [(0.05, 0.05), (0.05, 5.0), (0.5, 0.5), (2.0, 0.3), (1.0, 3.0), (5.0, 2.0)])
+def test_beta_table(a, b):
+    mean = a / (a + b)
+    fitted = Fitted.of("beta", {"mean": mean, "sd": math.sqrt(mean * (1 - mean) / (a + b + 1)), "low": 0.0, "high": 1.0, "n": 10**9, "kurtosis": 0.0})
+    for x in (1e-9, 1e-3, 0.02, 0.3, 0.5, 0.8, 0.999):
+        assert np.interp(x, *fitted.table) == pytest.approx(_beta_below(a, b, x), rel=1e-4, abs=1e-9)
+        assert 1 - np.interp(x, *fitted.table) == pytest.approx(_beta_below(b, a, 1 - x), rel=1e-4, abs=1e-9)
+
+
+def test_t_table():
+    # of five degrees of freedom in closed form, far from the middle too
+    fitted = Fitted.of("t", {"mean": 2.0, "sd": math.sqrt(5 / 3), "low": -3e3, "high": 3e3, "n": 10**6, "kurtosis": 6.0})
+    for z in (-40.0, -5.0, -1.0, 0.0, 0.5, 3.0, 20.0):
+        s = z / math.sqrt(5)
+        angle = math.atan(s)
+        expected = 0.5 + (angle + math.sin(angle) * math.cos(angle) * (1 + 2 / 3 * math.cos(angle) ** 2)) / math.pi
+        assert np.interp(2 + z, *fitted.table) == pytest.approx(expected, rel=1e-4)
