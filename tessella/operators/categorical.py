@@ -9,13 +9,13 @@ from __future__ import annotations
 import warnings
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import TransformerInputError
 from tessella.functions import numeric as N
-from tessella.functions.lookup import Dictionary
+from tessella.functions.lookup import LITERALS, Dictionary
 from tessella.functions.tables import cut, running
 from tessella.operators.base import BaseTransformer
 
@@ -178,16 +178,31 @@ class _Ordered:
         """The ordered categories with the counts that the data have of them."""
         kind = values.kinds["value"]
         order = self.order if self.missing_value_encoding == "new_category" else [v for v in self.order if v is not None]
-        if values.rows is None:
-            raise TransformerInputError(f"column '{self.name}' has more categories than its order")
         # an order of mixed types meets a column of one type by the values' text
-        own = {str(r["value"]) if r["value"] is not None else None: r for r in self.kept(values).rows}
+        own = {str(r["value"]) if r["value"] is not None else None: r for r in self.met(values, order)}
         named = {str(v) if v is not None else None: v for v in order}
         if unknown := [r["value"] for k, r in own.items() if k not in named]:
             raise TransformerInputError(f"column '{self.name}' has categories that its order lacks, such as {unknown[:5]}")
         rows = [{"value": None if k is None else own[k]["value"] if k in own else (k if isinstance(kind, T.StringType) else v), "n": own[k]["n"] if k in own else 0, "first": None} for k, v in named.items()]
         return Dictionary(values.kinds, rows=rows, size=len(rows))
 
+    def met(self, values: Dictionary, order: list) -> list[dict]:
+        """The data's categories; if they are more than the order has, one more than it has, of which it lacks one."""
+        found = self.kept(values)
+        return found.rows if found.rows is not None else [r.asDict() for r in found.table.limit(len(order) + 1).collect()]
+
+    def stored(self, rows: list[dict]) -> Dictionary:
+        """The dictionary; a table if its rows are too many for a plan."""
+        kind = self.kinds[self.name]
+        kinds = {"value": kind, "n": T.LongType(), "label": T.LongType(), "lo": T.DoubleType(), "hi": T.DoubleType()}
+        if len(rows) <= LITERALS:
+            return Dictionary(kinds, rows=rows, size=len(rows))
+        # the order's own values may be of another type
+        text = kind if isinstance(kind, T.BinaryType) else T.StringType()
+        told = [r | {"value": r["value"] if r["value"] is None or text is kind else str(r["value"])} for r in rows]
+        table = Dictionary(kinds | {"value": text}, rows=told).as_table(SparkSession.active().range(0))
+        return Dictionary(kinds, table=cut(table.withColumn("value", F.col("value").cast(kind))), size=len(rows))
+
     def sorted_rows(self, rows):
         return rows
 
@@ -210,8 +225,7 @@ class OrderedUniformEncoder(_Ordered, UniformEncoder):
             before += share
         if out:
             out[-1]["hi"] = 1.0
-        kinds = {"value": values.kinds["value"], "n": T.LongType(), "label": T.LongType(), "lo": T.DoubleType(), "hi": T.DoubleType()}
-        self.dictionary = Dictionary(kinds, rows=out, size=len(out))
+        self.dictionary = self.stored(out)
 
 
 class FrequencyEncoder(_Categories):
@@ -283,9 +297,7 @@ class OrderedLabelEncoder(_Ordered, LabelEncoder):
 
     def bind(self, stats, values):
         ordered = self.in_order(values)
-        rows = [{"value": r["value"], "n": r["n"], "label": k, "lo": 0.0, "hi": 0.0} for k, r in enumerate(ordered.rows)]
-        kinds = {"value": values.kinds["value"], "n": T.LongType(), "label": T.LongType(), "lo": T.DoubleType(), "hi": T.DoubleType()}
-        self.dictionary = Dictionary(kinds, rows=rows, size=len(rows))
+        self.dictionary = self.stored([{"value": r["value"], "n": r["n"], "label": k, "lo": 0.0, "hi": 0.0} for k, r in enumerate(ordered.rows)])
 
 
 class CustomLabelEncoder(OrderedLabelEncoder):

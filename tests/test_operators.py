@@ -162,6 +162,27 @@ def test_uniform_values_lie_in_their_intervals_and_are_clipped(spark):
     assert column(t.reverse_transform(frame(spark, [-0.1, 100.0, 0.5], "double"))) == [1, 3, 1]
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ordered_encoders_of_many_categories(spark, kind):
+    order = [None if i == 700 else str((i * 7919) % 1501) for i in range(1501)]
+    values = [v if kind == "string" else v and int(v) for v in order if v not in ("3", "1200")]
+    df = frame(spark, values, kind)
+    t = OrderedLabelEncoder(order)
+    made = t.fit_transform(df, "x", "k")
+    assert column(made) == [order.index(None if v is None else str(v)) for v in values]
+    assert column(t.reverse_transform(made)) == values
+    t = OrderedUniformEncoder(order)
+    made = t.fit_transform(df, "x", "k")
+    share = [0.1 / 2 if v in ("3", "1200") else 0.9 / len(values) for v in order]
+    for v, x in zip(values, column(made), strict=True):
+        at = order.index(None if v is None else str(v))
+        assert sum(share[:at]) - 1e-9 <= x <= sum(share[: at + 1]) + 1e-9
+    assert column(t.reverse_transform(made)) == values
+    for short in (order[:-1], order[1:]):
+        with pytest.raises(TransformerInputError, match="order lacks"):
+            OrderedLabelEncoder(short).fit(df, "x")
+
+
 def test_ordered_encoders(spark):
     df = frame(spark, ["two", "3", "1", None, "zero"], "string")
     assert column(OrderedLabelEncoder(["zero", "1", "two", "3", None]).fit_transform(df, "x", "k")) == [2, 3, 1, 4, 0]
