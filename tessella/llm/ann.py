@@ -37,8 +37,8 @@ SEARCH_BEAM = 160
 BUILD_BATCH, QUERY_BLOCK = 512, 1024
 MOST_PARTITIONS = 20_000
 
-SHARD = "dim int, shard int, h0 binary, h1 binary, vectors binary, edges binary, entry int"
-FOUND = "q0 long, q1 long, h0 long, h1 long, score double"
+SHARD = "dim int, shard int, h0 binary, h1 binary, least binary, vectors binary, edges binary, entry int"
+FOUND = "q0 long, q1 long, h0 long, h1 long, least long, score double"
 
 
 def distances(points: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -194,26 +194,29 @@ def shard_counts(nodes: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each shard of the distinct vectors ``nodes`` (h0, h1, dim, vector)."""
+    """A row for each shard of the distinct vectors ``nodes`` (h0, h1, dim, vector, and least, the smallest of its ids)."""
     placed = nodes.join(shard_counts(nodes, shard_rows), "dim").withColumn("shard", F.pmod(F.xxhash64("h0", "h1"), F.col("shards")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h0", "ascending"), ("h1", "ascending")])
         vectors = np.concatenate([c.flatten().to_numpy() for c in table.column("vector").chunks]).reshape(table.num_rows, -1)
         edges, entry = build_graph(vectors.astype(np.float32))
-        keys = [np.concatenate([c.to_numpy() for c in table.column(h).chunks]) for h in ("h0", "h1")]
+        keys = [np.concatenate([c.to_numpy() for c in table.column(h).chunks]) for h in ("h0", "h1", "least")]
         out = [table.column("dim")[0].as_py(), table.column("shard")[0].as_py(), *(k.astype("<i8").tobytes() for k in keys), vectors.astype("<f8").tobytes(), edges.astype("<i4").tobytes(), entry]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(out, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
     # a shard's bytes are few and its work is much, so shards are not put together by size
     shards = placed.agg(F.sum(F.lit(1.0) / shard_rows)).first()[0] or 0
     parts = min(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * math.ceil(shards)), MOST_PARTITIONS)
-    return placed.select("dim", "shard", "h0", "h1", "vector").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, SHARD)
+    return placed.select("dim", "shard", "h0", "h1", "least", "vector").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, SHARD)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """For each distinct query vector (h0, h1, dim, vector) up to ``k`` nodes of each shard: q0, q1, h0, h1, score."""
+    """For each distinct query vector (h0, h1, dim, vector) up to ``k`` nodes of each shard: q0, q1, h0, h1, least, score.
+
+    Nodes at one distance are taken by their smallest id.
+    """
     sizes = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
     blocked = queries.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("h1", "h0"), F.col("blocks")).cast("int"))
     shards = index.groupBy("dim").agg(F.collect_set("shard").alias("all"))
@@ -222,11 +225,11 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in FOUND.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
         row = left.to_pylist()[0]
-        h0, h1 = (np.frombuffer(row[h], "<i8") for h in ("h0", "h1"))
+        h0, h1, least = (np.frombuffer(row[h], "<i8") for h in ("h0", "h1", "least"))
         vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(h0), -1)
         edges = np.frombuffer(row["edges"], "<i4").reshape(len(h0), -1).astype(np.int64)
         small = vectors.astype(np.float32)
@@ -236,13 +239,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
         for at in range(0, len(asked), 256):
             points = asked[at : at + 256]
             ids, _ = beam_search(small, edges, row["entry"], points.astype(np.float32), min(max(beam, k), max(len(h0), 1)))
-            exact = np.where(ids >= 0, distances(points, vectors, np.maximum(ids, 0)), np.inf)
-            order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            exact = np.where(ids >= 0, np.sqrt(distances(points, vectors, np.maximum(ids, 0))), np.inf)
+            order = np.lexsort((least[np.maximum(ids, 0)], exact), axis=1)[:, :k]
             rows = np.arange(len(points))[:, None]
             ids, exact = ids[rows, order], exact[rows, order]
             r, c = np.nonzero(np.isfinite(exact))
             hit = ids[r, c]
-            parts.append((q0[at + r], q1[at + r], h0[hit], h1[hit], np.sqrt(exact[r, c])))
+            parts.append((q0[at + r], q1[at + r], h0[hit], h1[hit], least[hit], exact[r, c]))
         return pa.Table.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 
     return held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(search, FOUND)
@@ -254,14 +257,14 @@ def nearest(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     Nearest by Euclidean distance in double precision, ties to the smaller vec_id.
     """
     usable = _usable(rows, id_col, vector_col)
-    distinct = usable.groupBy("h0", "h1", "dim").agg(F.any_value("vector").alias("vector"))
+    distinct = usable.groupBy("h0", "h1", "dim").agg(F.any_value("vector").alias("vector"), F.min("vec_id").alias("least"))
     nodes = cut(distinct)
     index = cut(build_index(nodes, shard_rows))
     asking = cut(usable.where(is_query).select("h0", "h1", F.col("vec_id").alias("query_id")).distinct())
     asked = nodes.join(asking.select("h0", "h1").distinct(), ["h0", "h1"])
     found = search_index(index, asked, k + 1, beam)
     # a query's own vector is one of the k + 1; each holds k + 1 ids at most that can matter
-    w = Window.partitionBy("q0", "q1").orderBy("score", "h0", "h1")
+    w = Window.partitionBy("q0", "q1").orderBy("score", "least", "h0", "h1")
     found = cut(found.withColumn("_k", F.dense_rank().over(w)).where(F.col("_k") <= k + 1).drop("_k"))
     members = smallest_ids(usable, k + 1)
     candidates = found.join(members, ["h0", "h1"]).select(F.col("q0").alias("h0"), F.col("q1").alias("h1"), "score", "vec_id")

@@ -142,6 +142,14 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), "vec_id % 100 = 0").count() == 0
 
 
+@pytest.mark.parametrize(("n", "shard_rows"), [(30, 8192), (60, 20)])
+def test_many_vectors_at_one_distance(spark, n, shard_rows):
+    # shards that a search meets whole: which of the found ones stay is what counts here
+    df = spark.range(n).selectExpr("id AS vec_id", f"transform(sequence(0, {n - 1}), i -> IF(i = id, 1.0D, 0.0D)) AS embedding")
+    got = [(r.rank, r.vec_id) for r in ann.nearest(df, f"vec_id = {n - 1}", shard_rows=shard_rows).orderBy("rank").collect()]
+    assert got == [(i + 1, i) for i in range(10)]
+
+
 def test_many_equal_vectors(spark):
     df = spark.range(3000).selectExpr("id AS vec_id", "CASE WHEN id % 3 = 0 THEN array(1.0D, 2.0D) ELSE array(sin(id), cos(id)) END AS embedding")
     got = {}
