@@ -546,7 +546,8 @@ def regex_match(spark, sf_dir):
 def regex_scale(spark, sf_dir):
     """Each value came three times, so each string does."""
     n = table(spark, sf_dir, "customer").count() // 3 * 3
-    data = table(spark, sf_dir, "customer", "c_custkey", "row_number() OVER (ORDER BY c_custkey) - 1 AS i").where(f"i < {n}")
+    data = table(spark, sf_dir, "customer", "c_custkey")
+    data = running(data, [F.col("c_custkey")], F.lit(1)).select("c_custkey", F.col("_number").alias("i")).where(f"i < {n}")
     t = RegexGenerator("[A-Z]{3}", cardinality_rule="scale")
     t.fit(data.selectExpr("c_custkey", "CAST(i / 3 AS BIGINT) AS x"), "x", "c_custkey")
     return t.reverse_transform(data.select("c_custkey"))
