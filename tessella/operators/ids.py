@@ -133,9 +133,14 @@ class RegexGenerator(Generator):
 
     def scrambled(self, i, draws):
         """A number of a string from a row's number: an affine step over the pattern's strings, which hits each once."""
-        size = min(self.strings.size, 1 << 31)
+        size = min(self.strings.size, (1 << 63) - 1)
         step = next(s for s in range(size * 618 // 1000 + 1, 2 * size + 2) if _coprime(s, size))
-        return (i * F.lit(step) + F.lit(draws.seed % size)) % F.lit(size)
+        if size <= 1 << 31:
+            return (i * F.lit(step) + F.lit(draws.seed % size)) % F.lit(size)
+        # products of two 63-bit numbers have 38 digits at most
+        wide = lambda x: x.cast("decimal(19,0)")
+        product = (wide(i) * wide(F.lit(step % size))) % wide(F.lit(size))
+        return ((product + wide(F.lit(draws.seed % size))) % wide(F.lit(size))).cast("long")
 
     def string_column(self, i, draws):
         return self.strings.column(self.scrambled(i, draws) if self.generation_order == "scrambled" else i)

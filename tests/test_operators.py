@@ -5,6 +5,7 @@ import math
 from statistics import NormalDist, fmean, pstdev
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.errors import InvalidDataError, TransformerInputError, TransformerProcessingError
 from tessella.operators.boolean import BinaryEncoder
@@ -312,3 +313,17 @@ def test_pseudonyms(spark):
     assert set(t.get_mapping()) == {"a", "b"}
     with pytest.raises(Exception, match="not seen"):
         t.transform(frame(spark, ["new"], "string")).collect()
+
+
+def test_scrambled_goes_through_all_strings_of_a_large_pattern(spark):
+    for pattern, size in (("[A-Z0-9]{10}", 36**10), ("[0-9]{18}", 10**18), ("[A-Z0-9]{20}", 2**63 - 1)):
+        t = RegexGenerator(pattern, cardinality_rule="unique", generation_order="scrambled")
+        draws = t.draws("reverse_transform")
+        numbers = [0, 1, 2, 3, 4, 2**31 - 1, 2**31, 2**31 + 1, 2**32, size - 1]
+        df = spark.createDataFrame([(i,) for i in numbers], "i long")
+        made = [r.x for r in df.select("i", t.scrambled(F.col("i"), draws).alias("x")).orderBy("i").collect()]
+        assert len(set(made)) == len(numbers)
+        step = (made[1] - made[0]) % size
+        assert math.gcd(step, size) == 1
+        assert made == [(made[0] + i * step) % size for i in numbers]
+        assert max(made) > size // 2
