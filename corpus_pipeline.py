@@ -30,10 +30,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that a document with a smaller id has are cut out."""
-    kept = substring_dedup.remove_repeats(docs)
+    # the documents' own columns are one, whatever their names are
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text", own))
     less = F.col("n_removed") > 0
-    changed = {"text": F.when(less, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(less, F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return kept.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": F.when(less, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(less, F.length("kept_text")).otherwise(F.col("_row.n_chars"))}
+    return kept.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

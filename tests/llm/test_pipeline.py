@@ -52,3 +52,14 @@ def test_repeats_are_cut_out(kept):
 def test_all_tokens_are_packed(kept):
     assert {r.doc_id for r in kept[4]} == {r.doc_id for r in kept[3]}
     assert all(sum(r.length for r in own) == own[0].doc_tokens for own in ([r for r in kept[4] if r.doc_id == d] for d in {r.doc_id for r in kept[4]}))
+
+
+def test_documents_keep_columns_that_are_named_like_the_operators(spark):
+    names = ["n_words", "n_removed", "kept_text", "_copy", "_spots", "_key", "_doc", "_row"]
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(d, text, len(text), *[f"{n} {d}" for n in names]) for d in (1, 2)], "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    made = corpus_pipeline.without_repeats(spark, docs, None)
+    assert made.columns == docs.columns
+    rows = made.orderBy("doc_id").collect()
+    assert [(r.text, r.n_chars) for r in rows] == [(text, len(text)), ("", 0)]
+    assert [[r[n] for n in names] for r in rows] == [[f"{n} {d}" for n in names] for d in (1, 2)]
