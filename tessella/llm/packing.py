@@ -6,6 +6,10 @@ room, the fullest is emitted and a new one opened. The windows that are still op
 a partition's end, of which there are so many per partition at most, are merged in
 groups of partitions, and only their pieces move.
 
+Texts with a run of more than LONG_RUN bytes of white space, or without any, are split
+into words here, one at a time, and their long words are merged in numpy rounds: the
+library that encodes the others fails on such runs, or takes the square of their length.
+
 Defined cases: a null text has no ids but the closing one; an empty table gives an
 empty result; a row without id is packed too (its pieces have a null doc_id); repeated
 rows are packed each; other columns are left out.
@@ -20,17 +24,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import byte_characters
+from tessella.llm.bpe import Merges, byte_characters, merge_pairs
 from tessella.llm.common import column_buffers, cut, slices
+from tessella.llm.textscan import SPACE
 
 SLICE_BYTES = 4 << 20
-#: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
+#: Bytes of one run beyond which a text is split into words here, and of a word beyond which it is merged here.
+LONG_RUN, LONG_WORD = 4096, 512
+#: The pattern by which byte-level vocabularies of this kind split text, and the same with its white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 PIECES = "doc_id long, doc_tokens long, start long, ids binary, window long, offset long, open boolean"
 
@@ -55,17 +65,62 @@ class ByteBpe:
             spec = json.load(f)
         pieces, model = spec["pre_tokenizer"], spec["model"]
         plain = pieces["type"] == "ByteLevel" and pieces.get("use_regex", True) and not pieces["add_prefix_space"] and not spec["normalizer"]
-        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        merged = [model["vocab"]["".join(m)] for m in merge_pairs(spec)]
         if not plain or model.get("ignore_merges") or merged != sorted(merged) or merged and merged[0] < 256:
             raise ValueError("not a plain byte-level vocabulary in the order of its merges")
-        byte = {c: b for b, c in byte_characters().items()}
+        characters = byte_characters()
+        byte = {c: b for b, c in characters.items()}
         ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        own = self.fast.encode_ordinary
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if any(s in t for s in self.special) else own(t), "<u4").tobytes() for t in texts]
+        self.merges = Merges(model["vocab"], merge_pairs(spec))
+        self.byte_ids = np.array([model["vocab"][characters[b]] for b in range(256)], np.int64)
+        self.special_ids = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+
+    def encode_by_word(self, text: str) -> bytes:
+        """The ids of a text with long runs; its short words are met once each."""
+        out: list[bytes] = []
+        met: dict[str, bytes] = {}
+        parts = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text) if any(s in text for s in self.special) else [text]
+        for part in parts:
+            if part in self.special_ids:
+                out.append(np.uint32(self.special_ids[part]).tobytes())
+                continue
+            for match in WORDS.finditer(part):
+                word = match.group()
+                if len(word) > LONG_WORD:
+                    symbols = self.byte_ids[np.frombuffer(word.encode(), np.uint8)]
+                    out.append(self.merges.long_rounds(symbols, np.zeros(len(symbols), np.int64))[0].astype("<u4").tobytes())
+                    continue
+                if word not in met:
+                    if len(met) >= 1 << 16:
+                        met.clear()
+                    met[word] = np.array(self.fast.encode_ordinary(word), "<u4").tobytes()
+                out.append(met[word])
+        return b"".join(out)
+
+    def encode(self, texts: list[str], long: set[int]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers; ``long`` has the places of texts with long runs."""
+        out = []
+        for k, t in enumerate(texts):
+            if k in long:
+                out.append(self.encode_by_word(t))
+            elif any(s in t for s in self.special):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(np.array(self.fast.encode_ordinary(t), "<u4").tobytes())
+        return out
+
+
+def long_runs(data: np.ndarray, offsets: np.ndarray, most: int = LONG_RUN) -> set[int]:
+    """The rows that hold more than ``most`` bytes in a row of white space (the ASCII one), or without any."""
+    rows = np.flatnonzero(np.diff(offsets) > most)
+    out = set()
+    for r in rows.tolist():
+        space = SPACE[data[offsets[r] : offsets[r + 1]]]
+        edges = np.concatenate([[0], np.flatnonzero(space[1:] != space[:-1]) + 1, [len(space)]])
+        if np.diff(edges).max() > most:
+            out.add(r)
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -142,9 +197,9 @@ def pack(df: DataFrame, path: str, end_id: int, size: int = 2048, open_windows:
         bpe, end = encoder(path), np.uint32(end_id).tobytes()
         windows = Windows(size, open_windows, TaskContext.get().partitionId() << 40)
         for whole in batches:
-            _, offsets = column_buffers(whole.column(1))
+            data, offsets = column_buffers(whole.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
-                ids = bpe.encode([t or "" for t in whole.column(1).slice(i, j - i).to_pylist()])
+                ids = bpe.encode([t or "" for t in whole.column(1).slice(i, j - i).to_pylist()], long_runs(data, offsets[i : j + 1]))
                 for doc_id, own in zip(whole.column(0).slice(i, j - i).to_pylist(), ids, strict=True):
                     windows.add(doc_id, own + end)
                 yield windows.batch()

@@ -19,8 +19,8 @@ WORD_BASES = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 #: Bytes, or words, that are summed at a time; it bounds the tables of powers, and fits the cache.
 PART = 1 << 17
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -56,7 +56,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = SPACE[data]
     start = ~space
     start[1:] &= space[:-1]
     end = ~space
