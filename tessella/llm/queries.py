@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import ann, bpe, chat_formatting, media, near_dedup, packing, quality, substring_dedup, url_filters, warc
@@ -69,9 +68,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def sites(docs: DataFrame) -> tuple[Column, Column]:
+    """A document's host and path. Documents have no URL: the source stands for the host, and the path in it
+    is the language and the power of two of the text's length, which leaves many paths sparse."""
+    size = F.floor(F.log2(F.length(F.coalesce("text", F.lit(""))) + 1)).cast("string")
+    return F.col("source"), F.concat_ws("/", F.coalesce("lang", F.lit("")), size)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's site is its source, the path below it the part in one language."""
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, table(spark, sf_dir, "labels"), *sites(docs))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
