@@ -67,8 +67,9 @@ def test_op6_quality_on_held_out_labels(spark, sf_dir):
 
     sf = "/root/testdata/sf0.01"
     labels, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
-    judged = quality.judge(docs, labels.where("doc_id % 2 = 0"), "source", "lang").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    judged = quality.judge(docs, labels.where("doc_id % 2 = 0"), *queries.sites(docs)).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     low, good = ([r.rejected for r in judged if r.quality == q] for q in (0, 1))
+    print("rejected of low and of good", sum(low) / len(low), sum(good) / len(good))
     assert sum(low) / len(low) > 0.9
     assert sum(good) / len(good) < 0.02
     assert queries.op6_quality(spark, sf_dir).count() == 200

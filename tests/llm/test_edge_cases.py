@@ -2,9 +2,11 @@
 
 import gzip
 import io
+import math
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    odd = ["don't", "ΑΣ ΣΑΣ", "İstanbul", "a\x1fb", "<|endoftext|>x", "x<|startoftext|>", "ﬁ ② ½", "é́", "12345", " x　y", "!!!???", "Ǆ ß", "a" * 3000]
+    odd = ["don't", "ΑΣ ΣΑΣ", "İstanbul", "a\x1fb", "<|endoftext|>x", "x<|startoftext|>", "ﬁ ② ½", "é́", "12345", " x　y", "!!!???", "Ǆ ß", "a" * 3000, "ab" * 700_000, "".join(chr(97 + i * i % 26) for i in range(1_000_000)), "!" * 1_000_000, " " * 1_000_000 + "x", "word " * 500_000]
     assert [list(memoryview(b).cast("i")) for b in bpe.encoder(path).encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
     df = docs.sparkSession.createDataFrame([(1, [0, None, 99999999, 5]), (2, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(df, path).collect()} == {1: t.decode([0]) + " " + t.decode([5]), 2: ""}
@@ -89,7 +91,23 @@ def test_packing_of_odd_texts(docs, none):
     assert packing.pack(none, path, 1).count() == 0
     odd = ["", " ", "a\nb", "\n\n x", "don't 's", "<|endoftext|> x", "a b", "x\r\ny", "é́ ß", "a" * 3000]
     own = packing.encoder(path)
-    assert [list(memoryview(b).cast("I")) for b in own.encode(odd)] == [e.ids for e in own.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    for by_word in (set(), set(range(len(odd)))):
+        assert [list(memoryview(b).cast("I")) for b in own.encode(odd, by_word)] == [e.ids for e in own.tokenizer.encode_batch(odd, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [1_000_000, 5_000_000])
+def test_packing_of_long_runs(spark, n):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    letters = "".join(chr(97 + i * i * 7 % 26) for i in range(n))
+    texts = [" " * n, " " * n + "x", "a  b\n" + "\n" * n + "b\n\nc", letters, "it's" + "!" * n + "<|endoftext|> end\x1c\x85\xa0 it'll" + "\xe9" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    pieces = {}
+    for r in packing.pack(df, path, 1).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    library = packing.encoder(path).tokenizer
+    for d, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(x for _, x in sorted(pieces[d])), "<u4")
+        assert np.array_equal(ids, np.array([*library.encode(text, add_special_tokens=False).ids, 1]))
 
 
 def test_substring_dedup(spark, docs, none):
@@ -113,24 +131,46 @@ def test_difference_covers():
 
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (6, 1), (None, 0)], "doc_id long, quality int")
-    made = quality.judge(docs, labels, "source", "lang")
+    site = F.col("source"), F.col("lang")
+    made = quality.judge(docs, labels, *site)
     assert made.count() == len(ROWS)
     assert all(0 <= r.low_quality <= 1 for r in made.collect())
-    assert quality.judge(none, labels, "source", "lang").count() == 0
-    kept = quality.keep_good(docs, labels.limit(0), "source", "lang")
-    assert kept.columns == docs.columns
+    assert quality.judge(none, labels, *site).count() == 0
+    clashing = docs.withColumns({c: F.lit("own") for c in ("host", "path", "evidence", "_text", "_row", "_id", "_n", "low_quality", "label")})
+    kept = quality.keep_good(clashing, labels.limit(0), *site)
+    assert kept.columns == clashing.columns
     assert kept.count() == len(ROWS)
+    assert {r.evidence for r in kept.collect()} == {"own"}
+    assert quality.judge(clashing, labels, *site).count() == len(ROWS)
+
+
+def test_quality_of_a_very_long_text(spark):
+    texts = [(1, "word " * 400_000), (2, "x" * 1_000_000), (3, "\n" * 1_000_000)]
+    docs = spark.createDataFrame([(d, t, "s", "l") for d, t in texts], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    assert quality.judge(docs, labels, F.col("source"), F.col("lang")).count() == 3
 
 
-def test_sparse_sites_take_their_parents_rate(spark):
-    rows = [("bad", "p", 6.0)] * 300 + [("good", "p", -6.0)] * 300 + [("mixed", "p", 6.0)] * 150 + [("mixed", "p", -6.0)] * 150 + [("new", "p", 0.0)]
-    scored = spark.createDataFrame(rows, "host string, path string, evidence double")
+def test_rates_and_posteriors_against_sums_over_all_other_rows(spark):
+    rows = [("bad", "p", 6.0)] * 40 + [("good", "p", -6.0)] * 40 + [("mixed", "p", 6.0)] * 15 + [("mixed", "q", -6.0)] * 15 + [("mixed", "r", 1.0)]
+    rows += [("alone", "p", 2.0), ("new", "p", 0.0), (None, None, 1.5), (None, "p", -1.0), ("two", "p", 3.0), ("two", None, -3.0)]
+    scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, host string, path string, evidence double")
     rates = quality.site_rates(scored, 0.3)
-    found = {r.host: r for r in quality.posteriors(scored, rates, 0.3).collect()}
-    assert found["bad"].host_rate > 0.9
-    assert found["good"].host_rate < 0.1
-    assert 0.2 < found["new"].host_rate < 0.8
-    assert found["new"].low_quality == pytest.approx(found["new"].host_rate, abs=0.2)
+    found = sorted((r.i, r.host_rate, r.path_rate, r.low_quality) for r in quality.posteriors(scored, rates, 0.3).collect())
+    expected = quality.posteriors_by_brute_force(rows, 0.3, rates.host_weight, rates.path_weight)
+    assert [f[1:] for f in found] == [pytest.approx(e, abs=1e-9) for e in expected]
+    # a site of one document has the corpus's rate, whatever the document's own evidence is
+    alone = quality.posteriors(scored.where("host = 'alone'").withColumn("evidence", F.lit(2.0)), rates, 0.3).first()
+    others = [1 / (1 + math.exp(-(e + math.log(0.3 / 0.7)))) for h, _, e in rows if h != "alone"]
+    assert alone.path_rate == pytest.approx((sum(others) + 1) / (len(others) + 2), abs=1e-5)
+
+
+def test_the_fit_takes_a_bounded_share_of_the_labels(spark):
+    texts = spark.range(400).selectExpr("id AS _id", "IF(id % 2 = 0, 'good words here', 'BAD!!! | |') AS _text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 = 0 AS INT) AS quality")
+    model = quality.fit_documents(texts, labels, "doc_id", "quality", most=100)
+    assert 0.2 < model.prior < 0.8
+    assert model.weights.any()
 
 
 def test_nearest_neighbours(spark):
