@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm import near_dedup, packing, quality, substring_dedup
 from tessella.llm.common import cut, table
-from tessella.llm.queries import pieces_digest, tokenizer
+from tessella.llm.queries import pieces_digest, sites, tokenizer
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"), "source", "lang")
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), *sites(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
