@@ -1,16 +1,24 @@
 """Approximate nearest neighbours: a robust-pruned directed graph per shard, searched with a beam.
 
 Equal vectors are one node of the index; their ids are met again after the search, of
-which the smallest few can be among a query's nearest. Nodes are dealt to shards of
-about SHARD_ROWS by their hash. A shard's graph grows in batches that double: greedy
-searches from the entry propose neighbours, relaxed distance pruning keeps diverse
-edges (a candidate goes if a kept neighbour is nearer to it by the factor ALPHA), and
-edges back are pruned again where a node has too many. A second pass runs over all
-nodes. Each shard answers each query by beam search, and a query's best of all shards
-are ranked by exact distances.
-
-An index is a table, so it may be written and queried later. Queries meet shards in
-blocks of QUERY_BLOCK; a task holds one shard and one block.
+which the smallest few can be among a query's nearest. Nodes are dealt to cells by their
+nearest centroid, and a cell of more than SHARD_ROWS nodes to several shards by hash. A
+shard's graph grows in batches that double: greedy searches from the entry propose
+neighbours, relaxed distance pruning keeps diverse edges (a candidate goes if a kept
+neighbour is nearer to it by the factor ALPHA), and edges back are pruned again where a
+node has too many. A second pass runs over all nodes. A query asks the shards of its
+nearest cells by beam search, and its best of all of them are ranked by exact distances.
+
+Centroids are fitted on a bounded sample (64 vectors a centroid, SAMPLE_VALUES
+components for vectors of one length), and are MOST_CELLS at most, of CENTROID_VALUES
+components together; every row is indexed. How many cells a query asks is measured: the
+true neighbours of up to CALIBRATED queries, found among all nodes, tell how many of the
+nearest cells hold the share COVERED of them. Clustered vectors need few cells, whatever
+their number; vectors without any structure need most of them, as no routing can tell
+where their neighbours are. ``probes`` sets the number instead; 0 asks every cell.
+
+An index is a table, so it may be written and queried later. Queries meet a shard in
+blocks of about QUERY_BLOCK; a task holds one shard and one block.
 
 Defined cases: vectors that are null, empty or zero, or hold a null or a component that
 is not finite, take no part, as rows with a null id; vectors of several lengths are
@@ -28,16 +36,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import cut
 
 SHARD_ROWS = 8192
-DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
+DEGREE, BUILD_BEAM, ALPHA = 32, 32, 1.2
 SEARCH_BEAM = 160
 BUILD_BATCH, QUERY_BLOCK = 512, 1024
 MOST_PARTITIONS = 20_000
+#: Bounds of the routing: centroids for vectors of one length and their sample, components of all centroids, lengths that have centroids.
+MOST_CELLS, SAMPLE_VALUES, CENTROID_VALUES, ROUTED_LENGTHS = 4096, 8 << 20, 4 << 20, 256
+#: Queries for each length that the number of probed cells is measured on, and the share of true neighbours that it must hold.
+CALIBRATED, COVERED = 64, 0.97
 
-SHARD = "dim int, shard int, h0 binary, h1 binary, least binary, vectors binary, edges binary, entry int"
+SHARD = "dim int, cell int, shard int, h0 binary, h1 binary, least binary, vectors binary, edges binary, entry int"
 FOUND = "q0 long, q1 long, h0 long, h1 long, least long, score double"
 
 
@@ -85,20 +98,24 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, entry: int, points: np.n
 
 def robust_prune(vectors: np.ndarray, nodes: np.ndarray, ids: np.ndarray, far: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Of each node's candidates (sorted by squared distance; -1: none), up to ``degree`` diverse ones."""
-    alive = (ids >= 0) & (ids != nodes[:, None]) & np.isfinite(far)
     out = np.full((len(nodes), degree), -1, np.int64)
-    among = vectors[np.maximum(ids, 0)]
-    square = alpha * alpha
-    for k in range(degree):
-        best = alive.argmax(axis=1)
-        some = np.flatnonzero(alive[np.arange(len(nodes)), best])
-        if not len(some):
-            break
-        best = best[some]
-        out[some, k] = ids[some, best]
-        x = among[some] - among[some, best][:, None, :]
-        alive[some] &= square * np.einsum("ijk,ijk->ij", x, x) > far[some]
-        alive[some, best] = False
+    step = max(1, (4 << 20) // ids.shape[1] ** 2)
+    for at in range(0, len(nodes), step):
+        part = slice(at, at + step)
+        alive = (ids[part] >= 0) & (ids[part] != nodes[part, None]) & np.isfinite(far[part])
+        among = vectors[np.maximum(ids[part], 0)]
+        norm = np.einsum("ijk,ijk->ij", among, among)
+        between = norm[:, :, None] + norm[:, None, :] - 2 * (among @ among.transpose(0, 2, 1))
+        between *= alpha * alpha
+        for k in range(degree):
+            best = alive.argmax(axis=1)
+            some = np.flatnonzero(alive[np.arange(len(alive)), best])
+            if not len(some):
+                break
+            best = best[some]
+            out[at + some, k] = ids[at + some, best]
+            alive[some] &= between[some, best] > far[at + some]
+            alive[some, best] = False
     return out
 
 
@@ -189,39 +206,150 @@ def smallest_ids(usable: DataFrame, most: int) -> DataFrame:
     return usable.select("h0", "h1", "vec_id").withColumn("_k", F.dense_rank().over(w)).where(F.col("_k") <= most).select("h0", "h1", "vec_id").distinct()
 
 
-def shard_counts(nodes: DataFrame, shard_rows: int) -> DataFrame:
-    return nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("shards"))
+def vectors_by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, rows and vectors of each length in a batch with dim and vector."""
+    dims = batch.column(batch.schema.get_field_index("dim")).to_numpy().astype(np.int64)
+    flat = batch.column(batch.schema.get_field_index("vector")).flatten().to_numpy(zero_copy_only=False)
+    begins = np.cumsum(dims) - dims
+    for d in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == d)
+        yield d, rows, flat[begins[rows][:, None] + np.arange(d)].astype(np.float32)
+
+
+def to_centroids(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances less the vectors' own squares."""
+    return np.einsum("ij,ij->i", centroids, centroids)[None, :] - 2 * (vectors @ centroids.T)
+
+
+def k_means(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centroids of a sample; one that loses all its vectors stays."""
+    centroids = sample[np.random.default_rng(k).permutation(len(sample))[:k]].copy()
+    for _ in range(rounds):
+        at = np.concatenate([to_centroids(sample[i : i + 4096], centroids).argmin(axis=1) for i in range(0, len(sample), 4096)])
+        order = np.argsort(at, kind="stable")
+        own, first, count = np.unique(at[order], return_index=True, return_counts=True)
+        centroids[own] = np.add.reduceat(sample[order], first, axis=0) / count[:, None]
+    return centroids
+
+
+def fit_centroids(nodes: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
+    """Centroids for the lengths that have more nodes than a shard: at most CENTROID_VALUES components."""
+    counts = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).orderBy(F.desc("n"), "dim").limit(ROUTED_LENGTHS).collect()
+    cells = {r.dim: min(MOST_CELLS, math.ceil(r.n / (0.7 * shard_rows))) for r in counts}
+    share = min(1.0, CENTROID_VALUES / max(1, sum(d * k for d, k in cells.items())))
+    cells = {d: max(1, int(k * share)) for d, k in cells.items()}
+    if not cells:
+        return {}
+    rows = {r.dim: min(1.0, min(64 * cells[r.dim], SAMPLE_VALUES // r.dim + 1) / r.n) for r in counts}
+    wanted = F.element_at(F.create_map(*[F.lit(x) for d, share in rows.items() for x in (d, int(share * (1 << 30)))]), F.col("dim"))
+    sample = nodes.where(F.col("dim").isin(list(cells))).where(F.pmod(F.xxhash64("h0", "h1"), F.lit(1 << 30)) < wanted).select("dim", "h0", "vector")
+
+    def fit(table: pa.Table) -> pa.Table:
+        d = table.column("dim")[0].as_py()
+        table = table.sort_by("h0")
+        vectors = np.concatenate([c.flatten().to_numpy() for c in table.column("vector").chunks]).reshape(table.num_rows, d)
+        return pa.table({"dim": pa.array([d], pa.int32()), "centroids": pa.array([k_means(vectors.astype(np.float32), cells[d]).astype("<f4").tobytes()], pa.binary())})
+
+    fitted = sample.groupBy("dim").applyInArrow(fit, "dim int, centroids binary").collect()
+    return {r.dim: np.frombuffer(bytes(r.centroids), "<f4").reshape(-1, r.dim) for r in fitted}
+
+
+def with_cell(nodes: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
+    """Add the cell of each node: its nearest centroid, 0 for lengths without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int32)
+            for d, rows, vectors in vectors_by_length(batch):
+                for i in range(0, len(rows) if d in centroids else 0, 4096):
+                    cell[rows[i : i + 4096]] = to_centroids(vectors[i : i + 4096], centroids[d]).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def with_probes(queries: DataFrame, centroids: dict[int, np.ndarray], probes: dict[int, int]) -> DataFrame:
+    """h0, h1, dim, vector and cell: a row for each cell that a query asks, the nearest ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d, rows, vectors in vectors_by_length(batch):
+                most = probes.get(d) or len(centroids.get(d, "1"))
+                asked = np.argsort(to_centroids(vectors, centroids[d]), axis=1, kind="stable")[:, :most] if d in centroids else np.zeros((len(rows), 1), np.int64)
+                row.append(np.repeat(rows, asked.shape[1]))
+                cell.append(asked.reshape(-1))
+            taken = batch.take(pa.array(np.concatenate(row)))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(cell).astype(np.int32))], [*batch.schema.names, "cell"])
+
+    return queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def measured_probes(placed: DataFrame, queries: DataFrame, centroids: dict[int, np.ndarray], k: int) -> dict[int, int]:
+    """For each length, how many of its nearest cells a query must ask to meet the share COVERED of its ``k`` nearest."""
+    if not centroids:
+        return {}
+    by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("h1", "h0"), "h0", "h1")
+    some = queries.where(F.col("dim").isin(list(centroids))).withColumn("_k", F.row_number().over(by_hash)).where(F.col("_k") <= CALIBRATED).select("dim", "vector").collect()
+    sample = {d: np.array([r.vector for r in some if r.dim == d], np.float32) for d in {r.dim for r in some}}
+    names = ["dim", "query", "score", "cell"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+            for d, rows, vectors in vectors_by_length(batch):
+                if d not in sample:
+                    continue
+                far = np.einsum("ij,ij->i", vectors, vectors)[None, :] - 2 * (sample[d] @ vectors.T) + np.einsum("ij,ij->i", sample[d], sample[d])[:, None]
+                order = np.argsort(far, axis=1, kind="stable")[:, : k + 1]
+                n, m = order.shape
+                columns = (np.full(n * m, d, np.int32), np.repeat(np.arange(n, dtype=np.int32), m), np.take_along_axis(far, order, 1).reshape(-1).astype(np.float64), cells[rows[order]].reshape(-1))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    found = placed.select("dim", "vector", "cell").mapInArrow(best, "dim int, query int, score double, cell int")
+    near = Window.partitionBy("dim", "query").orderBy("score", "cell")
+    rows = found.withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= k + 1).where("_k > 1").collect()  # the first is the query itself
+    out = {}
+    for d, points in sample.items():
+        place = np.argsort(np.argsort(to_centroids(points, centroids[d]), axis=1, kind="stable"), axis=1)
+        needed = np.sort([place[r["query"], r.cell] for r in rows if r.dim == d])
+        out[d] = int(needed[min(len(needed) - 1, math.ceil(COVERED * len(needed)) - 1)]) + 1 if len(needed) else 0
+    return out
+
+
+def cell_shards(placed: DataFrame, shard_rows: int) -> DataFrame:
+    """dim, cell and the number of shards of each cell."""
+    return placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("shards"))
 
 
-def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each shard of the distinct vectors ``nodes`` (h0, h1, dim, vector, and least, the smallest of its ids)."""
-    placed = nodes.join(shard_counts(nodes, shard_rows), "dim").withColumn("shard", F.pmod(F.xxhash64("h0", "h1"), F.col("shards")).cast("int"))
+def build_index(placed: DataFrame, shards: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """A row for each shard of the distinct vectors ``placed`` (h0, h1, dim, vector, least (the smallest of its ids) and cell)."""
+    dealt = placed.join(shards, ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("h0", "h1"), F.col("shards")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h0", "ascending"), ("h1", "ascending")])
         vectors = np.concatenate([c.flatten().to_numpy() for c in table.column("vector").chunks]).reshape(table.num_rows, -1)
         edges, entry = build_graph(vectors.astype(np.float32))
         keys = [np.concatenate([c.to_numpy() for c in table.column(h).chunks]) for h in ("h0", "h1", "least")]
-        out = [table.column("dim")[0].as_py(), table.column("shard")[0].as_py(), *(k.astype("<i8").tobytes() for k in keys), vectors.astype("<f8").tobytes(), edges.astype("<i4").tobytes(), entry]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        out = [*(table.column(c)[0].as_py() for c in ("dim", "cell", "shard")), *(k.astype("<i8").tobytes() for k in keys), vectors.astype("<f8").tobytes(), edges.astype("<i4").tobytes(), entry]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(out, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
     # a shard's bytes are few and its work is much, so shards are not put together by size
-    shards = placed.agg(F.sum(F.lit(1.0) / shard_rows)).first()[0] or 0
-    parts = min(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * math.ceil(shards)), MOST_PARTITIONS)
-    return placed.select("dim", "shard", "h0", "h1", "least", "vector").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, SHARD)
+    n = shards.agg(F.sum("shards")).first()[0] or 0
+    parts = min(max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * n), MOST_PARTITIONS)
+    return dealt.select("dim", "cell", "shard", "h0", "h1", "least", "vector").repartition(parts, "dim", "cell", "shard").groupBy("dim", "cell", "shard").applyInArrow(build, SHARD)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """For each distinct query vector (h0, h1, dim, vector) up to ``k`` nodes of each shard: q0, q1, h0, h1, least, score.
+def search_index(index: DataFrame, shards: DataFrame, probed: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
+    """For each distinct query vector and cell (h0, h1, dim, vector, cell) up to ``k`` nodes of each of its shards: q0, q1, h0, h1, least, score.
 
     Nodes at one distance are taken by their smallest id.
     """
-    sizes = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
-    blocked = queries.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("h1", "h0"), F.col("blocks")).cast("int"))
-    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("all"))
-    asked = blocked.join(shards, "dim").select("dim", F.explode("all").alias("shard"), "block", F.col("h0").alias("q0"), F.col("h1").alias("q1"), "vector")
-    held = index.join(sizes, "dim").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sizes = probed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("blocks")).join(shards, ["dim", "cell"])
+    asked = probed.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("h1", "h0"), F.col("blocks")).cast("int"))
+    asked = asked.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", F.col("h0").alias("q0"), F.col("h1").alias("q1"), "vector")
+    held = index.join(sizes.select("dim", "cell", "blocks"), ["dim", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in FOUND.split(", ")]
@@ -248,10 +376,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
             parts.append((q0[at + r], q1[at + r], h0[hit], h1[hit], least[hit], exact[r, c]))
         return pa.Table.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 
-    return held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(search, FOUND)
+    return held.groupBy("dim", "cell", "shard", "block").cogroup(asked.groupBy("dim", "cell", "shard", "block")).applyInArrow(search, FOUND)
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM, probes: int | None = None) -> DataFrame:
     """The ``k`` nearest rows found for each row that fits the SQL condition ``is_query`` (on vec_id): query_id, rank, vec_id, score.
 
     Nearest by Euclidean distance in double precision, ties to the smaller vec_id.
@@ -259,10 +387,14 @@ def nearest(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     usable = _usable(rows, id_col, vector_col)
     distinct = usable.groupBy("h0", "h1", "dim").agg(F.any_value("vector").alias("vector"), F.min("vec_id").alias("least"))
     nodes = cut(distinct)
-    index = cut(build_index(nodes, shard_rows))
+    centroids = fit_centroids(nodes, shard_rows)
+    placed = cut(with_cell(nodes, centroids))
+    shards = cut(cell_shards(placed, shard_rows))
+    index = cut(build_index(placed, shards, shard_rows))
     asking = cut(usable.where(is_query).select("h0", "h1", F.col("vec_id").alias("query_id")).distinct())
     asked = nodes.join(asking.select("h0", "h1").distinct(), ["h0", "h1"])
-    found = search_index(index, asked, k + 1, beam)
+    needed = measured_probes(placed, asked, centroids, k) if probes is None else dict.fromkeys(centroids, probes)
+    found = search_index(index, shards, with_probes(asked, centroids, needed), k + 1, beam)
     # a query's own vector is one of the k + 1; each holds k + 1 ids at most that can matter
     w = Window.partitionBy("q0", "q1").orderBy("score", "least", "h0", "h1")
     found = cut(found.withColumn("_k", F.dense_rank().over(w)).where(F.col("_k") <= k + 1).drop("_k"))
