@@ -13,9 +13,12 @@ have a window at all. Nothing here pairs documents: anchors and windows are met
 aggregates and equi-joins, which split hot keys. Texts move to the places that are
 nominated (to count windows, then to mark them), and to the words that go.
 
-Windows are compared by 128-bit hashes, texts by 64-bit ones (128 bits for copies). Defined cases: a null text has no words; a row
-with a null id keeps all words and removes none elsewhere; rows that repeat an id are
-judged each, and don't remove each other's words; an empty table gives an empty result.
+Windows are compared by 128-bit hashes, texts by 64-bit ones (128 bits for copies).
+
+Defined cases: a null text has no words; a row with a null id keeps all words and removes
+none elsewhere; rows that repeat an id are judged each, and don't remove each other's
+words; an empty table gives an empty result; columns of the input named like an output
+(n_words, n_removed, kept_text) are replaced, all others stay, whatever their names are.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ SLICE_BYTES = 2 << 20
 #: Perfect difference covers (fixed values): period and cover.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
+OUTPUTS = ["n_words", "n_removed", "kept_text"]
 ANCHORS = "text_key long, hash long, pos int"
 WINDOWS = "doc_id long, text_key long, h0 long, h1 long, pos int"
 
@@ -114,17 +118,15 @@ def _windows(window: int):
     return run
 
 
-def _strip(window: int, text_col: str, names: list[str]):
+def _strip(window: int):
+    """Of rows (_row, _text, _spots, _copy) the kept words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            _, all_offsets = column_buffers(whole.column(whole.schema.get_field_index(text_col)))
-            for a, b in slices(all_offsets, SLICE_BYTES):
-                batch = whole.slice(a, b - a)
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                spots = batch.column(batch.schema.get_field_index("_spots"))
-                copies = batch.column(batch.schema.get_field_index("_copy")).to_pylist()
+            own, texts, spots, copies = (whole.column(whole.schema.get_field_index(n)) for n in ("_row", "_text", "_spots", "_copy"))
+            for i, j in slices(column_buffers(texts)[1], SLICE_BYTES):
                 kept, n_words, n_removed = [], [], []
-                for text, spot, copy in zip(texts, spots, copies, strict=True):
+                for text, spot, copy in zip(texts.slice(i, j - i).to_pylist(), spots.slice(i, j - i), copies.slice(i, j - i).to_pylist(), strict=True):
                     words = (text or "").encode().split()
                     gone = np.zeros(len(words) + 1, np.int64)
                     if copy and len(words) >= window:
@@ -137,10 +139,9 @@ def _strip(window: int, text_col: str, names: list[str]):
                     n_words.append(len(words))
                     n_removed.append(int(len(words) - stay.sum()))
                     kept.append(b" ".join([words[k] for k in np.flatnonzero(stay)] if n_removed[-1] else words).decode())
-                columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                    [*names, "n_words", "n_removed", "kept_text"],
+                    [own.slice(i, j - i), texts.slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                    ["_row", "_text", *OUTPUTS],
                 )
 
     return run
@@ -148,21 +149,23 @@ def _strip(window: int, text_col: str, names: list[str]):
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, and n_words, n_removed and kept_text (the kept words joined by one space)."""
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_copy", "_spots", "_key", "_doc")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_key"))
-    keyed = rows.where(F.col("_doc").isNotNull() & F.col(text_col).isNotNull())
+    names = [c for c in docs.columns if c not in OUTPUTS]
+    # the documents' own columns are one, so none of their names can clash
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("_row")
+    rows = docs.select(own, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_key"))
+    keyed = rows.where("_doc IS NOT NULL AND _text IS NOT NULL")
 
-    ids = keyed.select("_doc", "_key", F.xxhash64(F.lit(1), F.col(text_col)).alias("_key2"))
+    ids = keyed.select("_doc", "_key", F.xxhash64(F.lit(1), "_text").alias("_key2"))
     first = ids.groupBy("_key", "_key2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
     copies = cut(ids.join(first.where("first < last"), ["_key", "_key2"]).where("_doc > first").select("_doc", "_key").distinct())
 
-    anchors = keyed.select("_key", text_col).mapInArrow(_anchors(window), ANCHORS)
+    anchors = keyed.select("_key", "_text").mapInArrow(_anchors(window), ANCHORS)
     shared = cut(anchors.groupBy("hash").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least < most").select("hash"))
     spots = anchors.join(shared, "hash").groupBy(F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("spots"))
     spots = cut(spots.join(first.groupBy("_key").agg(F.min("first").alias("_doc")), "_key").select("_doc", "_key", "spots"))
-    near = keyed.select("_doc", "_key", text_col).join(spots.hint("shuffle_hash"), ["_doc", "_key"])
+    near = keyed.select("_doc", "_key", "_text").join(spots, ["_doc", "_key"])
 
-    windows = near.select("_doc", "_key", text_col, "spots").mapInArrow(_windows(window), WINDOWS)
+    windows = near.select("_doc", "_key", "_text", "spots").mapInArrow(_windows(window), WINDOWS)
     # a table of its own, so the join below can split a window that very many documents share
     smallest = cut(windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h0", "h1", "first"))
     gone = windows.join(smallest, ["h0", "h1"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_spots"))
@@ -172,9 +175,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             copies.select("_doc", "_key", F.lit(None).cast("array<int>").alias("_spots"), F.lit(True).alias("_copy"))
         )
     )
-    marked = rows.join(marks.hint("shuffle_hash"), ["_doc", "_key"], "left").drop("_doc", "_key")
-    schema = T.StructType([docs.schema[c] for c in names]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    return marked.mapInArrow(_strip(window, text_col, names), schema)
+    marked = rows.join(marks, ["_doc", "_key"], "left").select("_row", "_text", "_spots", "_copy")
+    schema = T.StructType([marked.schema["_row"], marked.schema["_text"]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    stripped = marked.mapInArrow(_strip(window), schema)
+    return stripped.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], *OUTPUTS)
 
 
 def kept_digest(kept: DataFrame) -> DataFrame:
