@@ -24,10 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import cut
+
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 8192
+#: Bytes of the records that an archive's dictionary is built from (every so-manieth of them), and of a dictionary, at most.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
+ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 ID = "urn:page:"
@@ -37,14 +41,18 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, payload_digest and refers_to (null for responses)."""
+    """page_id, url, payload, payload_digest and refers_to (null for responses).
+
+    Digests find the repeated payloads; the marks of revisits are a small table as a
+    rule, which Spark broadcasts then, so that payloads are not shuffled.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= least_bytes
-    first = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    refers = F.when(large & (F.col("page_id") > F.col("first")), F.col("first"))
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
+    large = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "payload_digest")
+    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    marks = cut(large.join(first, "payload_digest").where("page_id > refers_to").distinct())
+    return rows.join(marks, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_digest", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -132,20 +140,28 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     for frame in frames(memoryview(content)):
         (magic,) = struct.unpack_from("<I", frame)
         if magic == DICTIONARY_FRAME:
-            unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(frame[8:])))
+            raw = bytes(frame[8:])
+            if raw[:4] == ZSTD_MAGIC:  # the format allows a compressed dictionary
+                raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+            unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         elif magic & 0xFFFFFFF0 != 0x184D2A50:
-            head, _, rest = unpack.decompress(frame).partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            fields = {k.lower(): v for k, v in fields.items()}
-            yield fields, rest[: int(fields["content-length"])]
+            # a frame need not tell its content's size
+            head, _, rest = unpack.decompressobj().decompress(frame).partition(b"\r\n\r\n")
+            fields = (line.split(":", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+            fields = {k.strip().lower(): v.strip() for k, v in fields}
+            yield fields, rest[: int(fields.get("content-length", 0))]
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records: page_id, url, record_type, refers_to, payload (null for revisits), payload_digest (as archived)."""
+    """The records: page_id, url, record_type, refers_to, payload (null for revisits), payload_digest (as archived).
+
+    Of archives that others wrote, records have null ids, a payload is what follows an
+    HTTP header, or the whole block, and only SHA-256 digests are checked.
+    """
 
     def number(text: str | None) -> int | None:
         digits = (text or "").removeprefix(f"<{ID}").removesuffix(">")
-        return int(digits) if digits else None
+        return int(digits) if digits.removeprefix("-").isascii() and digits.removeprefix("-").isdigit() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
@@ -158,11 +174,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for content in batch.column(0):
                 rows, size = [], 0
                 for fields, block in records(content.as_py()):
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"record {fields['warc-record-id']} is damaged")
-                    rows.append((number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), payload if kind == "response" else None, digest))
+                    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+                    kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest")
+                    digest = stated and stated.removeprefix("sha256:")
+                    if kind == "response" and digest != stated and hashlib.sha256(payload).hexdigest() != digest.lower():
+                        raise ValueError(f"record {fields.get('warc-record-id')} is damaged")
+                    rows.append((number(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), None if kind == "revisit" else payload, digest))
                     size += len(payload)
                     if size > 4 << 20:
                         yield out(rows)
