@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
         return cut(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
     # the texts of one id are one vertex
-    several = keyed.join(reps, ["k0", "k1"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
-    same = several.select("a", F.explode("all").alias("b")).where("a < b")
+    own = keyed.join(reps, ["k0", "k1"]).select("doc_id", "node")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    same = own.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
     first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tried = cut(first.join(side("a"), "a").join(side("b"), "b").where(_may_link("a_", "b_", limit, threshold_percent)).select("a", "b"))
     parts = merged(None, linked(tried).unionByName(same))
