@@ -1,57 +1,22 @@
-"""Shared helpers: table loading, lineage cuts in the shared folder, Arrow batch access."""
+"""Shared helpers: table loading, lineage cuts, Arrow batch access."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: list[str] = []
-#: Spark's setting by which a query's shuffle files go at its end.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from tessella.functions.tables import cut, shared_root
 
+__all__ = ["column_buffers", "cut", "drop_cut", "slices", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the corpus tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only in local mode, where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="spark-"))
-    return f"file://{_LOCAL_ROOT[0]}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors.
-
-    The write's shuffle files go when it has ended: nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that nothing reads any more."""
     spark, root = df.sparkSession, shared_root(df.sparkSession)
@@ -83,22 +48,3 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
-
-
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` over each batch on its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
-
-    return df.mapInArrow(run, schema)
-
-
-def hex_sha256(col: Column) -> Column:
-    return F.sha2(col, 256)
