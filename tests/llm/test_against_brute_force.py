@@ -1,12 +1,15 @@
 """Each operator's query over the smallest tables, against a plain computation of the same."""
 
 import hashlib
+import io
+import wave
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.llm import ann, near_dedup, queries, substring_dedup
+from tessella.llm import ann, media, near_dedup, queries, substring_dedup
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +56,12 @@ def test_op4_media(spark, sf_dir, documents):
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_bytes == len(payload) + 44
-        assert r.feature.startswith("audio/wav;")
+        stored = media.wav_header(len(payload)) + payload
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        with wave.open(io.BytesIO(stored)) as w:  # another reader finds the same samples
+            assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
+        changes = sum(a != b for a, b in zip(payload, payload[1:]))
+        assert r.feature == f"audio/wav;samples={len(payload)};sum={sum(payload)};peak={max(payload)};changes={changes}"
 
 
 def test_op5_substring_dedup(spark, sf_dir, documents):
@@ -102,6 +110,28 @@ def test_op7_graph_recall_in_a_larger_shard():
     assert np.mean([len(set(a) & set(b)) for a, b in zip(exact, found[:, :10], strict=True)]) / 10 >= 0.95
 
 
+def test_op7_recall_over_several_full_shards(spark):
+    """Over 40,000 clustered vectors in full shards: each query asks some of the shards only."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(300, 32))
+    vectors = centers[rng.integers(0, 300, 45_000)] + 0.35 * rng.normal(size=(45_000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in ann.nearest(df, "vec_id % 300 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 150
+    assert all(len(v) == 10 for v in got.values())
+    exact = {q: {int(i) for i in np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1))[1:11]} for q in got}
+    assert np.mean([len(got[q] & exact[q]) for q in got]) >= 9.0
+
+    usable = ann._usable(df, "vec_id", "embedding").withColumn("least", F.col("vec_id")).select("h0", "h1", "dim", "vector", "least")
+    centroids = ann.fit_centroids(usable, ann.SHARD_ROWS)
+    placed = ann.with_cell(usable, centroids)
+    probes = ann.measured_probes(placed, usable, centroids, 10)
+    assert probes[32] <= len(centroids[32]) // 2
+    assert ann.with_probes(usable.limit(10), centroids, probes).count() == 10 * probes[32]
+
+
 def test_op9_packing(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 

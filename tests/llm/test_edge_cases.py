@@ -186,7 +186,7 @@ def test_nearest_neighbours(spark):
 def test_many_vectors_at_one_distance(spark, n, shard_rows):
     # shards that a search meets whole: which of the found ones stay is what counts here
     df = spark.range(n).selectExpr("id AS vec_id", f"transform(sequence(0, {n - 1}), i -> IF(i = id, 1.0D, 0.0D)) AS embedding")
-    got = [(r.rank, r.vec_id) for r in ann.nearest(df, f"vec_id = {n - 1}", shard_rows=shard_rows).orderBy("rank").collect()]
+    got = [(r.rank, r.vec_id) for r in ann.nearest(df, f"vec_id = {n - 1}", shard_rows=shard_rows, probes=0).orderBy("rank").collect()]
     assert got == [(i + 1, i) for i in range(10)]
 
 
@@ -253,6 +253,75 @@ def test_chat(spark):
     assert chat_formatting.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_archives_of_others(spark):
+    import zstandard
+
+    head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: {}\r\nContent-Length: {}\r\nWARC-Payload-Digest: sha1:ABC\r\n\r\n"
+    kinds = [("warcinfo", "application/warc-fields", b"software: x"), ("response", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\n" + b"body " * 9)]
+    plain = [head.format(k, c, len(b)).encode() + b + b"\r\n\r\n" for k, c, b in kinds]
+    words = zstandard.train_dictionary(2048, [bytes([i % 251]) * 40 + plain[i % 2] for i in range(400)])
+    packed = zstandard.ZstdCompressor().compress(words.as_bytes())
+    frames = []
+    for p in plain:
+        c = zstandard.ZstdCompressor(dict_data=words, write_content_size=False).compressobj()
+        frames.append(c.compress(p) + c.flush())
+    content = struct.pack("<II", warc.DICTIONARY_FRAME, len(packed)) + packed + b"".join(frames)
+    got = [tuple(r) for r in warc.read_archives(spark.createDataFrame([("a", content)], "archive_id string, content binary")).collect()]
+    assert [(r[0], r[2], bytes(r[4])) for r in got] == [(None, "warcinfo", b"software: x"), (None, "response", b"body " * 9)]
+
+
+def test_warc_of_a_very_long_page(spark):
+    pages = spark.createDataFrame([(1, "http://a/" + "b" * 100_000, "z" * 5_000_000), (2, "", "z" * 5_000_000)], "page_id long, url string, html string")
+    back = warc.resolve_revisits(warc.record_lengths(warc.read_archives(warc.write_archives(warc.mark_revisits(pages)))))
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in back.collect()) == [(1, "response", 5_000_000), (2, "revisit", 5_000_000)]
+
+
+def test_stored_samples_of_odd_rows(spark, docs):
+    clashing = docs.withColumns({c: F.lit("own") for c in ("media", "samples", "feature", "n_bytes", "detected_type")})
+    made = media.read_samples(media.sniff(media.store_samples(clashing), "media"))
+    rows = made.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        raw = (r.text or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, bytes(r.samples), r.detected_type) == (len(raw), payload, "audio/wav")
+        assert bytes(r.media) == media.wav_header(len(payload)) + payload
+
+
+def test_substring_dedup_keeps_columns_of_any_name(spark):
+    names = ["_row", "_text", "_doc", "_key", "_copy", "_spots"]
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(d, text, "old", *[f"{n} {d}" for n in names]) for d in (1, 2)], "doc_id long, text string, n_words string, " + ", ".join(f"{n} string" for n in names))
+    made = substring_dedup.remove_repeats(docs)
+    assert made.columns == ["doc_id", "text", *names, "n_words", "n_removed", "kept_text"]
+    rows = made.orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed) for r in rows] == [(60, 0), (60, 60)]
+    assert [[r[n] for n in names] for r in rows] == [[f"{n} {d}" for n in names] for d in (1, 2)]
+
+
+def test_many_shapes_of_rules(spark):
+    rules = [(f"h{i % 50}.Example.com" if i % 2 else "example.com", "/" + "p" * (i % 400), "block" if i % 3 else "allow") for i in range(3000)]
+    urls = ["http://h7.example.com/" + "p" * 250 + "?x", "http://x.h7.example.com/", "https://other.example.com/" + "p" * 7 + "q", "http://nothing.org/", "http://" + "a." * 3000 + "example.com/" + "p" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for i, url in enumerate(urls):
+        host, _, path = url.split("://")[1].split("?")[0].partition("/")
+        fits = [(len(h.lower() + p), v == "block", h.lower() + p, v) for h, p, v in rules if (host == h.lower() or host.endswith("." + h.lower())) and ("/" + path).startswith(p)]
+        assert found[i] == ((max(fits)[2], max(fits)[3]) if fits else (None, "allow"))
+
+
+def test_chat_of_very_long_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (2, 0, "user", "x" * 3_000_000), (2, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, r.n_turns) for r in chat_formatting.format_conversations(turns).collect()] == [(2, 2)]
+
+
+def test_ids_with_several_texts(spark):
+    """The texts of one id are one vertex, however many they are."""
+    texts = [(1, " ".join(f"t{k}_{i}" for i in range(20))) for k in range(30)] + [(2, " ".join(f"t7_{i}" for i in range(20))), (3, "something else altogether here now")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([*queries.URL_RULES, ("x.org", "/", "block"), ("X", None, "allow"), ("com", "/fr/", "allow")], "host string, path string, verdict string")
     urls = [None, "no scheme", "http://A.Example.org/es/1?q", "https://example.org/en/12", "ftp://example.org/en/2", "http://b.com/fr/x", "http://b.com/de/", "http://com/de/x#f", "http://notcom/de/", "http://x.org", "http://y.x.org/a", "://org/", "http://org?x=/"]

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain computations, each on what the stage before kept."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -54,6 +55,58 @@ def test_all_tokens_are_packed(kept):
     assert all(sum(r.length for r in own) == own[0].doc_tokens for own in ([r for r in kept[4] if r.doc_id == d] for d in {r.doc_id for r in kept[4]}))
 
 
+def odd_documents(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [
+        (1, " ".join(words), "en", "a"),
+        (2, " ".join(words[:399] + ["other"]), "en", "a"),
+        (3, " ".join(["x"] + words[100:200] + [f"y{i}" for i in range(300)]), "de", "b"),
+        (4, None, None, None),
+        (5, "", "en", "a"),
+        (6, " " * 1_000_000 + "end", "en", "a"),
+        (7, "again and again", "en", "c"),
+        (7, "again and again", "en", "c"),
+        (None, "a text without an id", "en", "c"),
+    ]
+    return spark.createDataFrame([(d, t, g, s, len(t or ""), "own") for d, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _doc string")
+
+
+def test_run_over_odd_documents(spark, tmp_path):
+    docs = odd_documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, sizes = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), docs.schema)
+        sizes.append(sorted(r.doc_id or 0 for r in now.collect()))
+    assert sizes == [[0, 1, 2, 3, 4, 5, 6, 7, 7], [0, 1, 3, 4, 5, 6, 7, 7], [0, 1, 3, 4, 5, 6, 7, 7]]
+    kept = {r.doc_id: r for r in now.collect()}
+    assert kept[3].text == " ".join(["x"] + [f"y{i}" for i in range(300)])
+    assert kept[3].n_chars == len(kept[3].text)
+    assert {r._doc for r in kept.values()} == {"own"}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 6) == 1_000_001
+    assert {r.doc_id for r in pieces} == {None, 1, 3, 4, 5, 6, 7}
+
+
+def test_run_over_no_documents(spark, tmp_path):
+    odd_documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_packed_ids_are_those_of_the_kept_texts(kept):
+    import zlib
+
+    from tessella.llm import packing, queries
+
+    library = packing.encoder(queries.tokenizer("byte_bpe_50k.json")).tokenizer
+    texts = {r.doc_id: r.text for r in kept[3]}
+    for r in kept[4]:
+        ids = [*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_documents_keep_columns_that_are_named_like_the_operators(spark):
     names = ["n_words", "n_removed", "kept_text", "_copy", "_spots", "_key", "_doc", "_row"]
     text = " ".join(f"w{i}" for i in range(60))
