@@ -55,25 +55,80 @@ def has_zone(pattern: str | None) -> bool:
     return bool(pattern) and ("%z" in pattern or "%Z" in pattern)
 
 
-def parsed(x: Column, kind: T.DataType, pattern: str | None) -> Column:
-    """A timestamp; null where a string doesn't fit the pattern."""
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return x.cast("timestamp")
+DAY = 86_400_000_000
+
+
+def micros(x: Column, kind: T.DataType, pattern: str | None) -> Column:
+    """Microseconds since the epoch; null where a string doesn't fit the pattern.
+
+    A value without a zone (a date, a timestamp without one, most strings) counts as UTC,
+    whatever zone the session has.
+    """
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("long") * DAY
+    if isinstance(kind, T.TimestampNTZType):
+        # by parts: a difference of timestamps would be one of the session's zone
+        seconds = F.hour(x) * 3600 + F.minute(x) * 60
+        return F.unix_date(x.cast("date")).cast("long") * DAY + seconds.cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), x) * 1_000_000).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x)
     text = x.cast("long").cast("string") if isinstance(kind, (T.DoubleType, T.FloatType)) else x.cast("string")
     if pattern is None:
-        return text.try_cast("timestamp")
+        return F.coalesce(F.unix_micros(F.when(offset_of(text) != "", text).try_cast("timestamp")), micros(text.try_cast("timestamp_ntz"), T.TimestampNTZType(), None))
     if not isinstance(kind, T.StringType) and pattern.startswith("%m"):
         text = F.when(F.length(text) % 2 == 1, F.concat(F.lit("0"), text)).otherwise(text)  # a number has no leading zero
-    return F.try_to_timestamp(text, F.lit(spark_pattern(pattern, parsing=True)))
+    own = spark_pattern(pattern, parsing=True)
+    if not has_zone(pattern):
+        text, own = F.concat(text, F.lit(" UTC")), f"{own} VV"
+    return F.unix_micros(F.try_to_timestamp(text, F.lit(own)))
 
 
-def nanoseconds(t: Column) -> Column:
-    """Nanoseconds since the epoch as a double."""
-    return F.unix_micros(t).cast("double") * F.lit(1000.0)
+def nanoseconds(micros: Column) -> Column:
+    """Nanoseconds as a double."""
+    return micros.cast("double") * F.lit(1000.0)
 
 
-def from_nanoseconds(v: Column) -> Column:
-    return F.timestamp_micros(F.round(v / F.lit(1000.0)).cast("long"))
+def to_kind(micros: Column, kind: T.DataType) -> Column:
+    """Microseconds since the epoch as a date or timestamp."""
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(F.call_function("div", micros - F.pmod(micros, F.lit(DAY)), F.lit(DAY)).cast("int"))
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(micros)
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def in_zone(micros: Column, zone: str) -> Column:
+    """The microseconds that a zone's clock shows."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(micros), zone))
+
+
+def formatted(micros: Column, pattern: str) -> Column:
+    """Text by a strftime pattern without zones: days by Spark's patterns, the clock by arithmetic, so no session's zone comes in."""
+    pattern = re.sub(r"%[-#]", "%", pattern)
+    for short, long in COMPOSED.items():
+        pattern = pattern.replace(f"%{short}", long)
+    clock = F.pmod(micros, F.lit(DAY))
+    hour = F.call_function("div", clock, F.lit(3_600_000_000))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    of_clock = {
+        "H": two(hour),
+        "I": two((hour + 11) % 12 + 1),
+        "M": two(F.call_function("div", clock, F.lit(60_000_000)) % 60),
+        "S": two(F.call_function("div", clock, F.lit(1_000_000)) % 60),
+        "f": F.lpad((clock % 1_000_000).cast("string"), 6, "0"),
+        "p": F.when(hour < 12, F.lit("AM")).otherwise(F.lit("PM")),
+    }
+    day, out = to_kind(micros, T.DateType()), []
+    for literal, directive in re.findall(r"([^%]+)|%(.)", pattern):
+        if literal or directive == "%":
+            out.append(F.lit(literal or "%"))
+        elif directive in of_clock:
+            out.append(of_clock[directive])
+        elif directive in DIRECTIVES:
+            out.append(F.date_format(day, DIRECTIVES[directive]))
+        else:
+            raise ValueError(f"unknown directive %{directive}")
+    return F.concat(*out) if out else F.lit("")
 
 
 def offset_of(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from datetime import UTC
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ class UnixTimestampEncoder(FloatFormatter):
         return not isinstance(self.kinds[self.columns[0]], (T.TimestampType, T.TimestampNTZType, T.DateType))
 
     def nanoseconds(self, x, pattern: str | None):
-        return D.nanoseconds(D.parsed(x[self.columns[0]], self.kinds[self.columns[0]], pattern))
+        return D.nanoseconds(D.micros(x[self.columns[0]], self.kinds[self.columns[0]], pattern))
 
     def number(self, x):
         return self.nanoseconds(x, self.datetime_format) / F.lit(float(self.unit()))
@@ -86,7 +87,8 @@ class UnixTimestampEncoder(FloatFormatter):
 
     def _set_fitted_parameters(self, column_name: str, null_transformer, min_max_values: tuple | None = None, dtype: T.DataType | None = None) -> None:
         """Fit without data; the extremes are timestamps or nanoseconds."""
-        ends = tuple(float(v.timestamp() * 1e9) if hasattr(v, "timestamp") else float(v) for v in min_max_values) if min_max_values else None
+        told = lambda v: v.replace(tzinfo=v.tzinfo or UTC).timestamp() * 1e9 if hasattr(v, "timestamp") else v
+        ends = tuple(float(told(v)) for v in min_max_values) if min_max_values else None
         super()._set_fitted_parameters(column_name, null_transformer, None, ends, dtype or T.TimestampNTZType())
 
     def formatted(self, v, flag, draws):
@@ -94,17 +96,16 @@ class UnixTimestampEncoder(FloatFormatter):
         v = N.round_half_even(v.cast("double"))
         if self.enforce_min_max_values:
             v = N.clip(v, self.low, self.high)
-        t = D.from_nanoseconds(v * F.lit(float(self.unit())))
+        micros = F.round(v * F.lit(float(self.unit())) / F.lit(1000.0)).cast("long")
         kind = self.kinds[self.columns[0]]
         if not self.is_text():
-            return t.cast(kind)
+            return D.to_kind(micros, kind)
         if self.datetime_format is None:
-            return t.cast("string").cast(kind)
+            return D.to_kind(micros, T.TimestampNTZType()).cast("string").cast(kind)
         if self.zone and D.has_zone(self.datetime_format):
             hours = self.zone if self.zone[0] not in "+-" or ":" in self.zone else f"{self.zone[:3]}:{self.zone[3:]}"
-            t = F.from_utc_timestamp(t.cast("timestamp"), hours) if hours not in ("Z", "UTC") else t
-        pattern = D.spark_pattern(self.datetime_format.replace("%z", self._literal(self.zone or "+0000")).replace("%Z", self._literal(self.zone or "UTC")))
-        text = F.date_format(t, pattern)
+            micros = D.in_zone(micros, hours) if hours not in ("Z", "UTC") else micros
+        text = D.formatted(micros, self.datetime_format.replace("%z", self._literal(self.zone or "+0000")).replace("%Z", self._literal(self.zone or "UTC")))
         return text if isinstance(kind, T.StringType) else text.try_cast(kind)
 
     @staticmethod
@@ -115,8 +116,8 @@ class UnixTimestampEncoder(FloatFormatter):
 class OptimizedTimestampEncoder(UnixTimestampEncoder):
     """The unit is the largest that divides all values; it stays what the fit found."""
 
-    def __init__(self, missing_value_replacement: Any = None, model_missing_values: bool | None = None, datetime_format: str | None = None, missing_value_generation: str | None = "random", enforce_min_max_values: bool = False):
-        super().__init__("mean" if missing_value_replacement is None else missing_value_replacement, model_missing_values, datetime_format, missing_value_generation, enforce_min_max_values)
+    def __init__(self, missing_value_replacement: Any = "mean", model_missing_values: bool | None = None, datetime_format: str | None = None, missing_value_generation: str | None = "random", enforce_min_max_values: bool = False):
+        super().__init__(missing_value_replacement, model_missing_values, datetime_format, missing_value_generation, enforce_min_max_values)
         self.divider = 1
 
     def unit(self) -> int:
@@ -127,7 +128,7 @@ class OptimizedTimestampEncoder(UnixTimestampEncoder):
         patterns = self.candidates if self.is_text() else [None]
         for k, pattern in enumerate(patterns):
             # microseconds are integers, so divisibility is exact; smaller units always divide
-            micros = F.unix_micros(D.parsed(x[self.columns[0]], self.kinds[self.columns[0]], pattern))
+            micros = D.micros(x[self.columns[0]], self.kinds[self.columns[0]], pattern)
             head = f"f{k}." if self.is_text() else ""
             out |= {f"{head}unit{u}": F.bool_and(F.pmod(micros, F.lit(u // 1000)) == 0) for u in UNITS if u > 1000}
         return out
@@ -149,7 +150,7 @@ class OptimizedTimestampEncoder(UnixTimestampEncoder):
         if not self.fitted:
             return self.nanoseconds(x, self.datetime_format)
         # from microseconds, which are integers: a double of nanoseconds may lie just below its value
-        micros, unit = F.unix_micros(D.parsed(x[self.columns[0]], self.kinds[self.columns[0]], self.datetime_format)), F.lit(max(1, self.divider // 1000))
+        micros, unit = D.micros(x[self.columns[0]], self.kinds[self.columns[0]], self.datetime_format), F.lit(max(1, self.divider // 1000))
         return ((micros - F.pmod(micros, unit)) / unit).cast("double")
 
     def filled(self, df, x, draws):
