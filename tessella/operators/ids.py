@@ -4,30 +4,80 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.errors import TransformerInputError
+from tessella.functions.lookup import Dictionary
 from tessella.functions.regexes import enumeration
 from tessella.functions.rng import uniform
-from tessella.functions.tables import running
+from tessella.functions.tables import cut, running
 from tessella.operators.base import KEY, BaseTransformer
 
 #: The hidden column of a row's number, from 0.
 ROW = "__row_number"
 
 
-def with_row_number(df: DataFrame) -> DataFrame:
+def with_row_number(df: DataFrame, keyed: bool = True) -> DataFrame:
     """Number the rows from 0 in the order of their keys.
 
-    Rows are ranged by key and counted by range, so no task sees all of them.
+    Rows are ranged by key and counted by range, so no task sees all of them. Rows that
+    have no keys of their own have numbers within partitions, which counts by partition
+    make dense: nothing is sorted or shuffled.
     """
     if ROW in df.columns:
         return df
+    if not keyed:
+        place = F.col(KEY).cast("long")
+        dealt = cut(df.withColumn("_part", F.shiftright(place, 33)))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"))
+        numbered = dealt.join(F.broadcast(parts), "_part")  # a row for each partition
+        return numbered.withColumn(ROW, F.col("_rows_before") + place.bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_rows_before")
     ordered = [F.length(KEY), F.col(KEY)]
     return running(df, ordered, F.lit(0)).withColumnRenamed("_number", ROW).drop("_before")
 
 
+class Repeats:
+    """Numbers that repeat as a histogram says: each has a count of repetitions drawn by its hash, and calls go on where the last one ended."""
+
+    def __init__(self):
+        #: The next number, and how often it is still to come (0: a new one).
+        self.next, self.left = 0, 0
+
+    def dealt(self, df: DataFrame, n: int, repetitions: list[tuple[int, int]], salt: str):
+        """``df`` (``n`` numbered rows) with a number for each row.
+
+        Counts come from an interval lookup in the cumulative histogram, and running sums
+        deal them to the rows.
+        """
+        if not n:
+            return df, F.lit(self.next).cast("long")
+        distinct = sum(v for _, v in repetitions)
+        mean = sum(r * v for r, v in repetitions) / distinct
+        rows, before = [], 0
+        for r, v in repetitions:
+            rows.append({"value": r, "lo": before / distinct, "hi": (before + v) / distinct})
+            before += v
+        histogram = Dictionary({"value": T.LongType(), "lo": T.DoubleType(), "hi": T.DoubleType()}, rows=rows, size=len(rows))
+        wanted = int(n / mean + 6 * (n / mean) ** 0.5 + 10)
+        while True:
+            ids = df.sparkSession.range(self.next, self.next + wanted)
+            ids, drawn = histogram.interval(ids, uniform(F.col("id").cast("string"), salt), "value", closed="left")
+            count = F.when((F.col("id") == self.next) & F.lit(self.left > 0), F.lit(self.left)).otherwise(drawn).cast("long")
+            numbers = running(ids.select("id", count.alias("r")), [F.col("id")], F.col("r"))
+            if numbers.agg(F.max(F.col("_before") + F.col("r"))).first()[0] >= n:
+                break
+            wanted *= 2
+        last = numbers.where(F.col("_before") < n).agg(F.max(F.struct("id", "r", "_before")).alias("last")).first()["last"]
+        self.left = last.r + last["_before"] - n
+        self.next = last.id + (self.left == 0)
+        end = F.least(F.col("_before") + F.col("r"), F.lit(n)) - 1
+        spread = numbers.where(F.col("_before") < n).select(F.col("id").alias("_string"), F.explode(F.sequence(F.col("_before"), end)).alias("_row"))
+        return df.join(spread, F.col(ROW) == F.col("_row"), "left"), F.col("_string")
+
+
 class Generator(BaseTransformer):
     """What operators share that make a column from nothing."""
 
@@ -40,25 +90,25 @@ class Generator(BaseTransformer):
         self.output_properties = {}
         #: Values made by earlier calls.
         self.made = 0
+        self.repeats = Repeats()
 
     def reset_randomization(self):
         super().reset_randomization()
         self.made = 0
+        self.repeats = Repeats()
 
     def forward(self, df, x, draws):
         return df, {}
 
     def inverse(self, df, y, draws):
-        df = with_row_number(df)
-        df, column = self.generated(df, F.col(ROW), draws)
-        self.made += self.rows_of(df)
+        df = with_row_number(df, bool(self.row_key))
+        n = df.count()  # of a stored table: the numbers of the next call follow these rows
+        df, column = self.generated(df, F.col(ROW), draws, n)
+        self.made += n
         return df, {self.columns[0]: column}
 
-    def rows_of(self, df: DataFrame) -> int:
-        """Rows that the call makes; the numbers of the next call follow them."""
-        return df.count()
-
-    def generated(self, df: DataFrame, number, draws):
+    def generated(self, df: DataFrame, number, draws, n: int):
+        """The frame of ``n`` numbered rows with what was joined, and the column."""
         raise NotImplementedError
 
 
@@ -72,7 +122,7 @@ class IndexGenerator(Generator):
     def bind(self, stats, values):
         self.output_properties = {}
 
-    def generated(self, df, number, draws):
+    def generated(self, df, number, draws, n):
         text = F.concat(F.lit(self.prefix_text or ""), (number + F.lit(self.starting_value + self.made)).cast("string"), F.lit(self.suffix or ""))
         return df, text
 
@@ -145,16 +195,18 @@ class RegexGenerator(Generator):
     def string_column(self, i, draws):
         return self.strings.column(self.scrambled(i, draws) if self.generation_order == "scrambled" else i)
 
-    def generated(self, df, number, draws):
+    def generated(self, df, number, draws, n):
         size = min(self.strings.size, (1 << 63) - 1)
         at = number + F.lit(self.made)
         if self.cardinality_rule == "match":
             if self.n_distinct > size:
                 warnings.warn(f"the pattern has {size} strings, fewer than the {self.n_distinct} values to match", stacklevel=2)
-            n = max(1, self.n_distinct)
-            return df, self.extended(number % F.lit(n), size, draws)
+            return df, self.extended(number % F.lit(max(1, self.n_distinct)), size, draws)
         if self.cardinality_rule == "scale":
-            return self.scaled(df, size, draws)
+            if not self.repetitions:
+                return df, self.string_column(at % F.lit(size), draws)
+            df, text = self.repeats.dealt(df, n, self.repetitions, f"{draws.seed}|{draws.field}|repeat")
+            return df, self.extended(text, size, draws)
         if self.cardinality_rule == "unique":
             return df, self.extended(at, size, draws)
         return df, self.string_column(at % F.lit(size), draws)
@@ -170,29 +222,6 @@ class RegexGenerator(Generator):
             beyond = F.concat(again, F.lit("("), (F.call_function("div", i, F.lit(size)) - 1).cast("string"), F.lit(")"))
         return F.when(i < F.lit(size), text).otherwise(beyond)
 
-    def scaled(self, df: DataFrame, size: int, draws):
-        """Each string gets a count of repetitions drawn from the histogram; running sums deal them to the rows."""
-        if not self.repetitions:
-            return df, self.string_column(F.col(ROW) % F.lit(size), draws)
-        n = df.count()
-        mean = sum(r * v for r, v in self.repetitions) / self.n_distinct
-        wanted = int(n / mean + 6 * (n / mean) ** 0.5 + 10) if len(self.repetitions) > 1 else -(-n // self.repetitions[0][0])
-        before, drawn = 0, None
-        u = uniform(F.col("id").cast("string"), draws.salt("repeat")) * F.lit(float(self.n_distinct))
-        for r, v in self.repetitions:
-            before += v
-            drawn = F.when(u < F.lit(float(before)), F.lit(r)) if drawn is None else drawn.when(u < F.lit(float(before)), F.lit(r))
-        spark = df.sparkSession
-        while True:
-            ids = spark.range(wanted).withColumn("r", drawn.otherwise(F.lit(self.repetitions[-1][0])).cast("long"))
-            if ids.agg(F.sum("r")).first()[0] >= n:
-                break
-            wanted *= 2
-        dealt = running(ids, [F.col("id")], F.col("r"))
-        dealt = dealt.where(F.col("_before") < n).select("id", F.explode(F.sequence(F.col("_before"), F.least(F.col("_before") + F.col("r") - 1, F.lit(n - 1)))).alias("_row"))
-        joined = df.join(dealt.withColumnRenamed("id", "_string"), F.col(ROW) == F.col("_row"), "left")
-        return joined, self.extended(F.col("_string"), size, draws)
-
 
 def _coprime(a: int, b: int) -> bool:
     while b:

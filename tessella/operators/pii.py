@@ -84,16 +84,17 @@ class AnonymizedFaker(Generator):
     def value(self, key, salt: str):
         return CATALOGUE[self.provider_name][self.function_name](lambda part: uniform(key, f"{salt}|{part}"), **self.function_kwargs)
 
-    def generated(self, df, number, draws: Draws):
+    def generated(self, df, number, draws: Draws, n: int):
         at, salt = number + F.lit(self.made), draws.salt("fake")
-        n = df.count() if self.cardinality_rule == "scale" or self.null_share and self.missing_value_generation else 0
         if self.cardinality_rule is None:
             made = self.value(at.cast("string"), salt)
         else:
             if self.cardinality_rule == "match":
                 at = number % F.lit(max(1, self.n_distinct))
             elif self.cardinality_rule == "scale" and self.repetitions:
-                df, at = self._scaled(df, n, draws)
+                # a number keeps its value over calls
+                salt = f"{draws.seed}|{draws.field}|fake"
+                df, at = self.repeats.dealt(df, n, self.repetitions, f"{draws.seed}|{draws.field}|repeat")
             df, made = self._distinct(df, at, salt)
         if self.missing_value_generation and self.null_share:
             # as many nulls as the share says, at the rows with the smallest random numbers
@@ -112,14 +113,6 @@ class AnonymizedFaker(Generator):
         named = numbers.join(least, "_value").select(F.col("_at").alias("_number_of"), F.when(F.col("_at") == F.col("_least"), F.col("_value")).otherwise(F.concat("_value", F.lit("-"), F.col("_at").cast("string"))).alias("_named"))
         return df.join(named, F.col("_at") == F.col("_number_of"), "left"), F.col("_named")
 
-    def _scaled(self, df, n, draws):
-        from tessella.operators.ids import RegexGenerator
-
-        helper = RegexGenerator("x{1}")
-        helper.columns, helper.repetitions, helper.n_distinct = self.columns, self.repetitions, self.n_distinct
-        joined, _ = helper.scaled(df, 1, draws)
-        return joined, F.col("_string")
-
 
 class PseudoAnonymizedFaker(AnonymizedFaker):
     """Each value becomes a fake one of its own; reverse gives the fake values, not the originals."""

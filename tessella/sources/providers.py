@@ -38,9 +38,9 @@ def number(u: Column, digits: int) -> Column:
     return F.lpad(whole(u, 0, 10**digits - 1).cast("string"), digits, "0")
 
 
-def filled(draw: Draw, template: str, digit: str = "#", letter: str = "?") -> Column:
+def filled(draw: Draw, template: str, digit: str = "#", letter: str = "?", letters: str = LETTERS) -> Column:
     """A template whose marks for digits and letters are replaced one by one."""
-    parts = [pick(draw(f"{i}"), list(DIGITS if c == digit else LETTERS)) if c in (digit, letter) and c else F.lit(c) for i, c in enumerate(template)]
+    parts = [pick(draw(f"{i}"), list(DIGITS if c == digit else letters)) if c in (digit, letter) and c else F.lit(c) for i, c in enumerate(template)]
     return F.concat(*parts) if parts else F.lit("")
 
 
@@ -68,10 +68,10 @@ def _agent(draw: Draw) -> Column:
 #: Provider to function to column maker (which takes a drawing function and keyword arguments).
 CATALOGUE: dict[str, dict[str, Callable[..., Column]]] = {
     "BaseProvider": {
-        "lexify": lambda draw, text="????", letters=LETTERS: filled(draw, text, digit="\0"),
+        "lexify": lambda draw, text="????", letters=LETTERS: filled(draw, text, digit="\0", letters=letters),
         "numerify": lambda draw, text="###": filled(draw, text, letter="\0"),
-        "bothify": lambda draw, text="## ??", letters=LETTERS: filled(draw, text),
-        "random_int": lambda draw, min=0, max=9999, step=1: whole(draw("n"), min, max),
+        "bothify": lambda draw, text="## ??", letters=LETTERS: filled(draw, text, letters=letters),
+        "random_int": lambda draw, min=0, max=9999, step=1: whole(draw("n"), 0, (max - min) // step) * step + min,
         "random_element": lambda draw, elements=("a", "b", "c"): pick(draw("e"), list(elements)),
     },
     "person": {"name": _name, "first_name": lambda draw: pick(draw("first"), FIRST), "last_name": lambda draw: pick(draw("last"), LAST)},
