@@ -1,8 +1,9 @@
 """Dictionaries from fits, met by literals while they are small and by joins beyond.
 
 A dictionary has a row for each value: ``value`` and other columns. Up to LITERALS rows
-it is a part of the plan (a map, or a CASE for intervals); a larger one stays a table
-and is joined, and Spark broadcasts it only if its size allows.
+it is a part of the plan: an array for labels, a map or CASE of up to CASES entries, or
+so few literal rows that they are broadcast. A larger one stays a table and is joined,
+and Spark broadcasts it only if its size allows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a dictionary that may be written into a plan, and rows that a CASE may have.
+#: Rows of a dictionary that may be written into a plan, and rows that a map or a CASE, which are searched one by one, may have.
 LITERALS, CASES = 1000, 64
 
 
@@ -62,6 +63,19 @@ class Dictionary:
             filled = [r for r in self.rows if r[by] is not None]
             null = next((r for r in self.rows if r[by] is None), None)
             out = {}
+            if [r[by] for r in filled] == list(range(len(filled))) and filled and isinstance(kind, T.LongType):
+                # labels from 0: places in an array
+                place = F.when((key >= 0) & (key < len(filled)), (key + 1).cast("int"))
+                for c in wanted:
+                    at = F.element_at(F.array(*[typed(r[c], self.kinds[c]) for r in filled]), place)
+                    out[c] = F.when(key.isNull(), typed(null[c] if null else None, self.kinds[c])).otherwise(at)
+                return df, out
+            if len(filled) > CASES:
+                tag = uuid4().hex[:8]
+                names = {c: f"_{c}_{tag}" for c in dict.fromkeys([by, *wanted])}
+                one = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(*[typed(r[c], self.kinds[c]).alias(n) for c, n in names.items()]) for r in self.rows])).alias("r"))
+                joined = df.join(F.broadcast(one.select("r.*")), key.eqNullSafe(F.col(names[by])), "left")  # LITERALS rows at most
+                return joined, {c: F.col(names[c]) for c in wanted}
             for c in wanted:
                 of_null = typed(null[c] if null else None, self.kinds[c])
                 if filled:

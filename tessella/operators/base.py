@@ -34,6 +34,7 @@ def with_key(df: DataFrame, row_key: str | list[str] | None) -> DataFrame:
     if KEY in df.columns:
         return df
     names = [row_key] if isinstance(row_key, str) else list(row_key or [])
+    # without a key a row has its place in the input's partitions: an input that is not read from files should be stored first
     if not names:
         return df.withColumn(KEY, F.monotonically_increasing_id().cast("string"))
     return df.withColumn(KEY, F.concat_ws("|", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]))
@@ -84,9 +85,8 @@ class BaseTransformer:
         """Input columns by name."""
         raise NotImplementedError
 
-    def checks(self, x: dict[str, Column]) -> dict[str, Column]:
-        """Conditions under which a value can't be transformed, by message: asked for in eager validation."""
-        return {}
+    def validate(self, data: DataFrame) -> None:
+        """Warn of values that the operator can't keep; asked for by ``transform(data, validate=True)``."""
 
     # metadata
 
@@ -192,11 +192,16 @@ class BaseTransformer:
         if not self.fitted:
             raise NotFittedError(f"the {self.get_name()} is not fitted")
 
-    def transform(self, data: DataFrame) -> DataFrame:
-        """Replace the input columns by the outputs; data without them stay as they are."""
+    def transform(self, data: DataFrame, validate: bool = False) -> DataFrame:
+        """Replace the input columns by the outputs; data without them stay as they are.
+
+        ``validate`` looks for values that the fit has not seen, and warns: a job of its own.
+        """
         if any(c not in data.columns for c in self.columns):
             return data
         self.require_fitted()
+        if validate:
+            self.validate(data)
         df = with_key(data, self.row_key)
         df, made = self.forward(df, self.inputs(), self.draws("transform"))
         self.calls["transform"] += 1

@@ -9,7 +9,7 @@ from __future__ import annotations
 import warnings
 from typing import Any
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,7 +79,7 @@ class _Categories(BaseTransformer):
         if self.order_by:
             return [F.col("value").asc_nulls_last()]
         if self.row_key:
-            return [F.length("first"), F.col("first"), F.col("value")]
+            return [F.col("first").try_cast("decimal(38,0)").asc_nulls_last(), F.length("first"), F.col("first"), F.col("value")]
         return [F.desc("n"), F.col("value").asc_nulls_last()]
 
     def numbered(self, values: Dictionary) -> Dictionary:
@@ -105,6 +105,20 @@ class _Categories(BaseTransformer):
         """Whether a value is left missing."""
         return x.isNull() if self.missing_value_encoding is None else F.lit(False)
 
+    def listed(self) -> list[dict]:
+        """The dictionary's rows, if they are few enough for the driver."""
+        if self.dictionary.rows is None:
+            raise TransformerInputError(f"column '{self.name}' has {self.dictionary.size} categories, too many for a Python dictionary: use mapping_table")
+        return self.dictionary.rows
+
+    def mapping_table(self, df) -> DataFrame:
+        """The categories with their labels and intervals, however many they are."""
+        return self.dictionary.as_table(df)
+
+    def validate(self, data) -> None:
+        """Warn of values that the fit has not seen (a job of its own)."""
+        self.warn_of_unseen(data)
+
     def random_known(self, draws, purpose: str = "unseen") -> Column:
         """A label drawn evenly."""
         return F.floor(draws.uniform(purpose) * F.lit(float(max(1, self.dictionary.size)))).cast("long")
@@ -122,8 +136,9 @@ class _Categories(BaseTransformer):
 
 
 def _key_order(key: str) -> tuple:
-    """Keys that are numbers are in the order of numbers."""
-    return len(key), key
+    """Keys that are whole numbers are in the order of numbers, others by length and text."""
+    digits = key.removeprefix("-")
+    return (0, int(key), "") if digits.isascii() and digits.isdigit() else (1, len(key), key)
 
 
 def _plain(value: Any) -> Any:
@@ -138,11 +153,11 @@ class UniformEncoder(_Categories):
 
     @property
     def intervals(self) -> dict:
-        return {r["value"]: [r["lo"], r["hi"]] for r in self.dictionary.rows or []}
+        return {r["value"]: [r["lo"], r["hi"]] for r in self.listed()}
 
     @property
     def frequencies(self) -> dict:
-        return {r["value"]: r["hi"] - r["lo"] for r in self.dictionary.rows or []}
+        return {r["value"]: r["hi"] - r["lo"] for r in self.listed()}
 
     def _set_fitted_parameters(self, column_name: str, intervals: dict, dtype: T.DataType | None = None) -> None:
         """Fit without data."""
@@ -240,7 +255,7 @@ class FrequencyEncoder(_Categories):
         return sorted(rows, key=lambda r: (-r["n"], *(_key_order(r["first"]) if r.get("first") is not None else (r["value"] is None, _plain(r["value"])))))
 
     def table_order(self):
-        return [F.desc("n"), F.length("first"), F.col("first"), F.col("value").asc_nulls_last()]
+        return [F.desc("n"), F.col("first").try_cast("decimal(38,0)").asc_nulls_last(), F.length("first"), F.col("first"), F.col("value").asc_nulls_last()]
 
     def forward(self, df, x, draws):
         df, at = self.dictionary.lookup(df, x[self.name], "value", ["lo", "hi"])
@@ -268,11 +283,11 @@ class LabelEncoder(_Categories):
 
     @property
     def values_to_categories(self) -> dict:
-        return {r["label"]: r["value"] for r in self.dictionary.rows or []}
+        return {r["label"]: r["value"] for r in self.listed()}
 
     @property
     def categories_to_values(self) -> dict:
-        return {r["value"]: r["label"] for r in self.dictionary.rows or []}
+        return {r["value"]: r["label"] for r in self.listed()}
 
     def forward(self, df, x, draws):
         v = x[self.name]
@@ -311,16 +326,17 @@ class CustomLabelEncoder(OrderedLabelEncoder):
 class OneHotEncoder(_Categories):
     """An indicator for each category, and one for missing values if there are any."""
 
-    #: Categories, which are columns of the output.
+    #: Categories, which are columns of the output, at most; a plan of more columns is the caller's choice.
     MOST = 1000
 
-    def __init__(self):
+    def __init__(self, most_columns: int = MOST):
         super().__init__(None, "new_category")
+        self.most_columns = most_columns
 
     def bind(self, stats, values):
-        if values.rows is None or values.size > self.MOST:
-            raise TransformerInputError(f"column '{self.name}' has more than {self.MOST} categories, too many for columns")
-        rows = self.sorted_rows(values.rows)
+        if values.size > self.most_columns:
+            raise TransformerInputError(f"column '{self.name}' has {values.size} categories, more than {self.most_columns} columns: see most_columns")
+        rows = self.sorted_rows(values.rows if values.rows is not None else [r.asDict() for r in values.table.collect()])
         rows = [r for r in rows if r["value"] is not None] + [r for r in rows if r["value"] is None]
         self.dictionary = Dictionary({"value": values.kinds["value"], "label": T.LongType()}, rows=[{"value": r["value"], "label": k} for k, r in enumerate(rows)], size=len(rows))
         self.output_properties = {f"value{k}": {"sdtype": "float", "next_transformer": None} for k in range(len(rows))}

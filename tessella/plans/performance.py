@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.operators.base import BaseTransformer
 from tessella.sources.demo import random_column
@@ -28,6 +29,13 @@ def _timed(work: Callable[[], object], times: int) -> float:
     return sum(took) / len(took)
 
 
+def nulls_left(transformed: DataFrame, transformer: BaseTransformer) -> dict[str, int]:
+    """How many nulls each output column of a transform still has (only those that have some)."""
+    names = transformer.get_output_columns()
+    found = transformed.agg(*[F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in names]).first() if names else {}
+    return {n: found[n] for n in names if found[n]}
+
+
 def profile_transformer(spark: SparkSession, transformer: BaseTransformer, sdtype: str, generator: str, rows: int, nulls: bool = False, times: int = 3) -> dict[str, float]:
     """Mean seconds of fit, transform and reverse_transform over a cached table, and the plan's size in bytes."""
     data = random_column(spark, sdtype, generator, rows, nulls).cache()
