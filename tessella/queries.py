@@ -7,6 +7,7 @@ Doubles are rounded to six digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tessella.functions.mixtures import Mixture
 from tessella.functions.numeric import normal_cdf_sql, normal_ppf_sql
 from tessella.functions.rng import uniform_sql
 from tessella.functions.tables import running
-from tessella.operators.base import ColumnFunctions
+from tessella.operators.base import ColumnFunctions, with_key
 from tessella.operators.boolean import BinaryEncoder
 from tessella.operators.categorical import FrequencyEncoder, LabelEncoder, OneHotEncoder, OrderedLabelEncoder, OrderedUniformEncoder, UniformEncoder
 from tessella.operators.ids import IndexGenerator, RegexGenerator
@@ -25,8 +26,10 @@ from tessella.operators.null import NullTransformer
 from tessella.operators.numeric import ClusterBasedNormalizer, FloatFormatter, GaussianNormalizer, LogitScaler, LogScaler
 from tessella.operators.pii import AnonymizedFaker, PseudoAnonymizedFaker
 from tessella.operators.temporal import OptimizedTimestampEncoder, UnixTimestampEncoder
+from tessella.plans.fusion import fit_together
 from tessella.plans.table import HyperTransformer
-from tessella.sources.demo import GENERATORS, get_demo, random_column
+from tessella.sources.demo import CARDS, DEMO_ROWS, GENERATORS, get_demo, random_column
+from tessella.sources.providers import DOMAINS, FIRST, LAST
 from tessella.streaming.apply import transform_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,10 +130,10 @@ def float_reverse_random(spark, sf_dir):
     return rounded(t.reverse_transform(t.fit_transform(orders(spark, sf_dir, "o_totalprice"), "x", "o_orderkey")))
 
 
-@query("float_clip", "WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderkey % 7 = 0) SELECT o_orderkey, round_even(greatest(least(o_totalprice * 2 - 100000, hi), lo), 6) AS x FROM orders, b")
+@query("float_clip", "WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) SELECT o_orderkey, round_even(greatest(least(o_totalprice * 2 - 100000, hi), lo), 6) AS x FROM orders, b")
 def float_clip(spark, sf_dir):
     t = FloatFormatter(enforce_min_max_values=True, missing_value_generation=None)
-    t.fit(orders(spark, sf_dir, "o_totalprice", null=False).where("o_orderkey % 7 = 0"), "x", "o_orderkey")
+    t.fit(orders(spark, sf_dir, "o_totalprice", null=False), "x", "o_orderkey")
     return rounded(t.reverse_transform(orders(spark, sf_dir, "o_totalprice * 2 - 100000", null=False)))
 
 
@@ -154,11 +157,15 @@ ROUNDED_COLUMNS = [("lineitem", "l_extendedprice"), ("lineitem", "l_discount"),
 
 @query("learn_rounding_digits", " UNION ALL ".join(_DIGITS.format(c=c, t=t) for t, c in ROUNDED_COLUMNS))
 def learn_rounding_digits(spark, sf_dir):
+    """One scan of each table for all of its columns."""
     found = []
-    for t, c in ROUNDED_COLUMNS:
-        own = FloatFormatter(learn_rounding_scheme=True)
-        own.fit(table(spark, sf_dir, t, c), c)
-        found.append((c, own.digits))
+    for t in dict.fromkeys(t for t, _ in ROUNDED_COLUMNS):
+        own = {c: FloatFormatter(learn_rounding_scheme=True) for name, c in ROUNDED_COLUMNS if name == t}
+        data = with_key(table(spark, sf_dir, t, *own), None)
+        for c, operator in own.items():
+            operator.prepare(data, c)
+        fit_together(data, list(own.values()))
+        found += [(c, operator.digits) for c, operator in own.items()]
     return spark.createDataFrame(found, "name string, digits int")
 
 
@@ -213,13 +220,11 @@ def gauss_uniform(spark, sf_dir):
     return rounded(GaussianNormalizer(distribution="uniform").fit_transform(table(spark, sf_dir, "events", "event_id", "value AS x"), "x", "event_id"))
 
 
-@query("gauss_reverse", "SELECT c_custkey, round_even(c_acctbal, 2) AS x FROM customer WHERE c_acctbal > (SELECT min(c_acctbal) FROM customer) AND c_acctbal < (SELECT max(c_acctbal) FROM customer)")
+@query("gauss_reverse", "SELECT c_custkey, round_even(c_acctbal, 2) AS x FROM customer")
 def gauss_reverse(spark, sf_dir):
-    """The extremes are left out: clipped probabilities don't give them back."""
+    """The extremes' probabilities are clipped by less than a digit of the values."""
     t, data = GaussianNormalizer(distribution="uniform", learn_rounding_scheme=True), customers(spark, sf_dir, "c_acctbal", null=False)
-    back = t.reverse_transform(t.fit_transform(data, "x", "c_custkey"))
-    ends = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return rounded(back.join(data.withColumnRenamed("x", "was"), "c_custkey").join(F.broadcast(ends), (F.col("was") > F.col("lo")) & (F.col("was") < F.col("hi"))).select("c_custkey", "x"))
+    return rounded(t.reverse_transform(t.fit_transform(data, "x", "c_custkey")))
 
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,6 +458,19 @@ def label_many(spark, sf_dir):
     return LabelEncoder(order_by="alphabetical").fit_transform(customers(spark, sf_dir, "c_name", null=False), "x", "c_custkey")
 
 
+@query("label_many_reverse", "SELECT c_custkey, c_name AS x FROM customer")
+def label_many_reverse(spark, sf_dir):
+    t = LabelEncoder(order_by="alphabetical")
+    return t.reverse_transform(t.fit_transform(customers(spark, sf_dir, "c_name", null=False), "x", "c_custkey"))
+
+
+@query("ordered_label_many", "SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC) - 1 AS x FROM customer")
+def ordered_label_many(spark, sf_dir):
+    """An order of all customers' names, the last one first."""
+    n = table(spark, sf_dir, "customer").count()
+    return OrderedLabelEncoder([f"Customer#{i:09d}" for i in reversed(range(n))]).fit_transform(customers(spark, sf_dir, "c_name", null=False), "x", "c_custkey")
+
+
 @query("ordered_label", "SELECT doc_id, CAST(CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS BIGINT) AS x FROM documents")
 def ordered_label(spark, sf_dir):
     return OrderedLabelEncoder(["fr", "en", "de", "es"]).fit_transform(table(spark, sf_dir, "documents", "doc_id", "lang AS x"), "x", "doc_id")
@@ -487,11 +505,12 @@ def unix_guessed_format(spark, sf_dir):
     return made.withColumn("x", F.col("x") / 1e9)
 
 
-@query("unix_minmax_reverse", "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events WHERE event_id % 3 = 0) SELECT event_id, greatest(least(ts, hi), lo) AS x FROM events, b")
+@query("unix_minmax_reverse", "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events) SELECT event_id, greatest(least(ts - INTERVAL 3 DAY, hi), lo) AS x FROM events, b")
 def unix_minmax_reverse(spark, sf_dir):
-    t, data = UnixTimestampEncoder(enforce_min_max_values=True, missing_value_generation=None), table(spark, sf_dir, "events", "event_id", "ts AS x")
-    t.fit(data.where("event_id % 3 = 0"), "x", "event_id")
-    return t.reverse_transform(t.transform(data))
+    """Times are moved by three days, so some leave the bounds of the fit."""
+    t = UnixTimestampEncoder(enforce_min_max_values=True, missing_value_generation=None)
+    t.fit(table(spark, sf_dir, "events", "event_id", "ts AS x"), "x", "event_id")
+    return t.reverse_transform(t.transform(table(spark, sf_dir, "events", "event_id", "ts - INTERVAL 3 DAYS AS x")))
 
 
 @query("optimized_ts", "SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x FROM orders")
@@ -542,18 +561,57 @@ def regex_match(spark, sf_dir):
     return _generated(spark, sf_dir, RegexGenerator("[A-Z]{2}", cardinality_rule="match"), "c_nationkey")
 
 
-@query("regex_scale", f"SELECT c_custkey, {_letters_sql('(i // 3)', 3)} AS x FROM {_NUMBERED} WHERE i < 3 * (SELECT count(*) // 3 FROM customer)")
-def regex_scale(spark, sf_dir):
-    """Each value came three times, so each string does."""
-    n = table(spark, sf_dir, "customer").count() // 3 * 3
-    data = table(spark, sf_dir, "customer", "c_custkey")
-    data = running(data, [F.col("c_custkey")], F.lit(1)).select("c_custkey", F.col("_number").alias("i")).where(f"i < {n}")
+def _scaled_sql(calls: int) -> str:
+    """The strings of the rows of the last of so many calls, from the repetitions that each number draws."""
+    return (
+        f"WITH n AS (SELECT count(*) AS n, count(*) % 3 AS rest, ceil(count(*) / 3.0) AS values FROM customer), "
+        f"drawn AS (SELECT i, CASE WHEN rest > 0 AND {uniform_sql('i', '44|x|repeat')} < 1 / values THEN rest ELSE 3 END AS r FROM range({calls} * (SELECT n FROM n)) t(i), n), "
+        f"dealt AS (SELECT i, r, sum(r) OVER (ORDER BY i) - r AS before FROM drawn) "
+        f"SELECT c_custkey, {_letters_sql('d.i', 3)} AS x FROM (SELECT c_custkey, i + {calls - 1} * n AS row FROM {_NUMBERED}, n) c JOIN dealt d ON c.row >= before AND c.row < before + r"
+    )
+
+
+def _scaled(spark: SparkSession, sf_dir: str, calls: int) -> DataFrame:
+    """Each value came three times (the last perhaps less), and so do the strings; calls go on where the last one ended."""
     t = RegexGenerator("[A-Z]{3}", cardinality_rule="scale")
-    t.fit(data.selectExpr("c_custkey", "CAST(i / 3 AS BIGINT) AS x"), "x", "c_custkey")
-    return t.reverse_transform(data.select("c_custkey"))
+    t.fit(table(spark, sf_dir, "customer", "c_custkey", "c_custkey DIV 3 AS x"), "x", "c_custkey")
+    for _ in range(calls):
+        made = t.reverse_transform(table(spark, sf_dir, "customer", "c_custkey"))
+    return made
+
+
+@query("regex_scale", _scaled_sql(1))
+def regex_scale(spark, sf_dir):
+    return _scaled(spark, sf_dir, 1)
+
+
+@query("regex_scale_second_call", _scaled_sql(2))
+def regex_scale_second_call(spark, sf_dir):
+    return _scaled(spark, sf_dir, 2)
 
 
-@query("anonymize_email")
+#: The strings of the scrambled pattern, and the first step from 0.618 of them on that has no divisor with their number.
+_SIZE = 26**4
+_STEP = next(s for s in range(_SIZE * 618 // 1000 + 1, 2 * _SIZE) if gcd(s, _SIZE) == 1)
+
+
+@query("regex_scrambled", f"SELECT c_custkey, {_letters_sql(f'((i * {_STEP} + 44) % {_SIZE})', 4)} AS x FROM {_NUMBERED}")
+def regex_scrambled(spark, sf_dir):
+    return _generated(spark, sf_dir, RegexGenerator("[A-Z]{4}", generation_order="scrambled"))
+
+
+def _pick_sql(items: list[str], key: str, salt: str) -> str:
+    return f"list_value({', '.join(repr(x) for x in items)})[CAST(floor({uniform_sql(key, salt)} * {len(items)}) AS INT) + 1]"
+
+
+def _whole_sql(low: int, high: int, key: str, salt: str) -> str:
+    return f"CAST(floor({uniform_sql(key, salt)} * {high - low + 1}) + {low} AS BIGINT)"
+
+
+@query(
+    "anonymize_email",
+    f"SELECT c_custkey, lower({_pick_sql(FIRST, 'i', '44|x|fake|first')}) || '.' || lower({_pick_sql(LAST, 'i', '44|x|fake|last')}) || lpad(CAST({_whole_sql(0, 9999, 'i', '44|x|fake|n')} AS VARCHAR), 4, '0') || '@' || {_pick_sql(DOMAINS, 'i', '44|x|fake|domain')} AS x FROM {_NUMBERED}",
+)
 def anonymize_email(spark, sf_dir):
     return _generated(spark, sf_dir, AnonymizedFaker("internet", "email"))
 
@@ -619,20 +677,24 @@ def nunique_null(spark, sf_dir):
     return spark.createDataFrame([(faker.n_distinct, ids.n_distinct)], "n_filled bigint, n_all bigint")
 
 
+_EARLY = "o_orderdate < DATE '1996-03-01'"
+
+
 def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All orders, and the customers with an early one."""
     seen = LabelEncoder()
-    seen.fit(orders(spark, sf_dir, "o_custkey", null=False).where("o_orderkey % 4 = 0"), "x", "o_orderkey")
-    data = orders(spark, sf_dir, "o_custkey", null=False).where("o_orderkey % 4 = 1")
+    seen.fit(table(spark, sf_dir, "orders").where(_EARLY).selectExpr("o_orderkey", "o_custkey AS x"), "x", "o_orderkey")
+    data = orders(spark, sf_dir, "o_custkey", null=False)
     return data, seen.dictionary.as_table(data).select(F.col("value").alias("x"))
 
 
-@query("semi_unseen", "SELECT o_orderkey, o_custkey AS x FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
+@query("semi_unseen", f"SELECT o_orderkey, o_custkey AS x FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE {_EARLY})")
 def semi_unseen(spark, sf_dir):
     data, known = _known(spark, sf_dir)
     return data.join(known, "x", "left_semi").select("o_orderkey", "x")
 
 
-@query("anti_unseen", "SELECT o_orderkey, o_custkey AS x FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
+@query("anti_unseen", f"SELECT o_orderkey, o_custkey AS x FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_EARLY})")
 def anti_unseen(spark, sf_dir):
     data, known = _known(spark, sf_dir)
     return data.join(known, "x", "left_anti").select("o_orderkey", "x")
@@ -758,13 +820,13 @@ def hyper_chain(spark, sf_dir):
     return rounded(plan.fit_transform(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice AS price")))
 
 
-@query("hyper_detected", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("hyper_detected", "SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderdate FROM orders")
 def hyper_detected(spark, sf_dir):
-    """Detected sdtypes; integers, doubles and dates come back whole."""
+    """Detected sdtypes; integers, doubles, categories and dates come back whole."""
     data = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
     plan = HyperTransformer()
     plan.detect_initial_config(data)
-    return plan.reverse_transform(plan.fit_transform(data)).select("o_orderkey", "o_totalprice")
+    return plan.reverse_transform(plan.fit_transform(data)).select(*data.columns)
 
 
 @query("anonymized_columns", "SELECT CAST(i AS VARCHAR) || '-new' AS code FROM range(1000) r(i)")
@@ -785,7 +847,18 @@ def null_replacements(spark, sf_dir):
     return rounded(data.select("o_orderkey", *[c.alias(n) for n, c in made.items()]))
 
 
-@query("demo_table")
+def _demo_sql() -> str:
+    told = ", ".join("(" + ", ".join("NULL" if v is None else f"TIMESTAMP '{v}'" if hasattr(v, "year") else repr(v) for v in row) + ")" for row in DEMO_ROWS)
+    u = lambda what: uniform_sql("i", f"demo|{what}")
+    some = lambda what, x: f"CASE WHEN {u(what + '?')} >= 0.2 THEN {x} END"
+    login = f"CAST(DATE '2000-01-01' + CAST({_whole_sql(0, 9999, 'i', 'demo|login')} AS INT) AS TIMESTAMP)"
+    return (
+        f"SELECT * FROM (VALUES {told}) t(last_login, email_optin, credit_card, age, dollars_spent) UNION ALL "
+        f"SELECT {some('login', login)}, {some('optin', u('optin') + ' < 0.5')}, {some('card', _pick_sql(CARDS, 'i', 'demo|card'))}, {_whole_sql(18, 99, 'i', 'demo|age')}, {some('spent', f'round({u("spent")} * 100, 2)')} FROM range(45) r(i)"
+    )
+
+
+@query("demo_table", _demo_sql())
 def demo_table(spark, sf_dir):
     return get_demo(spark, 50)
 

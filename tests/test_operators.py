@@ -14,6 +14,7 @@ from tessella.operators.ids import IndexGenerator, RegexGenerator
 from tessella.operators.null import NullTransformer
 from tessella.operators.numeric import ClusterBasedNormalizer, FloatFormatter, GaussianNormalizer, LogitScaler, LogScaler
 from tessella.operators.pii import AnonymizedFaker, PseudoAnonymizedFaker, get_anonymized_transformer
+from tessella.plans.performance import nulls_left
 from tessella.operators.temporal import OptimizedTimestampEncoder, UnixTimestampEncoder
 
 
@@ -185,10 +186,10 @@ def test_ordered_encoders_of_many_categories(spark, kind):
 
 
 def test_ordered_encoders(spark):
-    df = frame(spark, ["two", "3", "1", None, "zero"], "string")
-    assert column(OrderedLabelEncoder(["zero", "1", "two", "3", None]).fit_transform(df, "x", "k")) == [2, 3, 1, 4, 0]
+    df = frame(spark, ["tepid", "boiling", None, "7"], "string")
+    assert column(OrderedLabelEncoder([7, "tepid", None, "boiling"]).fit_transform(df, "x", "k")) == [1, 3, 2, 0]
     with pytest.raises(TransformerInputError, match="lacks"):
-        OrderedUniformEncoder(["two"]).fit(df, "x")
+        OrderedUniformEncoder(["tepid"]).fit(df, "x")
     with pytest.raises(TransformerInputError, match="repeated"):
         OrderedLabelEncoder(["a", "a"])
 
@@ -203,9 +204,19 @@ def test_frequency(spark):
 
 def test_one_hot(spark):
     t = OneHotEncoder()
-    made = t.fit_transform(frame(spark, ["Yes", "No", "Yes", "Maybe", "No"], "string"), "x", "k")
-    assert [column(made, f"x.value{i}") for i in range(3)] == [[1, 0, 1, 0, 0], [0, 1, 0, 0, 1], [0, 0, 0, 1, 0]]
-    assert column(t.reverse_transform(made)) == ["Yes", "No", "Yes", "Maybe", "No"]
+    values = ["oak", "elm", "elm", "fir"]
+    made = t.fit_transform(frame(spark, values, "string"), "x", "k")
+    assert [column(made, f"x.value{i}") for i in range(3)] == [[1, 0, 0, 0], [0, 1, 1, 0], [0, 0, 0, 1]]
+    assert column(t.reverse_transform(made)) == values
+    with pytest.raises(TransformerInputError, match="most_columns"):
+        OneHotEncoder(most_columns=2).fit(frame(spark, values, "string"), "x")
+
+
+def test_one_hot_of_many_categories(spark):
+    df = spark.range(1100).selectExpr("id AS k", "'c' || id AS x")
+    t = OneHotEncoder(most_columns=2000)
+    t.fit(df, "x", "k")
+    assert len(t.dummies) == 1100
 
 
 def test_unseen_categories(spark):
@@ -215,47 +226,106 @@ def test_unseen_categories(spark):
     assert column(t.transform(df))[1] in (0, 1)
     assert t.unseen_values(df) == ["z"]
     with pytest.warns(UserWarning, match="not seen"):
-        t.warn_of_unseen(df)
+        t.transform(df, validate=True)
+
+
+def test_mappings_of_many_categories_are_tables(spark):
+    df = spark.range(1500).selectExpr("id AS k", "'c' || id AS x")
+    t = LabelEncoder()
+    made = t.fit_transform(df, "x", "k")
+    with pytest.raises(TransformerInputError, match="mapping_table"):
+        _ = t.categories_to_values
+    assert t.mapping_table(df).count() == 1500
+    assert column(t.reverse_transform(made)) == [f"c{i}" for i in range(1500)]
+
+
+def test_dictionaries_of_some_hundred_rows_are_broadcast(spark):
+    df = spark.range(3000).selectExpr("id AS k", "'c' || (id % 300) AS x")
+    t = LabelEncoder(order_by="alphabetical")
+    made = t.fit_transform(df, "x", "k")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+    order = sorted(f"c{i}" for i in range(300))
+    assert column(made) == [order.index(f"c{i % 300}") for i in range(3000)]
+
+
+def test_negative_keys_come_before_positive_ones(spark):
+    df = spark.createDataFrame([(-5, "a"), (3, "b"), (-40, "c"), (20, "d")], "k long, x string")
+    t = LabelEncoder()
+    t.fit(df, "x", "k")
+    assert list(t.categories_to_values) == ["c", "a", "b", "d"]
 
 
-DATES = [None, dt.datetime(1996, 10, 17), dt.datetime(1965, 5, 23)]
+DATES = [None, dt.datetime(2003, 6, 2), dt.datetime(1958, 2, 27)]
+DAYS = [None, *((d - dt.datetime(1970, 1, 1)).days for d in DATES[1:])]
+MEAN_DAY = (DAYS[1] + DAYS[2]) / 2
 
 
 def test_unix_timestamps(spark):
     t = UnixTimestampEncoder(missing_value_generation="from_column")
     made = t.fit_transform(frame(spark, DATES, "timestamp_ntz"), "x", "k")
-    assert column(made) == [3.500064e17, 8.455104e17, -1.454976e17]
+    assert column(made) == [x * 86400e9 for x in (MEAN_DAY, *DAYS[1:])]
     assert column(made, "x.is_null") == [1.0, 0.0, 0.0]
     assert column(t.reverse_transform(made)) == DATES
 
 
 def test_date_strings_and_numbers(spark):
     t = UnixTimestampEncoder(datetime_format="%b %d, %Y", missing_value_generation=None)
-    made = t.fit_transform(frame(spark, [None, "Oct 17, 1996", "May 23, 1965"], "string"), "x", "k")
-    assert column(made) == [3.500064e17, 8.455104e17, -1.454976e17]
-    assert column(t.reverse_transform(made)) == ["Feb 03, 1981", "Oct 17, 1996", "May 23, 1965"]
+    texts = [d and d.strftime("%b %d, %Y") for d in DATES]
+    made = t.fit_transform(frame(spark, texts, "string"), "x", "k")
+    assert column(made) == [x * 86400e9 for x in (MEAN_DAY, *DAYS[1:])]
+    middle = dt.datetime(1970, 1, 1) + dt.timedelta(days=MEAN_DAY)
+    assert column(t.reverse_transform(made)) == [middle.strftime("%b %d, %Y"), *texts[1:]]
     t = UnixTimestampEncoder(datetime_format="%m%d%Y")
-    made = t.fit_transform(frame(spark, [1201992, 11022028, 10011990], "int"), "x", "k")
-    assert column(made)[0] == 6.958656e17
-    assert column(t.reverse_transform(made)) == [1201992, 11022028, 10011990]
+    numbers = [3152004, 12311999, 7041976]
+    made = t.fit_transform(frame(spark, numbers, "int"), "x", "k")
+    assert column(made)[0] == (dt.datetime(2004, 3, 15) - dt.datetime(1970, 1, 1)).days * 86400e9
+    assert column(t.reverse_transform(made)) == numbers
     with pytest.raises(InvalidDataError):
         UnixTimestampEncoder(datetime_format="%Y").fit(frame(spark, ["x"], "string"), "x")
 
 
 def test_time_zones(spark):
-    t, values = UnixTimestampEncoder(datetime_format="%Y-%m-%d %H:%M:%S%z"), ["2025-02-04 08:32:20+0200", "2025-02-05 09:00:00+0200"]
+    t, values = UnixTimestampEncoder(datetime_format="%Y-%m-%d %H:%M:%S%z"), ["2019-07-01 21:15:09+0530", "2019-12-24 00:30:00+0530"]
     assert column(t.reverse_transform(t.fit_transform(frame(spark, values, "string"), "x", "k"))) == values
-    t, values = UnixTimestampEncoder(datetime_format="%Y-%m-%d %H:%M:%S%z"), ["2025-02-04 08:32:20+0200", "2025-02-05 09:00:00-0500"]
+    t, values = UnixTimestampEncoder(datetime_format="%Y-%m-%d %H:%M:%S%z"), ["2019-07-01 21:15:09+0530", "2019-12-24 00:30:00-0800"]
     with pytest.warns(UserWarning, match="time zones"):
         made = t.fit_transform(frame(spark, values, "string"), "x", "k")
-    assert column(t.reverse_transform(made)) == ["2025-02-04 06:32:20+0000", "2025-02-05 14:00:00+0000"]
+    assert column(t.reverse_transform(made)) == ["2019-07-01 15:45:09+0000", "2019-12-24 08:30:00+0000"]
 
 
 def test_optimized_timestamps(spark):
     t = OptimizedTimestampEncoder(missing_value_generation="from_column")
     made = t.fit_transform(frame(spark, DATES, "timestamp_ntz"), "x", "k")
-    assert column(made) == [4051.0, 9786.0, -1684.0]
+    assert column(made) == [float(MEAN_DAY // 1), *map(float, DAYS[1:])]
     assert column(t.reverse_transform(made)) == DATES
+    kept = OptimizedTimestampEncoder(missing_value_replacement=None, missing_value_generation=None)
+    made = kept.fit_transform(frame(spark, DATES, "timestamp_ntz"), "x", "k")
+    assert column(made) == [None, *map(float, DAYS[1:])]
+    assert nulls_left(made, kept) == {"x": 1}
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_times_do_not_depend_on_the_zone_of_the_session(spark, zone):
+    """Also a time that the zone's clocks skip, and midnights."""
+    values = [dt.datetime(2021, 3, 14, 2, 30), dt.datetime(1996, 1, 5), dt.datetime(2030, 11, 3, 1, 15, 7)]
+    texts = [v.strftime("%d/%m/%Y %I:%M:%S %p") for v in values]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        t = UnixTimestampEncoder()
+        made = t.fit_transform(frame(spark, values, "timestamp_ntz"), "x", "k")
+        assert column(made) == [(v - dt.datetime(1970, 1, 1)).total_seconds() * 1e9 for v in values]
+        assert column(t.reverse_transform(made)) == values
+        t = UnixTimestampEncoder(datetime_format="%d/%m/%Y %I:%M:%S %p")
+        assert column(t.fit_transform(frame(spark, texts, "string"), "x", "k")) == column(made)
+        assert column(t.reverse_transform(made)) == texts
+        t = OptimizedTimestampEncoder()
+        made = t.fit_transform(frame(spark, [v.date() for v in values], "date"), "x", "k")
+        assert t.divider == 86400 * 10**9
+        assert column(t.reverse_transform(made)) == [v.date() for v in values]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_index_goes_on_and_starts_over(spark):
@@ -293,6 +363,52 @@ def test_scale_follows_the_histogram(spark):
     assert all(n in (150, 300) or v == max(counts) for v, n in counts.items())
 
 
+def test_scale_goes_on_over_calls(spark):
+    """Calls of any sizes give what one call gives."""
+    data = spark.range(60).selectExpr("id AS k", "CAST(sqrt(id) AS BIGINT) AS x")
+    rows = lambda n: spark.range(n).selectExpr("id AS k")
+    for make in (lambda: RegexGenerator("[A-Z]{3}", cardinality_rule="scale"), lambda: AnonymizedFaker("person", "name", cardinality_rule="scale")):
+        whole, parts = make(), make()
+        for t in (whole, parts):
+            t.fit(data, "x", "k")
+        expected = column(whole.reverse_transform(rows(100)))
+        got = [x for n in (1, 30, 0, 7, 62) for x in column(parts.reverse_transform(rows(n)))]
+        assert got == expected
+        parts.reset_randomization()
+        assert column(parts.reverse_transform(rows(40))) == expected[:40]
+
+
+def test_scale_of_many_counts_joins_the_histogram(spark):
+    data = spark.range(200).selectExpr("explode(sequence(1, CAST(id + 1 AS INT))) AS n", "id AS x").selectExpr("monotonically_increasing_id() AS k", "x")
+    t = RegexGenerator("[A-Z]{4}", cardinality_rule="scale")
+    t.fit(data, "x", "k")
+    assert len(t.repetitions) == 200
+    made = t.reverse_transform(spark.range(5000).selectExpr("id AS k"))
+    counts = [r["count"] for r in made.groupBy("x").count().collect()]
+    assert sum(counts) == 5000
+    assert max(counts) <= 200
+
+
+def test_rows_without_keys_are_numbered_without_a_shuffle(spark):
+    t = IndexGenerator("r")
+    t.fit(spark.createDataFrame([("a",)], "x string"), "x")
+    made = t.reverse_transform(spark.range(0, 1000, 1, 7).where("id % 3 <> 0"))
+    assert sorted(int(r.x[1:]) for r in made.collect()) == list(range(666))
+    plan = made.select("id", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+
+
+def test_arguments_of_providers(spark):
+    def made(function, **kwargs):
+        t = AnonymizedFaker("BaseProvider", function, kwargs)
+        t._set_fitted_parameters("x")
+        return column(t.reverse_transform(spark.range(200).selectExpr("id AS k")))
+
+    assert set("".join(made("lexify", text="????", letters="XY"))) == {"X", "Y"}
+    assert {int(v) for v in made("random_int", min=10, max=20, step=5)} == {10, 15, 20}
+    assert all(v[0].isdigit() and v[1] in "QR" for v in made("bothify", text="#?", letters="QR"))
+
+
 def test_fakes(spark):
     df = frame(spark, [None if i % 4 == 0 else f"v{i % 10}" for i in range(100)], "string")
     made = column(_made(AnonymizedFaker("internet", "email"), df))

@@ -12,7 +12,7 @@ from tessella.operators.numeric import FloatFormatter
 from tessella.plans import registry
 from tessella.plans.performance import evaluate_transformer_performance, profile_transformer
 from tessella.plans.validators import AddressValidator, GPSValidator
-from tessella.streaming.apply import transform_stream
+from tessella.streaming.apply import refit_by_batch, reverse_stream, transform_stream
 
 
 def test_demo_round_trip(spark):
@@ -184,6 +184,35 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, plan.transform(df).collect()))
 
 
+def test_a_stream_is_reversed(spark, tmp_path):
+    plan = HyperTransformer("k")
+    plan.set_config({"sdtypes": {"k": "id", "x": "numerical"}, "transformers": {"k": None, "x": FloatFormatter(missing_value_generation=None)}})
+    data = spark.range(50).selectExpr("id AS k", "CAST(id AS DOUBLE) / 4 AS x")
+    plan.fit_transform(data).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k long, x double").parquet(f"{tmp_path}/in")
+    reverse_stream(plan, stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("k", "x").collect())) == [(i, i / 4) for i in range(50)]
+
+
+def test_plans_are_fitted_again_by_batch(spark, tmp_path):
+    def make():
+        plan = HyperTransformer("k")
+        plan.set_config({"sdtypes": {"k": "id", "x": "numerical"}, "transformers": {"k": None, "x": FloatFormatter(missing_value_generation=None)}})
+        return plan
+
+    for i in range(3):
+        spark.createDataFrame([(i * 10, float(i)), (i * 10 + 1, None)], "k long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = []
+    stream = spark.readStream.schema("k long, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    refit_by_batch(stream, make, lambda df, plan, i: seen.append((i, id(plan), sorted(map(tuple, df.select("k", "x").collect())))), f"{tmp_path}/state", every=2).awaitTermination()
+    assert [i for i, _, _ in seen] == [0, 1, 2]
+    assert seen[0][1] == seen[1][1] != seen[2][1]
+    # a batch's mean fills its nulls; a batch without a new fit has the mean of the one before
+    first, last = (rows for _, _, rows in (seen[0], seen[2]))
+    assert all(rows[0][1] == rows[1][1] for rows in (first, last))
+    assert seen[1][2][1][1] == first[0][1]
+
+
 def test_measurements(spark):
     found = profile_transformer(spark, FloatFormatter(), "numerical", "Normal", 200, nulls=True, times=1)
     assert set(found) == {"fit_time", "transform_time", "reverse_transform_time", "transformed_bytes"}
