@@ -45,7 +45,7 @@ MOST_EVIDENCE = 12.0
 #: The regression's penalty on a squared weight, over all rows, and the scale of the words' shares beside features of style of unit variance.
 PENALTY, CONTENT_SCALE = 0.5, 10.0
 #: Buckets of hashed words (a power of two), and about how many labelled ids the regression is fitted on at most.
-BUCKETS, FIT_IDS = 256, 200_000
+BUCKETS, FIT_IDS = 128, 200_000
 
 FEATURES = ["log_words", "word_length", "upper", "digit", "wide", "mark", "shout", "bar", "symbol", "line", "distinct_words", "repeated_words", "top_word", "distinct_lines"]
 
