@@ -70,6 +70,13 @@ class BaseTransformer:
 
     # what operators define
 
+    def choices(self, x: dict[str, Column], kinds: dict[str, T.DataType]) -> dict[str, Column]:
+        """Aggregates by name that must be known before ``requests``: one scan for all operators that have some."""
+        return {}
+
+    def choose(self, stats: dict[str, Any]) -> None:
+        """Take the aggregates of ``choices``, if there were any."""
+
     def requests(self, x: dict[str, Column], kinds: dict[str, T.DataType]) -> dict[str, Column]:
         """Aggregates by name."""
         return {}

@@ -34,7 +34,6 @@ class UnixTimestampEncoder(FloatFormatter):
         self.datetime_format = datetime_format
         self.zone: str | None = None
         self.mixed_zones = False
-        self.candidates: list[str] = []
 
     def is_text(self) -> bool:
         return not isinstance(self.kinds[self.columns[0]], (T.TimestampType, T.TimestampNTZType, T.DateType))
@@ -48,29 +47,29 @@ class UnixTimestampEncoder(FloatFormatter):
     def unit(self) -> int:
         return 1
 
+    def misfits(self, x, pattern: str | None):
+        return F.count_if(x[self.columns[0]].isNotNull() & self.nanoseconds(x, pattern).isNull())
+
+    def choices(self, x, kinds):
+        # with no pattern given, all known ones are tried; the statistics are then of the first that fits
+        return {pattern: self.misfits(x, pattern) for pattern in D.GUESSES} if self.is_text() and not self.datetime_format else {}
+
+    def choose(self, stats):
+        self.datetime_format = next((pattern for pattern, n in stats.items() if not n), None)
+
     def requests(self, x, kinds):
-        v = x[self.columns[0]]
-        if not self.is_text():
-            return super().requests(x, kinds)
-        # with no pattern given, all known ones are tried in the same scan
-        self.candidates = [self.datetime_format] if self.datetime_format else [*D.GUESSES, None]
-        out, own = {}, self.datetime_format
-        for k, pattern in enumerate(self.candidates):
-            self.datetime_format = pattern
-            out |= {f"f{k}.{n}": c for n, c in super().requests(x, kinds).items()}
-            out[f"f{k}.misfits"] = F.count_if(v.isNotNull() & self.nanoseconds(x, pattern).isNull())
-        self.datetime_format = own
-        zone = F.when(v.isNotNull(), D.offset_of(v.cast("string")))
-        return out | {"zone_low": F.min(zone), "zone_high": F.max(zone), "example": F.min(v.cast("string"))}
+        out = super().requests(x, kinds)
+        if self.is_text():
+            text = x[self.columns[0]].cast("string")
+            zone = D.offset_of(text)  # null for a null
+            out |= {"misfits": self.misfits(x, self.datetime_format), "zone_low": F.min(zone), "zone_high": F.max(zone), "example": F.min(text)}
+        return out
 
     def bind(self, stats, values):
         if self.is_text():
-            k = next((k for k in range(len(self.candidates)) if not stats[f"f{k}.misfits"]), None)
-            if k is None:
+            if stats["misfits"]:
                 raise InvalidDataError(f"column '{self.columns[0]}' has values, such as {stats['example']!r}, that don't fit {self.datetime_format or 'any known pattern'}")
-            self.datetime_format = self.candidates[k]
             self.learn_zone(stats)
-            stats = {n.split(".", 1)[1]: v for n, v in stats.items() if n.startswith(f"f{k}.")}
         super().bind(self.scaled(stats), values)
 
     def scaled(self, stats: dict) -> dict:
@@ -125,13 +124,9 @@ class OptimizedTimestampEncoder(UnixTimestampEncoder):
 
     def requests(self, x, kinds):
         out = super().requests(x, kinds)
-        patterns = self.candidates if self.is_text() else [None]
-        for k, pattern in enumerate(patterns):
-            # microseconds are integers, so divisibility is exact; smaller units always divide
-            micros = D.micros(x[self.columns[0]], self.kinds[self.columns[0]], pattern)
-            head = f"f{k}." if self.is_text() else ""
-            out |= {f"{head}unit{u}": F.bool_and(F.pmod(micros, F.lit(u // 1000)) == 0) for u in UNITS if u > 1000}
-        return out
+        # microseconds are integers, so divisibility is exact; smaller units always divide
+        micros = D.micros(x[self.columns[0]], self.kinds[self.columns[0]], self.datetime_format)
+        return out | {f"unit{u}": F.bool_and(F.pmod(micros, F.lit(u // 1000)) == 0) for u in UNITS if u > 1000}
 
     def scaled(self, stats):
         for u in UNITS:

@@ -54,15 +54,20 @@ def value_counts(df: DataFrame, columns: dict[str, T.DataType], row_key: str | l
     return out
 
 
+def _aggregated(df: DataFrame, wanted: list[dict[str, Column]]) -> dict[int, dict]:
+    """The results of several operators' aggregates, by the operator's place and the aggregate's name, from one scan."""
+    columns = [c.alias(f"{i}|{name}") for i, own in enumerate(wanted) for name, c in own.items()]
+    found = iter(df.agg(*columns).first() if columns else ())
+    return {i: {name: next(found) for name in own} for i, own in enumerate(wanted) if own}
+
+
 def fit_together(df: DataFrame, operators: list[BaseTransformer]) -> None:
     """Fit prepared operators on ``df``, which has the key column."""
-    wanted: dict[str, Column] = {}
-    for i, op in enumerate(operators):
-        wanted |= {f"{i}|{name}": c.alias(f"{i}|{name}") for name, c in op.requests(op.inputs(), op.kinds).items()}
-    found = df.agg(*wanted.values()).first().asDict() if wanted else {}
+    for i, own in _aggregated(df, [op.choices(op.inputs(), op.kinds) for op in operators]).items():
+        operators[i].choose(own)
+    found = _aggregated(df, [op.requests(op.inputs(), op.kinds) for op in operators])
     valued = {op.columns[0]: op.kinds[op.columns[0]] for op in operators if op.wants_values}
     values = value_counts(df, valued, next((op.row_key for op in operators if op.row_key), None)) if valued else {}
     for i, op in enumerate(operators):
-        own = {k.split("|", 1)[1]: v for k, v in found.items() if k.split("|", 1)[0] == str(i)}
-        op.bind(own, values.get(op.columns[0]) if op.wants_values else None)
+        op.bind(found.get(i, {}), values.get(op.columns[0]) if op.wants_values else None)
         op.fitted = True
