@@ -1,4 +1,4 @@
-"""Measurements of operators: seconds and bytes for each row, over tables of growing size."""
+"""Measurements of operators: seconds, bytes and peak memory for each row, over tables of growing size."""
 
 from __future__ import annotations
 
@@ -20,13 +20,22 @@ def _run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def _timed(work: Callable[[], object], times: int) -> float:
-    took = []
+def _peaks(spark: SparkSession) -> dict[tuple[int, int], int]:
+    """Peak execution memory of each stage attempt that Spark still lists, summed over the stage's tasks."""
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.peakExecutionMemory() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def _measured(spark: SparkSession, work: Callable[[], object], times: int) -> tuple[float, float]:
+    """Mean seconds, and the largest peak of execution memory of a stage (that of hash tables, sorts and shuffles)."""
+    before, took = _peaks(spark), []
     for _ in range(times):
         began = time.perf_counter()
         work()
         took.append(time.perf_counter() - began)
-    return sum(took) / len(took)
+    return sum(took) / len(took), float(max((n for k, n in _peaks(spark).items() if k not in before), default=0))
 
 
 def nulls_left(transformed: DataFrame, transformer: BaseTransformer) -> dict[str, int]:
@@ -37,16 +46,20 @@ def nulls_left(transformed: DataFrame, transformer: BaseTransformer) -> dict[str
 
 
 def profile_transformer(spark: SparkSession, transformer: BaseTransformer, sdtype: str, generator: str, rows: int, nulls: bool = False, times: int = 3) -> dict[str, float]:
-    """Mean seconds of fit, transform and reverse_transform over a cached table, and the plan's size in bytes."""
+    """Mean seconds and peak memory of fit, transform and reverse_transform over a cached table, and the outputs' size in bytes."""
     data = random_column(spark, sdtype, generator, rows, nulls).cache()
     data.count()
-    own = transformer.copy()
-    out = {"fit_time": _timed(lambda: own.copy().fit(data, "value", "row"), times)}
+    own, out = transformer.copy(), {}
+
+    def measure(name: str, work: Callable[[], object]) -> None:
+        out[f"{name}_time"], out[f"{name}_memory"] = _measured(spark, work, times)
+
+    measure("fit", lambda: own.copy().fit(data, "value", "row"))
     own.fit(data, "value", "row")
-    out["transform_time"] = _timed(lambda: _run(own.transform(data)), times)
+    measure("transform", lambda: _run(own.transform(data)))
     made = own.transform(data).cache()
     made.count()
-    out["reverse_transform_time"] = _timed(lambda: _run(own.reverse_transform(made)), times)
+    measure("reverse_transform", lambda: _run(own.reverse_transform(made)))
     stats = made._jdf.queryExecution().optimizedPlan().stats()
     out["transformed_bytes"] = float(str(stats.sizeInBytes()))
     made.unpersist()

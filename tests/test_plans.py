@@ -214,6 +214,8 @@ def test_plans_are_fitted_again_by_batch(spark, tmp_path):
 
 
 def test_measurements(spark):
-    found = profile_transformer(spark, FloatFormatter(), "numerical", "Normal", 200, nulls=True, times=1)
-    assert set(found) == {"fit_time", "transform_time", "reverse_transform_time", "transformed_bytes"}
+    found = profile_transformer(spark, FloatFormatter("mode"), "numerical", "Normal", 200, nulls=True, times=1)
+    assert set(found) == {f"{step}_{what}" for step in ("fit", "transform", "reverse_transform") for what in ("time", "memory")} | {"transformed_bytes"}
+    assert found["fit_memory"] > 0  # the counts' hash tables
+    assert found["transform_memory"] == 0  # a projection holds none
     assert callable(evaluate_transformer_performance)
