@@ -112,7 +112,32 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+def _little_endian(n: str) -> str:
+    """SQL for the hexadecimal digits of a 32-bit number, smallest byte first."""
+    return " || ".join(f"substr(printf('%08x', {n}), {at}, 2)" for at in (7, 5, 3, 1))
+
+
+_WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
+
 ORACLES = {
+    "op1_minhash": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS_SQL}) AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+         ELSE [array_to_string(words[i:i + 2], ' ') FOR i IN range(1, len(words) - 1)] END) AS shingles FROM w),
+k AS (SELECT doc_id, shingles, CAST(len(shingles) AS BIGINT) AS n, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(shingles)) END AS node FROM s),
+e AS (SELECT node, n, unnest(shingles) AS shingle FROM k WHERE node = doc_id),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.node < b.node
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT a AS node, min(b) AS low FROM reach GROUP BY a),
+c AS (SELECT doc_id, n AS n_shingles, least(node, coalesce(low, node)) AS component_id FROM k LEFT JOIN lowest USING (node))
+SELECT *, doc_id = component_id AS kept FROM c
+""",
     "op3_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -121,6 +146,36 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM f
+""",
+    "op4_media": f"""
+WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS raw FROM documents),
+p AS (SELECT doc_id, len(raw) // 2 AS n_bytes, rpad(raw, CAST(128 * greatest(1, (len(raw) + 127) // 128) AS INT), '0') AS payload FROM t),
+m AS (
+  SELECT *, len(payload) // 2 AS size,
+         '{media.wav_header(0)[:4].hex()}' || {_little_endian("len(payload) // 2 + 36")} || '{media.wav_header(0)[8:40].hex()}' || {_little_endian("len(payload) // 2")} || payload AS media,
+         [CAST('0x' || v AS BIGINT) FOR v IN regexp_extract_all(payload, '..')] AS samples
+  FROM p),
+b AS (
+  -- the last bytes' bits, lowest first, after the register that they are shifted into
+  SELECT *, list_prepend(4294967295, flatten([[(v >> i) & 1 FOR i IN range(8)] FOR v IN samples[-64:]])) AS bits FROM m)
+SELECT doc_id, n_bytes, size AS payload_bytes, sha256(unhex(payload)) AS payload_sha256,
+       CAST(xor(list_reduce(bits, LAMBDA c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS BIGINT) AS tail_crc32,
+       len(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
+       concat('audio/wav;samples=', size, ';sum=', CAST(list_sum(samples) AS BIGINT), ';peak=', list_max(samples), ';changes=',
+              len(list_filter(list_zip(samples, samples[2:], true), LAMBDA x: x[1] <> x[2]))) AS feature
+FROM b
+""",
+    "op5_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS_SQL}) AS words FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS place, unnest([array_to_string(words[i:i + 49], ' ') FOR i IN range(1, len(words) - 48)]) AS passage
+  FROM d WHERE len(words) >= 50),
+f AS (SELECT passage, min(doc_id) AS first FROM w GROUP BY passage),
+gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + 50)) AS place FROM w JOIN f USING (passage) WHERE doc_id > first),
+one AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept FROM one ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """,
     "op8_chat_formatting": chat_formatting.ORACLE_SQL,
     "op10_url_filters": f"""
