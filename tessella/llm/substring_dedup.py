@@ -163,7 +163,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     shared = cut(anchors.groupBy("hash").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least < most").select("hash"))
     spots = anchors.join(shared, "hash").groupBy(F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("spots"))
     spots = cut(spots.join(first.groupBy("_key").agg(F.min("first").alias("_doc")), "_key").select("_doc", "_key", "spots"))
-    near = keyed.select("_doc", "_key", "_text").join(spots, ["_doc", "_key"])
+    # nominated texts are shuffled once and read twice
+    near = cut(keyed.select("_doc", "_key", "_text").join(spots, ["_doc", "_key"]))
 
     windows = near.select("_doc", "_key", "_text", "spots").mapInArrow(_windows(window), WINDOWS)
     # a table of its own, so the join below can split a window that very many documents share
