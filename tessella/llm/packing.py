@@ -6,9 +6,10 @@ room, the fullest is emitted and a new one opened. The windows that are still op
 a partition's end, of which there are so many per partition at most, are merged in
 groups of partitions, and only their pieces move.
 
-Texts with a run of more than LONG_RUN bytes of white space, or without any, are split
-into words here, one at a time, and their long words are merged in numpy rounds: the
-library that encodes the others fails on such runs, or takes the square of their length.
+Texts with a run of more than LONG_RUN bytes of white space (of any kinds the pattern
+knows, mixed as they may be), or without any, are split into words here, one at a time,
+and their long words are merged in numpy rounds: the library that encodes the others
+fails on such runs, or takes the square of their length.
 
 Defined cases: a null text has no ids but the closing one; an empty table gives an
 empty result; a row without id is packed too (its pieces have a null doc_id); repeated
@@ -42,6 +43,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+#: The white space beyond ASCII, as the bytes of UTF-8 read as one number.
+WIDE_SPACES = np.array(sorted(int.from_bytes(chr(c).encode()) for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 PIECES = "doc_id long, doc_tokens long, start long, ids binary, window long, offset long, open boolean"
 
 
@@ -76,13 +80,13 @@ class ByteBpe:
         self.byte_ids = np.array([model["vocab"][characters[b]] for b in range(256)], np.int64)
         self.special_ids = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
 
-    def encode_by_word(self, text: str) -> bytes:
-        """The ids of a text with long runs; its short words are met once each."""
+    def encode_by_word(self, text: str, special: bool = True) -> bytes:
+        """The ids of a text with long runs; its short words are met once each. Without ``special``, strings of special tokens are plain text."""
         out: list[bytes] = []
         met: dict[str, bytes] = {}
-        parts = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text) if any(s in text for s in self.special) else [text]
+        parts = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text) if special and any(s in text for s in self.special) else [text]
         for part in parts:
-            if part in self.special_ids:
+            if special and part in self.special_ids:
                 out.append(np.uint32(self.special_ids[part]).tobytes())
                 continue
             for match in WORDS.finditer(part):
@@ -111,12 +115,27 @@ class ByteBpe:
         return out
 
 
+def white(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of a text in UTF-8 is of a character that the pattern takes for white space."""
+    out = SPACE[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    for width, first in ((2, (0xC2, 0xC2)), (3, (0xE1, 0xE3))):
+        at = lead[(data[lead] >= first[0]) & (data[lead] <= first[1]) & (lead + width <= len(data))]
+        code = np.zeros(len(at), np.int64)
+        for k in range(width):
+            code = code << 8 | data[at + k]
+        at = at[np.isin(code, WIDE_SPACES)]
+        for k in range(width):
+            out[at + k] = True
+    return out
+
+
 def long_runs(data: np.ndarray, offsets: np.ndarray, most: int = LONG_RUN) -> set[int]:
-    """The rows that hold more than ``most`` bytes in a row of white space (the ASCII one), or without any."""
+    """The rows that hold more than ``most`` bytes in a row of white space, or without any."""
     rows = np.flatnonzero(np.diff(offsets) > most)
     out = set()
     for r in rows.tolist():
-        space = SPACE[data[offsets[r] : offsets[r + 1]]]
+        space = white(data[offsets[r] : offsets[r + 1]])
         edges = np.concatenate([[0], np.flatnonzero(space[1:] != space[:-1]) + 1, [len(space)]])
         if np.diff(edges).max() > most:
             out.add(r)

@@ -110,6 +110,21 @@ def test_packing_of_long_runs(spark, n):
         assert np.array_equal(ids, np.array([*library.encode(text, add_special_tokens=False).ids, 1]))
 
 
+@pytest.mark.parametrize("n", [1_000_000, 5_000_000])
+def test_packing_of_mixed_white_space(n):
+    """Each pair of white-space characters in turn, so that no run of one kind is long; with and without a word after it."""
+    own = packing.encoder(queries.tokenizer("byte_bpe_50k.json"))
+    wide = [int(c).to_bytes(3 if c > 0xFFFF else 2).decode() for c in packing.WIDE_SPACES]
+    pairs = [a + b for a in " \t\n\r" for b in wide] + [a + b for a, b in zip(wide, wide[1:] + wide[:1], strict=True)]
+    for pair in pairs if n == 1_000_000 else pairs[::29]:
+        text = pair * (n if pair in pairs[:2] else n // 100)
+        for t in (text, f"it's{text}word"):
+            data = np.frombuffer(t.encode(), np.uint8)
+            long = packing.long_runs(data, np.array([0, len(data)]))
+            assert long == {0}
+            assert list(memoryview(own.encode([t], long)[0]).cast("I")) == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_substring_dedup(spark, docs, none):
     made = substring_dedup.remove_repeats(docs)
     assert made.columns == [*docs.columns, "n_words", "n_removed", "kept_text"]
