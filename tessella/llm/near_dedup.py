@@ -11,13 +11,7 @@ threshold go. The same of the whole set never has more bits than the sets' diffe
 has members, so it discards without error whatever differs in too many. What is left is
 confirmed on the full shingle sets.
 
-No bucket is paired out. In the first round each bucket compares its members with its
-smallest node, and confirmed links are merged into components. Then those outside the
-bucket's largest component (or, of more than PIVOTS, one for each of PIVOTS slots) are
-its pivots, and members meet pivots of other components in a join that lets through only
-what both bitmaps allow. Two members of one component need no comparison; rounds go on
-until each bucket's members that were no pivot are in one component (after one round,
-but for huge buckets), so no link between components is lost.
+No bucket is paired out: :mod:`tessella.llm.clusters` finds the links between members.
 
 Defined cases: texts without words (null or empty) have an empty set and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one shingle;
@@ -28,7 +22,7 @@ one vertex, which has the links of all their texts; an empty table gives an empt
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.clusters import components_of
 from tessella.llm.common import column_buffers, cut, slices
-from tessella.llm.components import connected
 from tessella.llm.textscan import U, lowered, mix, run_hashes, word_hashes, words_of
 
 SLICE_BYTES = 1 << 20
@@ -46,7 +40,6 @@ ROWS_PER_BAND = 8
 MISS = 1e-6
 #: 64-bit words of the sample's and of the whole set's bitmap.
 SKETCH_WORDS, SET_WORDS = 8, 16
-PIVOTS = 1024
 #: Ids up to which the rows wanted for a comparison are picked by a broadcast (of 8 bytes an id), and not by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -176,16 +169,37 @@ def _confirm(words: int, threshold_percent: int):
     return run
 
 
-def _may_link(x: str, y: str, limit: int, threshold_percent: int) -> Column:
-    """Whether sizes and bitmaps of two nodes (columns with these prefixes) allow a link."""
+def differing(x: str, y: str, names: list[str]) -> Column:
+    """The bits that differ in two nodes' bitmaps (columns with these prefixes)."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}{n}").bitwiseXOR(F.col(f"{y}{n}"))) for n in names])
 
-    def differing(names: list[str]) -> Column:
-        return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}{n}").bitwiseXOR(F.col(f"{y}{n}"))) for n in names])
 
+def sets_may_link(x: str, y: str, threshold_percent: int) -> Column:
+    """Whether sizes and the whole sets' bitmaps allow a link; a pair that links is never refused."""
     a, b = F.col(f"{x}n"), F.col(f"{y}n")
     sizes = 100 * F.least(a, b) >= threshold_percent * F.greatest(a, b)
     # at the threshold the sets' difference has (a + b) * (100 - t) / (100 + t) members
-    return sizes & (differing(BITMAPS[:SKETCH_WORDS]) <= limit) & (differing(BITMAPS[SKETCH_WORDS:]) * (100 + threshold_percent) <= (a + b) * (100 - threshold_percent))
+    return sizes & (differing(x, y, BITMAPS[SKETCH_WORDS:]) * (100 + threshold_percent) <= (a + b) * (100 - threshold_percent))
+
+
+def _may_link(x: str, y: str, limit: int, threshold_percent: int) -> Column:
+    """Whether sizes and both bitmaps of two nodes allow a link."""
+    return sets_may_link(x, y, threshold_percent) & (differing(x, y, BITMAPS[:SKETCH_WORDS]) <= limit)
+
+
+def confirming(rows: DataFrame, words: int, threshold_percent: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps those pairs (a, b) of ids of ``rows`` (doc_id, text) that the full sets confirm."""
+    texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        own = texts.join(wanted, "doc_id")
+        one = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+        return cut(two.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(words, threshold_percent), "a long, b long").distinct())
+
+    return linked
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,69 +219,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     members = cut(spread.join(shared.select("bucket", "pivot"), "bucket").distinct())
 
-    texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes those that the full sets confirm."""
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        own = texts.join(wanted, "doc_id")
-        one = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        return cut(two.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(words, threshold_percent), "a long, b long").distinct())
-
-    def side(p: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", *BITMAPS)])
-
-    def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
-        """Components (node, component) after some more links: only the components that these meet are joined."""
-        if parts is None:
-            return cut(connected(links, "a", "b"))
-        part = lambda p: parts.select(F.col("node").alias(p), F.col("component").alias(f"{p}_part"))
-        ends = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
-        ends = cut(ends.select("a", "b", F.coalesce("a_part", "a").alias("a_part"), F.coalesce("b_part", "b").alias("b_part")))
-        moved = cut(connected(ends, "a_part", "b_part")).withColumnRenamed("node", "component").toDF("component", "to")
-        new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_part").alias("component")), F.struct(F.col("b").alias("node"), F.col("b_part").alias("component")))).alias("x")).select("x.*")
-        every = parts.unionByName(new).unionByName(new.select(F.col("component").alias("node"), "component")).distinct()
-        return cut(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-
     # the texts of one id are one vertex
     own = keyed.join(reps, ["k0", "k1"]).select("doc_id", "node")
     several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
     same = own.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = cut(first.join(side("a"), "a").join(side("b"), "b").where(_may_link("a_", "b_", limit, threshold_percent)).select("a", "b"))
-    parts = merged(None, linked(tried).unionByName(same))
-    # rounds over the buckets whose members are not yet in one component
-    state = members.select("bucket", "node", (F.col("node") == F.col("pivot")).alias("done"))
-    while True:
-        state = state.join(parts, "node", "left").select("bucket", "node", "done", F.coalesce("component", "node").alias("component"))
-        # a bucket is settled when one component is left among the members that were no pivot
-        open_ = state.where("NOT done")
-        left = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        open_ = cut(open_.join(left, "bucket").select("bucket", "node", "component"))
-        if open_.isEmpty():
-            break
-        sizes = open_.groupBy("bucket", "component").count()
-        main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
-        outside = open_.join(main, "bucket").where("component <> main")
-        slot = F.when(F.col("others") <= PIVOTS, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)))
-        pivots = cut(outside.groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("bucket", "pivot"))
-        asked = pivots.join(open_.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component")), ["bucket", "pivot"]).join(side("pivot"), "pivot")
-        met = open_.join(side("node"), "node").join(asked, "bucket").where((F.col("component") != F.col("pivot_component")) & _may_link("node_", "pivot_", limit, threshold_percent))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        new = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            tried = tried.unionByName(new)
-            links = linked(new)
-            if not links.isEmpty():
-                parts = merged(parts, links)
-        # where all outside the largest component were pivots, the bucket is settled
-        huge = cut(main.where(F.col("others") > PIVOTS).select("bucket"))
-        if huge.isEmpty():
-            break
-        state = open_.join(huge, "bucket").join(pivots.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", F.lit(False).alias("done"))
-
+    confirmed = confirming(rows, words, threshold_percent)
+    parts = components_of(members, nodes.drop("bands"), same, lambda x, y: _may_link(x, y, limit, threshold_percent), confirmed)
     labels = reps.join(parts, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k0")).alias("k0"), "k1").join(labels, ["k0", "k1"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, chat_formatting, media, near_dedup, packing, quality, substring_dedup, url_filters, warc
+from tessella.llm import ann, bpe, chat_formatting, jaccard_join, media, near_dedup, packing, quality, substring_dedup, url_filters, warc
 from tessella.llm.common import cut, table
 
 URL_RULES = [
@@ -110,6 +110,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), words=3, threshold_percent=90)
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 def _little_endian(n: str) -> str:
@@ -119,8 +123,10 @@ def _little_endian(n: str) -> str:
 
 _WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
-ORACLES = {
-    "op1_minhash": f"""
+
+def _links_sql(threshold_percent: int) -> str:
+    """A table c of doc_id, n_shingles and component_id over sets of three words, from all pairs that share a shingle."""
+    return f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS_SQL}) AS words FROM documents),
 s AS (
@@ -130,14 +136,18 @@ k AS (SELECT doc_id, shingles, CAST(len(shingles) AS BIGINT) AS n, CASE WHEN len
 e AS (SELECT node, n, unnest(shingles) AS shingle FROM k WHERE node = doc_id),
 pairs AS (
   SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.node < b.node
-  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+  WHERE 100 * least(a.n, b.n) >= {threshold_percent} * greatest(a.n, b.n)
+  GROUP BY ALL HAVING 100 * count(*) >= {threshold_percent} * (any_value(a.n) + any_value(b.n) - count(*))),
 links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 lowest AS (SELECT a AS node, min(b) AS low FROM reach GROUP BY a),
 c AS (SELECT doc_id, n AS n_shingles, least(node, coalesce(low, node)) AS component_id FROM k LEFT JOIN lowest USING (node))
-SELECT *, doc_id = component_id AS kept FROM c
-""",
+"""
+
+
+ORACLES = {
+    "op1_minhash": _links_sql(85) + "SELECT *, doc_id = component_id AS kept FROM c",
+    "op13_jaccard_join": _links_sql(90) + "SELECT * FROM c",
     "op3_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -207,4 +217,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
+    "op13_jaccard_join": op13_jaccard_join,
 }
