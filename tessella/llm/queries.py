@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, chat_formatting, hard_negatives, jaccard_join, media, near_dedup, packing, quality, substring_dedup, url_filters, warc
+from tessella.llm import ann, bpe, chat_formatting, hard_negatives, jaccard_join, media, near_dedup, packing, quality, substring_dedup, token_alignment, url_filters, warc
 from tessella.llm.common import cut, table
 
 URL_RULES = [
@@ -110,6 +110,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = token_alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return made.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "id % 50 = 0", label_col=label)
@@ -238,6 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
+    "op11_token_alignment": op11_token_alignment,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_jaccard_join": op13_jaccard_join,
 }
