@@ -70,12 +70,12 @@ class BaseTransformer:
 
     # what operators define
 
-    def choices(self, x: dict[str, Column], kinds: dict[str, T.DataType]) -> dict[str, Column]:
-        """Aggregates by name that must be known before ``requests``: one scan for all operators that have some."""
-        return {}
+    def texts(self, x: dict[str, Column]) -> Column | None:
+        """Strings whose shapes must be known before ``requests``: one scan for all operators that have some."""
+        return None
 
-    def choose(self, stats: dict[str, Any]) -> None:
-        """Take the aggregates of ``choices``, if there were any."""
+    def choose(self, shapes: list[tuple[str, int, list, list]] | None) -> None:
+        """Take the shapes of ``texts`` (shape, rows, the least and the largest of each number); None if there are too many."""
 
     def requests(self, x: dict[str, Column], kinds: dict[str, T.DataType]) -> dict[str, Column]:
         """Aggregates by name."""

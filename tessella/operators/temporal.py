@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import InvalidDataError
+from tessella.functions import date_shapes as S
 from tessella.functions import dates as D
 from tessella.functions import numeric as N
 from tessella.operators.numeric import FloatFormatter, renamed_modelling
@@ -21,9 +22,10 @@ UNITS = [10, 100, 1000, 10**4, 10**5, 10**6, 10**7, 10**8, 10**9, 60 * 10**9, 36
 class UnixTimestampEncoder(FloatFormatter):
     """Nanoseconds since the epoch as doubles.
 
-    Strings and numbers are parsed by ``datetime_format`` (strftime), or by the first of
-    the known patterns that fits all values. Strings with one zone keep it; with several
-    they become UTC.
+    Strings and numbers are parsed by ``datetime_format`` (strftime), or by the patterns
+    that a scan of their shapes infers. Where all have one form, they come back in it; of
+    several forms, each is parsed by its own, and they come back as ISO dates and times.
+    Strings with one zone keep it; with several they become UTC.
     """
 
     INPUT_SDTYPE = "datetime"
@@ -31,44 +33,61 @@ class UnixTimestampEncoder(FloatFormatter):
 
     def __init__(self, missing_value_replacement: Any = "mean", model_missing_values: bool | None = None, datetime_format: str | None = None, missing_value_generation: str | None = "random", enforce_min_max_values: bool = False):
         super().__init__(missing_value_replacement, None, False, enforce_min_max_values, "Float", renamed_modelling(model_missing_values, missing_value_generation))
-        self.datetime_format = datetime_format
+        self.datetime_format, self.given_format = datetime_format, datetime_format is not None
+        #: The patterns of several forms, if the fit has found such.
+        self.forms: list[str] = []
         self.zone: str | None = None
         self.mixed_zones = False
 
     def is_text(self) -> bool:
         return not isinstance(self.kinds[self.columns[0]], (T.TimestampType, T.TimestampNTZType, T.DateType))
 
-    def nanoseconds(self, x, pattern: str | None):
-        return D.nanoseconds(D.micros(x[self.columns[0]], self.kinds[self.columns[0]], pattern))
+    def patterns(self) -> list[str | None]:
+        return [self.datetime_format] if self.datetime_format else self.forms or [None]
+
+    def micros(self, x):
+        """Microseconds by the first pattern that a value fits."""
+        found = [D.micros(x[self.columns[0]], self.kinds[self.columns[0]], p) for p in self.patterns()]
+        return found[0] if len(found) == 1 else F.coalesce(*found)
+
+    def nanoseconds(self, x):
+        return D.nanoseconds(self.micros(x))
 
     def number(self, x):
-        return self.nanoseconds(x, self.datetime_format) / F.lit(float(self.unit()))
+        return self.nanoseconds(x) / F.lit(float(self.unit()))
 
     def unit(self) -> int:
         return 1
 
-    def misfits(self, x, pattern: str | None):
-        return F.count_if(x[self.columns[0]].isNotNull() & self.nanoseconds(x, pattern).isNull())
-
-    def choices(self, x, kinds):
-        # with no pattern given, all known ones are tried; the statistics are then of the first that fits
-        return {pattern: self.misfits(x, pattern) for pattern in D.GUESSES} if self.is_text() and not self.datetime_format else {}
-
-    def choose(self, stats):
-        self.datetime_format = next((pattern for pattern, n in stats.items() if not n), None)
+    def texts(self, x):
+        # with no pattern given, the shapes of all values tell it; the statistics are then of what is inferred
+        if not self.is_text() or self.given_format:
+            return None
+        text = x[self.columns[0]].cast("long").cast("string") if isinstance(self.kinds[self.columns[0]], (T.DoubleType, T.FloatType)) else x[self.columns[0]].cast("string")
+        return text if isinstance(self.kinds[self.columns[0]], T.StringType) else D.whole_pairs(text)
+
+    def choose(self, shapes):
+        if shapes is None:
+            raise InvalidDataError(f"column '{self.columns[0]}' has more than {S.MOST_SHAPES} shapes of values: they fit no known pattern")
+        found, odd = S.infer(shapes)
+        if odd is not None:
+            raise InvalidDataError(f"column '{self.columns[0]}' has values of the shape {odd!r}, which fit no known pattern")
+        self.datetime_format, self.forms = (found[0], []) if len(found) == 1 else (None, found)
+        if len(found) > 1:
+            warnings.warn(f"column '{self.columns[0]}' has several forms of dates: {found}", stacklevel=2)
 
     def requests(self, x, kinds):
         out = super().requests(x, kinds)
         if self.is_text():
             text = x[self.columns[0]].cast("string")
             zone = D.offset_of(text)  # null for a null
-            out |= {"misfits": self.misfits(x, self.datetime_format), "zone_low": F.min(zone), "zone_high": F.max(zone), "example": F.min(text)}
+            out |= {"misfits": F.count_if(x[self.columns[0]].isNotNull() & self.micros(x).isNull()), "zone_low": F.min(zone), "zone_high": F.max(zone), "example": F.min(text)}
         return out
 
     def bind(self, stats, values):
         if self.is_text():
             if stats["misfits"]:
-                raise InvalidDataError(f"column '{self.columns[0]}' has values, such as {stats['example']!r}, that don't fit {self.datetime_format or 'any known pattern'}")
+                raise InvalidDataError(f"column '{self.columns[0]}' has values, such as {stats['example']!r}, that don't fit {' or '.join(p or 'any known pattern' for p in self.patterns())}")
             self.learn_zone(stats)
         super().bind(self.scaled(stats), values)
 
@@ -76,7 +95,7 @@ class UnixTimestampEncoder(FloatFormatter):
         return stats
 
     def learn_zone(self, stats: dict) -> None:
-        if not D.has_zone(self.datetime_format):
+        if not any(D.has_zone(p) for p in self.patterns()):
             return
         self.mixed_zones = stats["zone_low"] != stats["zone_high"]
         if self.mixed_zones:
@@ -102,7 +121,7 @@ class UnixTimestampEncoder(FloatFormatter):
         if self.datetime_format is None:
             return D.to_kind(micros, T.TimestampNTZType()).cast("string").cast(kind)
         if self.zone and D.has_zone(self.datetime_format):
-            hours = self.zone if self.zone[0] not in "+-" or ":" in self.zone else f"{self.zone[:3]}:{self.zone[3:]}"
+            hours = self.zone if self.zone[0] not in "+-" or ":" in self.zone else f"{self.zone[:3]}:{self.zone[3:] or '00'}"
             micros = D.in_zone(micros, hours) if hours not in ("Z", "UTC") else micros
         text = D.formatted(micros, self.datetime_format.replace("%z", self._literal(self.zone or "+0000")).replace("%Z", self._literal(self.zone or "UTC")))
         return text if isinstance(kind, T.StringType) else text.try_cast(kind)
@@ -125,7 +144,7 @@ class OptimizedTimestampEncoder(UnixTimestampEncoder):
     def requests(self, x, kinds):
         out = super().requests(x, kinds)
         # microseconds are integers, so divisibility is exact; smaller units always divide
-        micros = D.micros(x[self.columns[0]], self.kinds[self.columns[0]], self.datetime_format)
+        micros = self.micros(x)
         return out | {f"unit{u}": F.bool_and(F.pmod(micros, F.lit(u // 1000)) == 0) for u in UNITS if u > 1000}
 
     def scaled(self, stats):
@@ -143,9 +162,9 @@ class OptimizedTimestampEncoder(UnixTimestampEncoder):
 
     def number(self, x):
         if not self.fitted:
-            return self.nanoseconds(x, self.datetime_format)
+            return self.nanoseconds(x)
         # from microseconds, which are integers: a double of nanoseconds may lie just below its value
-        micros, unit = D.micros(x[self.columns[0]], self.kinds[self.columns[0]], self.datetime_format), F.lit(max(1, self.divider // 1000))
+        micros, unit = self.micros(x), F.lit(max(1, self.divider // 1000))
         return ((micros - F.pmod(micros, unit)) / unit).cast("double")
 
     def filled(self, df, x, draws):

@@ -1,4 +1,4 @@
-"""Fits of many operators in two scans: one aggregation, and one grouping of all values that are wanted."""
+"""Fits of many operators in two scans: one aggregation, and one grouping of all values that are wanted; date strings have one more, of their shapes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions import date_shapes as S
 from tessella.functions.lookup import LITERALS, Dictionary
 from tessella.functions.tables import cut
 from tessella.operators.base import KEY, BaseTransformer, column, kind_of
@@ -61,9 +62,23 @@ def _aggregated(df: DataFrame, wanted: list[dict[str, Column]]) -> dict[int, dic
     return {i: {name: next(found) for name in own} for i, own in enumerate(wanted) if own}
 
 
+def date_shapes(df: DataFrame, texts: dict[int, Column]) -> dict[int, list[tuple] | None]:
+    """By the texts' places: their shapes, rows and extremes of numbers; None where there are more than a column of dates has."""
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in texts.items()])
+    spread = df.select(F.explode(entries).alias("e")).select("e.i", "e.t").where("t IS NOT NULL")
+    seen = cut(spread.groupBy("i", S.shape(F.col("t")).alias("shape")).agg(F.count(F.lit(1)).alias("n"), *S.extremes(F.col("t"))))
+    sizes = {r.i: r["count"] for r in seen.groupBy("i").count().collect()}  # a row for each column
+    out: dict[int, list[tuple] | None] = {i: [] if sizes.get(i, 0) <= S.MOST_SHAPES else None for i in texts}
+    few = [i for i, own in out.items() if own is not None]
+    for r in seen.where(F.col("i").isin(few)).collect():  # at most MOST_SHAPES rows for each column
+        out[r.i].append((r["shape"], r.n, r.lows, r.highs))
+    return out
+
+
 def fit_together(df: DataFrame, operators: list[BaseTransformer]) -> None:
     """Fit prepared operators on ``df``, which has the key column."""
-    for i, own in _aggregated(df, [op.choices(op.inputs(), op.kinds) for op in operators]).items():
+    texts = {i: t for i, op in enumerate(operators) if (t := op.texts(op.inputs())) is not None}
+    for i, own in (date_shapes(df, texts) if texts else {}).items():
         operators[i].choose(own)
     found = _aggregated(df, [op.requests(op.inputs(), op.kinds) for op in operators])
     valued = {op.columns[0]: op.kinds[op.columns[0]] for op in operators if op.wants_values}

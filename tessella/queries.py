@@ -505,6 +505,29 @@ def unix_guessed_format(spark, sf_dir):
     return made.withColumn("x", F.col("x") / 1e9)
 
 
+@query("unix_inferred_format", "SELECT event_id, CAST(epoch(date_trunc('minute', ts)) AS DOUBLE) AS x, strftime(ts, '%-m/%-d/%Y %-I:%M %p') AS back FROM events")
+def unix_inferred_format(spark, sf_dir):
+    """Numbers without leading zeros and a twelve-hour clock, inferred; the texts come back letter for letter."""
+    t, data = UnixTimestampEncoder(missing_value_generation=None), table(spark, sf_dir, "events", "event_id", "date_format(ts, 'M/d/yyyy h:mm a') AS x")
+    made = t.fit_transform(data, "x", "event_id")
+    back = t.reverse_transform(made.withColumn("was", F.col("x")))
+    return back.select("event_id", (F.col("was") / 1e9).alias("x"), F.col("x").alias("back"))
+
+
+#: Seven forms of a day, as Spark writes them.
+_DAY_FORMS = ["dd.MM.yyyy", "M/d/yyyy h:mm a", "EEEE, MMMM d, yyyy", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "MMM dd, yyyy", "yyyy-MM-dd HH:mm:ss"]
+
+
+@query("unix_mixed_formats", "SELECT o_orderkey, CAST(epoch(o_orderdate) AS DOUBLE) AS x, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS back FROM orders")
+def unix_mixed_formats(spark, sf_dir):
+    """Each row has one of seven forms; all come back as ISO dates and times."""
+    forms = " ".join(f"""WHEN {k} THEN date_format(o_orderdate, "{form}")""" for k, form in enumerate(_DAY_FORMS))
+    t, data = UnixTimestampEncoder(missing_value_generation=None), orders(spark, sf_dir, f"CASE o_orderkey % {len(_DAY_FORMS)} {forms} END", null=False)
+    made = t.fit_transform(data, "x", "o_orderkey")
+    back = t.reverse_transform(made.withColumn("was", F.col("x")))
+    return back.select("o_orderkey", (F.col("was") / 1e9).alias("x"), F.col("x").alias("back"))
+
+
 @query("unix_minmax_reverse", "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events) SELECT event_id, greatest(least(ts - INTERVAL 3 DAY, hi), lo) AS x FROM events, b")
 def unix_minmax_reverse(spark, sf_dir):
     """Times are moved by three days, so some leave the bounds of the fit."""
