@@ -44,12 +44,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_ranges(table: DataFrame, order: list[Column], amount: Column) -> DataFrame:
+    """The rows stored by ranges of their order, with the range (_part) and the amount (_amount)."""
+    return cut(table.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_amount": amount}))
+
+
 def running(table: DataFrame, order: list[Column], amount: Column) -> DataFrame:
     """Add _number (from 0) and _before (the sum of ``amount`` of all earlier rows) in ``order``.
 
     Ranges of the order are summed side by side; only a row for each range meets in one task.
     """
-    dealt = cut(table.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_amount": amount}))
+    return running_over(by_ranges(table, order, amount), order)
+
+
+def running_over(dealt: DataFrame, order: list[Column]) -> DataFrame:
+    """The same for rows that :func:`by_ranges` has stored."""
     parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_amount").alias("_total"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)

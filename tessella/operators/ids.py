@@ -10,33 +10,33 @@ from pyspark.sql import types as T
 
 from tessella.errors import TransformerInputError
 from tessella.functions.lookup import Dictionary
+from tessella.functions.permutation import MOST, Permutation
 from tessella.functions.regexes import enumeration
 from tessella.functions.rng import uniform
-from tessella.functions.tables import cut, running
+from tessella.functions.tables import by_ranges, cut, running, running_over
 from tessella.operators.base import KEY, BaseTransformer
 
 #: The hidden column of a row's number, from 0.
 ROW = "__row_number"
 
 
-def with_row_number(df: DataFrame, keyed: bool = True) -> DataFrame:
-    """Number the rows from 0 in the order of their keys.
+def with_row_number(df: DataFrame, keyed: bool = True) -> tuple[DataFrame, int]:
+    """Number the rows from 0 in the order of their keys, and count them.
 
     Rows are ranged by key and counted by range, so no task sees all of them. Rows that
     have no keys of their own have numbers within partitions, which counts by partition
     make dense: nothing is sorted or shuffled.
     """
-    if ROW in df.columns:
-        return df
     if not keyed:
         place = F.col(KEY).cast("long")
         dealt = cut(df.withColumn("_part", F.shiftright(place, 33)))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"))
         numbered = dealt.join(F.broadcast(parts), "_part")  # a row for each partition
-        return numbered.withColumn(ROW, F.col("_rows_before") + place.bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_rows_before")
+        return numbered.withColumn(ROW, F.col("_rows_before") + place.bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_rows_before"), dealt.count()
     ordered = [F.length(KEY), F.col(KEY)]
-    return running(df, ordered, F.lit(0)).withColumnRenamed("_number", ROW).drop("_before")
+    dealt = by_ranges(df, ordered, F.lit(0))
+    return running_over(dealt, ordered).withColumnRenamed("_number", ROW).drop("_before"), dealt.count()
 
 
 class Repeats:
@@ -91,6 +91,8 @@ class Generator(BaseTransformer):
         #: Values made by earlier calls.
         self.made = 0
         self.repeats = Repeats()
+        #: The rows of the call, if the plan has numbered them for another generator.
+        self.rows: int | None = None
 
     def reset_randomization(self):
         super().reset_randomization()
@@ -101,10 +103,12 @@ class Generator(BaseTransformer):
         return df, {}
 
     def inverse(self, df, y, draws):
-        df = with_row_number(df, bool(self.row_key))
-        n = df.count()  # of a stored table: the numbers of the next call follow these rows
-        df, column = self.generated(df, F.col(ROW), draws, n)
-        self.made += n
+        if ROW not in df.columns:
+            df, self.rows = with_row_number(df, bool(self.row_key))
+        elif self.rows is None:
+            self.rows = df.count()
+        df, column = self.generated(df, F.col(ROW), draws, self.rows)
+        self.made += self.rows  # the numbers of the next call follow these rows
         return df, {self.columns[0]: column}
 
     def generated(self, df: DataFrame, number, draws, n: int):
@@ -181,49 +185,34 @@ class RegexGenerator(Generator):
         self.repetitions = [(r.n, r["values"]) for r in histogram.orderBy("n").collect()]
         self.n_distinct = sum(v for _, v in self.repetitions)
 
-    def scrambled(self, i, draws):
-        """A number of a string from a row's number: an affine step over the pattern's strings, which hits each once."""
-        size = min(self.strings.size, (1 << 63) - 1)
-        step = next(s for s in range(size * 618 // 1000 + 1, 2 * size + 2) if _coprime(s, size))
-        if size <= 1 << 31:
-            return (i * F.lit(step) + F.lit(draws.seed % size)) % F.lit(size)
-        # products of two 63-bit numbers have 38 digits at most
-        wide = lambda x: x.cast("decimal(19,0)")
-        product = (wide(i) * wide(F.lit(step % size))) % wide(F.lit(size))
-        return ((product + wide(F.lit(draws.seed % size))) % wide(F.lit(size))).cast("long")
-
-    def string_column(self, i, draws):
-        return self.strings.column(self.scrambled(i, draws) if self.generation_order == "scrambled" else i)
+    def string_column(self, df, i, draws):
+        """The strings of numbers; scrambled ones go through all of the pattern's, in an order that seed and column choose."""
+        if self.generation_order == "scrambled":
+            df, i = Permutation(min(self.strings.size, MOST), f"{draws.seed}|{draws.field}|scrambled").column(df, i)
+        return df, self.strings.column(i)
 
     def generated(self, df, number, draws, n):
-        size = min(self.strings.size, (1 << 63) - 1)
+        size = min(self.strings.size, MOST)
         at = number + F.lit(self.made)
         if self.cardinality_rule == "match":
             if self.n_distinct > size:
                 warnings.warn(f"the pattern has {size} strings, fewer than the {self.n_distinct} values to match", stacklevel=2)
-            return df, self.extended(number % F.lit(max(1, self.n_distinct)), size, draws)
+            return self.extended(df, number % F.lit(max(1, self.n_distinct)), size, draws)
         if self.cardinality_rule == "scale":
             if not self.repetitions:
-                return df, self.string_column(at % F.lit(size), draws)
+                return self.string_column(df, at % F.lit(size), draws)
             df, text = self.repeats.dealt(df, n, self.repetitions, f"{draws.seed}|{draws.field}|repeat")
-            return df, self.extended(text, size, draws)
+            return self.extended(df, text, size, draws)
         if self.cardinality_rule == "unique":
-            return df, self.extended(at, size, draws)
-        return df, self.string_column(at % F.lit(size), draws)
+            return self.extended(df, at, size, draws)
+        return self.string_column(df, at % F.lit(size), draws)
 
-    def extended(self, i, size: int, draws):
+    def extended(self, df, i, size: int, draws):
         """Strings while they last; beyond, numbers that go on, or the strings with a number in brackets."""
-        text = self.string_column(F.least(i, F.lit(size - 1)), draws)
+        df, text = self.string_column(df, i % F.lit(size), draws)
         last = self.strings.string(size - 1) if size < 1 << 62 else ""
         if last.isdigit():
             beyond = (i - F.lit(size) + F.lit(int(last) + 1)).cast("string")
         else:
-            again = self.string_column(i % F.lit(size), draws)
-            beyond = F.concat(again, F.lit("("), (F.call_function("div", i, F.lit(size)) - 1).cast("string"), F.lit(")"))
-        return F.when(i < F.lit(size), text).otherwise(beyond)
-
-
-def _coprime(a: int, b: int) -> bool:
-    while b:
-        a, b = b, a % b
-    return a == 1
+            beyond = F.concat(text, F.lit("("), (F.call_function("div", i, F.lit(size)) - 1).cast("string"), F.lit(")"))
+        return df, F.when(i < F.lit(size), text).otherwise(beyond)

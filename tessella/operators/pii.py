@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import TransformerInputError, TransformerProcessingError
 from tessella.functions.lookup import LITERALS, Dictionary
+from tessella.functions.numeric import staged
+from tessella.functions.permutation import MOST, Permutation
 from tessella.functions.rng import Draws, uniform
-from tessella.functions.tables import cut, running
+from tessella.functions.tables import by_ranges, cut, running_over
 from tessella.operators.base import BaseTransformer
 from tessella.operators.categorical import LabelEncoder
-from tessella.operators.ids import ROW, Generator, check_rule, value_counts, with_row_number
-from tessella.sources.providers import CATALOGUE, SDTYPE_ANONYMIZERS, get_provider_name
+from tessella.operators.ids import Generator, check_rule, value_counts
+from tessella.sources.providers import CATALOGUE, LETTERS, SDTYPE_ANONYMIZERS, Digits, get_provider_name, space_size
+
+#: Letters of a value beyond those of a function.
+WORD = 6
 
 
 class AnonymizedFaker(Generator):
     """Fake values of a provider's function, with as many nulls as the fit saw.
 
-    Random numbers come from a row's number, or with a cardinality rule from the number
-    of a distinct value: 'unique' has one for each row, 'match' as many as the fit saw,
-    'scale' repeats them as the fit saw values repeated. Distinct numbers have distinct
-    values: a value that another number already has gets the number as a suffix.
+    Without a rule, values are drawn by a row's number. With one, a value has a number:
+    'unique' has one for each row of all calls, 'match' as many as the fit saw values,
+    'scale' repeats them as the fit saw values repeated. A keyed permutation makes a rank of
+    the number, and the rank's digits choose the value's parts, so different numbers have
+    different values, over calls too. Numbers beyond the function's values are words of
+    letters, with a warning.
     """
 
     INPUT_SDTYPE = "pii"
@@ -89,29 +98,38 @@ class AnonymizedFaker(Generator):
         if self.cardinality_rule is None:
             made = self.value(at.cast("string"), salt)
         else:
+            most = self.made + n
             if self.cardinality_rule == "match":
-                at = number % F.lit(max(1, self.n_distinct))
+                most = max(1, self.n_distinct)
+                at = number % F.lit(most)
             elif self.cardinality_rule == "scale" and self.repetitions:
-                # a number keeps its value over calls
-                salt = f"{draws.seed}|{draws.field}|fake"
                 df, at = self.repeats.dealt(df, n, self.repetitions, f"{draws.seed}|{draws.field}|repeat")
-            df, made = self._distinct(df, at, salt)
-        if self.missing_value_generation and self.null_share:
-            # as many nulls as the share says, at the rows with the smallest random numbers
-            nulls = int(self.null_share * n)
-            ranked = running(df.select(F.col(ROW).alias("_at"), uniform(F.col(ROW).cast("string"), draws.salt("null")).alias("_u")), [F.col("_u"), F.col("_at")], F.lit(0))
-            gone = ranked.where(F.col("_number") < nulls).select(F.col("_at").alias("_gone"))
-            df = df.join(gone, F.col(ROW) == F.col("_gone"), "left")
-            made = F.when(F.col("_gone").isNull(), made)
+            df, made = self._ranked(df, at, f"{draws.seed}|{draws.field}|fake", most)
+        if self.missing_value_generation and self.null_share and n:
+            # as many nulls as the share says, at the rows that a permutation puts first
+            df, place = Permutation(n, draws.salt("null")).column(df, number)
+            made = F.when(place >= int(self.null_share * n), made)
         return df, made.cast("string") if isinstance(self.kinds[self.columns[0]], T.StringType) else made
 
-    def _distinct(self, df, at, salt):
-        """One value for each number, and none twice: where several have a value, all but the smallest take their number along."""
-        df = df.withColumn("_at", at)
-        numbers = df.select("_at").distinct().withColumn("_value", self.value(F.col("_at").cast("string"), salt).cast("string"))
-        least = numbers.groupBy("_value").agg(F.min("_at").alias("_least"))
-        named = numbers.join(least, "_value").select(F.col("_at").alias("_number_of"), F.when(F.col("_at") == F.col("_least"), F.col("_value")).otherwise(F.concat("_value", F.lit("-"), F.col("_at").cast("string"))).alias("_named"))
-        return df.join(named, F.col("_at") == F.col("_number_of"), "left"), F.col("_named")
+    def _ranked(self, df, at, key: str, most: int):
+        """A value for each number below ``most``, and none for two."""
+        maker = CATALOGUE[self.provider_name][self.function_name]
+        size = space_size(maker, self.function_kwargs)
+        df, at = staged(df, at)
+        df, rank = Permutation(size, key).column(df, at % F.lit(size))
+        df, rank = staged(df, rank)
+        made = maker(Digits(rank), **self.function_kwargs)
+        if most <= size:
+            return df, made
+        warnings.warn(f"column '{self.columns[0]}' needs more than the {size} values of {self.function_name!r}: further ones are random letters", stacklevel=2)
+        letters = max(WORD, len(str(self.function_kwargs.get("text", ""))) + 1)  # longer than a template of letters
+        space = min(len(LETTERS) ** letters, MOST)
+        df, rank = Permutation(space, f"{key}|more").column(df, (at - F.lit(size)) % F.lit(space))
+        df, rank = staged(df, rank)
+        word = CATALOGUE["BaseProvider"]["lexify"](Digits(rank), text="?" * letters)
+        again = F.call_function("div", at - F.lit(size), F.lit(space))
+        word = F.when(again > 0, F.concat(word, again.cast("string"))).otherwise(word)
+        return df, F.when(at < size, made.cast("string")).otherwise(word)
 
 
 class PseudoAnonymizedFaker(AnonymizedFaker):
@@ -138,10 +156,11 @@ class PseudoAnonymizedFaker(AnonymizedFaker):
         name, kind = self.columns[0], self.kinds[self.columns[0]]
         values = data.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").alias("value")).distinct()
         salt = f"{self.seeds['fit']}|{name}|pseudonym"
-        ordered = running(values.withColumn("_h", F.md5(F.concat(F.lit(f"{salt}|"), F.col("value").cast("string")))), [F.col("_h"), F.col("value")], F.lit(0))
-        named, made = self._distinct(ordered.select("value", "_number"), F.col("_number"), salt)
-        table = cut(named.select("value", made.alias("pseudonym")))
-        size = table.count()
+        order = [F.col("_h"), F.col("value")]
+        dealt = by_ranges(values.withColumn("_h", F.md5(F.concat(F.lit(f"{salt}|"), F.col("value").cast("string")))), order, F.lit(0))
+        ordered, size = running_over(dealt, order), dealt.count()
+        named, made = self._ranked(ordered.select("value", "_number"), F.col("_number"), salt, size)
+        table = cut(named.select("value", made.cast("string").alias("pseudonym")))
         rows = [r.asDict() for r in table.collect()] if size <= LITERALS else None
         self.dictionary = Dictionary({"value": kind, "pseudonym": T.StringType()}, rows=rows, table=None if rows is not None else table, size=size)
 
@@ -172,6 +191,3 @@ def get_anonymized_transformer(function_name: str, transformer_kwargs: dict | No
             raise TransformerProcessingError(f"neither an sdtype nor a provider's function: {function_name!r}")
         found = {"provider_name": get_provider_name(function_name), "function_name": function_name}
     return AnonymizedFaker(**(found | (transformer_kwargs or {})))
-
-
-__all__ = ["AnonymizedFaker", "PseudoAnonymizedFaker", "get_anonymized_transformer", "with_row_number"]

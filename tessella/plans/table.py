@@ -314,7 +314,7 @@ class HyperTransformer:
 
     def _reverse(self, data: DataFrame, generators: bool) -> DataFrame:
         key = self.row_key if self._has_key(data) else None
-        df = with_key(data, key)
+        df, rows = with_key(data, key), None
         for level in reversed(self._levels):
             names, used, made = list(df.columns), set(), []
             for t in level:
@@ -324,8 +324,11 @@ class HyperTransformer:
                 elif not t.get_output_columns() or any(c not in names for c in t.get_output_columns()):
                     continue
                 outputs = {s: column(n) for n, s in t.outputs_by_name().items()}
+                if isinstance(t, Generator):
+                    t.rows = rows
                 df, own = t.inverse(df, outputs, t.draws("reverse_transform"))
                 t.calls["reverse_transform"] += 1
+                rows = t.rows if isinstance(t, Generator) else rows
                 used |= set(t.get_output_columns())
                 made += [own[c].alias(c) for c in t.columns]
             df = df.select(*[column(c) for c in names if c not in used], *made)
@@ -361,6 +364,7 @@ class HyperTransformer:
         spark = spark or SparkSession.active()
         df, made = spark.range(num_rows).select(F.col("id").cast("string").alias(KEY)), []
         for t in sorted(wanted.values(), key=lambda t: t.columns):
+            t.rows = num_rows
             df, own = t.inverse(df, {}, t.draws("reverse_transform"))
             made += [own[c].alias(c) for c in t.columns]
         return df.select(*made).select(*[column(c) for c in self._input_columns if c in column_names])

@@ -7,7 +7,6 @@ Doubles are rounded to six digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from tessella.functions.lookup import Dictionary
 from tessella.functions.mixtures import Mixture
 from tessella.functions.numeric import normal_cdf_sql, normal_ppf_sql
+from tessella.functions.permutation import Permutation
 from tessella.functions.rng import uniform_sql
 from tessella.functions.tables import running
 from tessella.operators.base import ColumnFunctions, with_key
@@ -29,7 +29,7 @@ from tessella.operators.temporal import OptimizedTimestampEncoder, UnixTimestamp
 from tessella.plans.fusion import fit_together
 from tessella.plans.table import HyperTransformer
 from tessella.sources.demo import CARDS, DEMO_ROWS, GENERATORS, get_demo, random_column
-from tessella.sources.providers import DOMAINS, FIRST, LAST
+from tessella.sources.providers import CITIES, DOMAINS, FIRST, LAST, LETTERS
 from tessella.streaming.apply import transform_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -613,12 +613,7 @@ def regex_scale_second_call(spark, sf_dir):
     return _scaled(spark, sf_dir, 2)
 
 
-#: The strings of the scrambled pattern, and the first step from 0.618 of them on that has no divisor with their number.
-_SIZE = 26**4
-_STEP = next(s for s in range(_SIZE * 618 // 1000 + 1, 2 * _SIZE) if gcd(s, _SIZE) == 1)
-
-
-@query("regex_scrambled", f"SELECT c_custkey, {_letters_sql(f'((i * {_STEP} + 44) % {_SIZE})', 4)} AS x FROM {_NUMBERED}")
+@query("regex_scrambled", f"SELECT c_custkey, {_letters_sql('p', 4)} AS x FROM {Permutation(26**4, '44|x|scrambled').sql('i', _NUMBERED, 'p')}")
 def regex_scrambled(spark, sf_dir):
     return _generated(spark, sf_dir, RegexGenerator("[A-Z]{4}", generation_order="scrambled"))
 
@@ -639,36 +634,66 @@ def anonymize_email(spark, sf_dir):
     return _generated(spark, sf_dir, AnonymizedFaker("internet", "email"))
 
 
-@query("anonymize_unique", "SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS n_fits FROM customer")
+def _digit_sql(rank: str, before: int, radix: int) -> str:
+    return f"({rank} // {before}) % {radix}"
+
+
+def _item_sql(items: list[str], rank: str, before: int) -> str:
+    return f"{items!r}[CAST({_digit_sql(rank, before, len(items))} AS INT) + 1]"
+
+
+_CALLS = f"(SELECT c_custkey, call, i + call * (SELECT count(*) FROM customer) AS spot FROM {_NUMBERED}, range(2) c(call))"
+
+
+@query(
+    "anonymize_unique",
+    f"SELECT c_custkey, call, '+1-' || lpad(CAST({_digit_sql('p', 1, 1000)} AS VARCHAR), 3, '0') || '-555-' || lpad(CAST({_digit_sql('p', 1000, 10_000)} AS VARCHAR), 4, '0') AS x, true AS fits FROM {Permutation(10**7, '44|x|fake').sql('spot', _CALLS, 'p')}",
+)
 def anonymize_unique(spark, sf_dir):
-    made = _generated(spark, sf_dir, AnonymizedFaker("phone_number", "phone_number", cardinality_rule="unique"))
-    return made.agg(F.count("x").alias("n"), F.countDistinct("x").alias("n_distinct"), F.count_if(F.col("x").rlike(r"^\+1-\d{3}-555-\d{4}")).alias("n_fits"))
+    """Two calls: their values are of one permutation of all phone numbers, so none comes twice."""
+    t, out = AnonymizedFaker("phone_number", "phone_number", cardinality_rule="unique"), None
+    t.fit(customers(spark, sf_dir, "c_name", null=False), "x", "c_custkey")
+    for call in range(2):
+        made = t.reverse_transform(table(spark, sf_dir, "customer", "c_custkey")).withColumn("call", F.lit(call).cast("long"))
+        out = made if out is None else out.unionByName(made)
+    return out.withColumn("fits", F.col("x").rlike(r"^\+1-\d{3}-555-\d{4}$"))
 
 
-@query("anonymize_nulls", "SELECT count(*) AS n, CAST(floor(avg(CASE WHEN c_custkey % 10 = 0 THEN 1.0 ELSE 0.0 END) * count(*)) AS BIGINT) AS n_null FROM customer")
+@query("anonymize_nulls", "SELECT count(*) AS n, CAST(floor(avg(CASE WHEN c_custkey % 10 = 0 THEN 1.0 ELSE 0.0 END) * count(*)) AS BIGINT) AS n_null, count(*) - CAST(floor(avg(CASE WHEN c_custkey % 10 = 0 THEN 1.0 ELSE 0.0 END) * count(*)) AS BIGINT) AS n_fits FROM customer")
 def anonymize_nulls(spark, sf_dir):
     t = AnonymizedFaker("person", "name")
     t.fit(customers(spark, sf_dir, "c_name"), "x", "c_custkey")
     made = t.reverse_transform(table(spark, sf_dir, "customer", "c_custkey"))
-    return made.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"))
+    return made.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"), F.count_if(F.col("x").rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$")).alias("n_fits"))
+
 
+def _match_sql() -> str:
+    """As many values as there are nations: the cities, and words of six letters for the rest."""
+    numbered = f"(SELECT c_custkey, i % (SELECT count(DISTINCT c_nationkey) FROM customer) AS spot FROM {_NUMBERED})"
+    city = Permutation(len(CITIES), "44|x|fake").sql(f"(spot % {len(CITIES)})", numbered, "p")
+    both = Permutation(26**6, "44|x|fake|more").sql("rest", f"(SELECT *, greatest(spot - {len(CITIES)}, 0) AS rest FROM {city})", "q")
+    word = " || ".join(f"substr('{LETTERS}', CAST({_digit_sql('q', 26**k, 26)} AS INT) + 1, 1)" for k in range(6))
+    return f"SELECT c_custkey, CASE WHEN spot < {len(CITIES)} THEN {_item_sql(CITIES, 'p', 1)} ELSE {word} END AS x FROM {both}"
 
-@query("anonymize_match", "SELECT count(DISTINCT c_nationkey) AS n_distinct FROM customer")
+
+@query("anonymize_match", _match_sql())
 def anonymize_match(spark, sf_dir):
-    return _generated(spark, sf_dir, AnonymizedFaker("address", "city", cardinality_rule="match"), "c_nationkey").agg(F.countDistinct("x").alias("n_distinct"))
+    return _generated(spark, sf_dir, AnonymizedFaker("address", "city", cardinality_rule="match"), "c_nationkey")
+
+
+_NATIONS = "(SELECT value, row_number() OVER (ORDER BY md5('42|x|pseudonym|' || CAST(value AS VARCHAR)), value) - 1 AS number FROM (SELECT DISTINCT s_nationkey AS value FROM supplier))"
 
 
-@query("pseudonymize", "SELECT s_nationkey, count(*) AS n, 1 AS n_pseudonyms FROM supplier GROUP BY s_nationkey")
+@query("pseudonymize", f"SELECT s_suppkey, s_nationkey, {_item_sql(FIRST, 'p', 1)} || ' ' || {_item_sql(LAST, 'p', len(FIRST))} AS x FROM supplier JOIN {Permutation(len(FIRST) * len(LAST), '42|x|pseudonym').sql('number', _NATIONS, 'p')} ON s_nationkey = value")
 def pseudonymize(spark, sf_dir):
     """Equal values have one pseudonym, different values different ones."""
     data = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_nationkey AS x")
-    made = PseudoAnonymizedFaker("person", "name").fit_transform(data, "x", "s_suppkey")
-    single = made.groupBy("x").agg(F.countDistinct("s_nationkey").alias("owners"))
-    return made.join(single.where("owners = 1"), "x").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").cast("int").alias("n_pseudonyms"))
+    return PseudoAnonymizedFaker("person", "name").fit_transform(data, "x", "s_suppkey")
 
 
-@query("pseudonym_label_chain")
+@query("pseudonym_label_chain", f"SELECT s_suppkey, {r6('row_number() OVER (ORDER BY s_suppkey) - 1 + ' + uniform_sql('s_suppkey', '43|s_name|noise'))} AS s_name FROM supplier")
 def pseudonym_label_chain(spark, sf_dir):
+    """Each supplier has a name, so a pseudonym and a label of its own; labels are by the first key."""
     data = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     plan = HyperTransformer("s_suppkey")
     plan.set_config({"sdtypes": {"s_suppkey": "id", "s_name": "pii"}, "transformers": {"s_suppkey": None, "s_name": PseudoAnonymizedFaker("person", "name")}})

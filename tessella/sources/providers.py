@@ -1,7 +1,9 @@
-"""Fake values: templates over small word lists, filled from random numbers by key.
+"""Fake values: templates over small word lists, filled from random numbers by key or from the digits of a rank.
 
-A provider gives a column from a function that draws uniform numbers; values depend on
-their row's key alone. Word lists and formats are invented here.
+A provider gives a column from a function that draws numbers for its parts. Draws are
+uniform numbers of a row's key, or, where no value may come twice, the digits of a rank in
+mixed radix: a function's values then are a space with a size, and different ranks below it
+have different values. Word lists and formats are invented here.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Draw = Callable[[str], Column]
+from tessella.errors import TransformerProcessingError
+from tessella.functions.rng import uniform
+
+Draw = Callable[[str], "Column | Digit"]
 
 FIRST = ["Ada", "Bram", "Cleo", "Dario", "Elin", "Femi", "Goran", "Hana", "Ines", "Jonas", "Kaya", "Luis", "Mira", "Nils", "Oona", "Pavel", "Quinn", "Rosa", "Sami", "Tessa", "Uma", "Vera", "Wim", "Yara", "Zeno"]
 LAST = ["Abbot", "Berg", "Costa", "Dahl", "Evers", "Fontana", "Gruber", "Hale", "Ivanov", "Jansen", "Keller", "Lindt", "Moreau", "Novak", "Okafor", "Price", "Quist", "Rossi", "Silva", "Tanaka", "Ueda", "Vance", "Weber", "Young", "Zeller"]
@@ -25,16 +30,58 @@ JOBS = ["Architect", "Baker", "Chemist", "Dentist", "Editor", "Farmer", "Geologi
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def whole(u: Column, low: int, high: int) -> Column:
+class Digits:
+    """Draws that are the digits of a rank; the radix of each is what is chosen from."""
+
+    def __init__(self, rank: Column | None = None):
+        #: The values of the parts so far. Without a rank, only the size is of interest.
+        self.rank, self.size = F.lit(0).cast("long") if rank is None else rank, 1
+
+    def __call__(self, part: str) -> Digit:
+        return Digit(self, part)
+
+
+class Digit:
+    def __init__(self, digits: Digits, part: str):
+        self.digits, self.part = digits, part
+
+    def below(self, radix: int) -> Column:
+        """The digit. Ranks have 63 bits: parts beyond are drawn by the rank, which is distinct without them."""
+        own = self.digits
+        before, own.size = own.size, own.size * radix
+        if before > MOST_RANKS:
+            return F.floor(uniform(own.rank, self.part) * F.lit(float(radix))).cast("long")
+        return F.call_function("div", own.rank, F.lit(before)) % F.lit(min(radix, MOST_RANKS)) if before > 1 else own.rank % F.lit(min(radix, MOST_RANKS))
+
+
+MOST_RANKS = (1 << 63) - 1
+
+
+def space_size(maker: Callable[..., Column], kwargs: dict) -> int:
+    """How many different values a provider's function has, as far as ranks tell them apart."""
+    digits = Digits()
+    try:
+        maker(digits, **kwargs)
+    except (TypeError, AttributeError) as e:
+        raise TransformerProcessingError("a function's values can be told apart only if all its draws go to whole, pick, number or filled") from e
+    return min(digits.size, MOST_RANKS)
+
+
+def whole(u: Column | Digit, low: int, high: int) -> Column:
     """A whole number from ``low`` to ``high``, both included."""
+    if isinstance(u, Digit):
+        return u.below(high - low + 1) + F.lit(low)
     return (F.floor(u * F.lit(float(high - low + 1))) + F.lit(low)).cast("long")
 
 
-def pick(u: Column, items: list[str]) -> Column:
+def pick(u: Column | Digit, items: list[str]) -> Column:
+    if isinstance(u, Digit):
+        items = list(dict.fromkeys(items))  # different digits have different items
+        return F.element_at(F.array(*map(F.lit, items)), (u.below(len(items)) + 1).cast("int"))
     return F.element_at(F.array(*map(F.lit, items)), (F.floor(u * F.lit(float(len(items)))) + 1).cast("int"))
 
 
-def number(u: Column, digits: int) -> Column:
+def number(u: Column | Digit, digits: int) -> Column:
     return F.lpad(whole(u, 0, 10**digits - 1).cast("string"), digits, "0")
 
 
@@ -120,5 +167,9 @@ def get_provider_name(function_name: str) -> str | None:
 
 
 def register(provider_name: str, function_name: str, maker: Callable[..., Column]) -> None:
-    """Add a function of one's own: ``maker(draw, **kwargs)`` gives a column."""
+    """Add a function of one's own: ``maker(draw, **kwargs)`` gives a column.
+
+    Rules of cardinality ask that it gives its draws to :func:`whole`, :func:`pick`,
+    :func:`number` or :func:`filled`.
+    """
     CATALOGUE.setdefault(provider_name, {})[function_name] = maker

@@ -4,10 +4,12 @@ import datetime as dt
 import math
 from statistics import NormalDist, fmean, pstdev
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidDataError, TransformerInputError, TransformerProcessingError
+from tessella.functions.permutation import Permutation
 from tessella.operators.boolean import BinaryEncoder
 from tessella.operators.categorical import FrequencyEncoder, LabelEncoder, OneHotEncoder, OrderedLabelEncoder, OrderedUniformEncoder, UniformEncoder
 from tessella.operators.ids import IndexGenerator, RegexGenerator
@@ -16,6 +18,7 @@ from tessella.operators.numeric import ClusterBasedNormalizer, FloatFormatter, G
 from tessella.operators.pii import AnonymizedFaker, PseudoAnonymizedFaker, get_anonymized_transformer
 from tessella.operators.temporal import UNITS, OptimizedTimestampEncoder, UnixTimestampEncoder
 from tessella.plans.performance import nulls_left
+from tessella.sources.providers import number, pick, register
 
 
 def frame(spark, values, kind):
@@ -431,18 +434,72 @@ def test_pseudonyms(spark):
         t.transform(frame(spark, ["new"], "string")).collect()
 
 
-def test_scrambled_goes_through_all_strings_of_a_large_pattern(spark):
-    for pattern, size in (("[A-Z0-9]{10}", 36**10), ("[0-9]{18}", 10**18), ("[A-Z0-9]{20}", 2**63 - 1)):
-        t = RegexGenerator(pattern, cardinality_rule="unique", generation_order="scrambled")
-        draws = t.draws("reverse_transform")
-        numbers = [0, 1, 2, 3, 4, 2**31 - 1, 2**31, 2**31 + 1, 2**32, size - 1]
-        df = spark.createDataFrame([(i,) for i in numbers], "i long")
-        made = [r.x for r in df.select("i", t.scrambled(F.col("i"), draws).alias("x")).orderBy("i").collect()]
-        assert len(set(made)) == len(numbers)
-        step = (made[1] - made[0]) % size
-        assert math.gcd(step, size) == 1
-        assert made == [(made[0] + i * step) % size for i in numbers]
-        assert max(made) > size // 2
+def test_scrambled_goes_through_all_strings(spark):
+    rows = spark.range(676).selectExpr("id AS k")
+    made = {}
+    for name in ("x", "y"):
+        t = RegexGenerator("[A-Z]{2}", generation_order="scrambled", cardinality_rule="unique")
+        t.fit(spark.createDataFrame([(0, "a")], f"k long, {name} string"), name, "k")
+        made[name] = [column(t.reverse_transform(rows.limit(n)), name) for n in (300, 376)]
+        assert len(set(made[name][0] + made[name][1])) == 676
+        number = [26 * (ord(s[0]) - 65) + ord(s[1]) - 65 for s in made[name][0]]
+        assert len({(b - a) % 676 for a, b in zip(number, number[1:])}) > 100
+    assert sum(a == b for a, b in zip(made["x"][0], made["y"][0])) < 10
+    large = RegexGenerator("[A-Z0-9]{20}", generation_order="scrambled")
+    large.fit(spark.createDataFrame([(0, "a")], "k long, x string"), "x", "k")
+    assert len(set(column(large.reverse_transform(rows)))) == 676
+
+
+def test_unique_values_over_calls_and_beyond_the_values(spark):
+    rows = spark.range(400).selectExpr("id AS k")
+    t = AnonymizedFaker("person", "name", cardinality_rule="unique")
+    t._set_fitted_parameters("x")
+    first = column(t.reverse_transform(rows))
+    assert len(set(first)) == 400
+    assert all(" " in v for v in first)
+    with pytest.warns(UserWarning, match="more than the 625"):
+        second = column(t.reverse_transform(rows))
+    assert len({*first, *second}) == 800
+    assert sum(" " in v for v in second) == 225
+    assert all(len(v) == 6 and v.islower() for v in second if " " not in v)
+    plan = t.reverse_transform(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # a row for each range of row numbers
+    for provider, function, kwargs in [("internet", "ipv6", {}), ("BaseProvider", "random_element", {"elements": ["a", "b", "a", "c"]}), ("BaseProvider", "lexify", {"text": "??", "letters": "xy"})]:
+        t = AnonymizedFaker(provider, function, kwargs, cardinality_rule="unique")
+        t._set_fitted_parameters("x")
+        assert len(set(column(t.reverse_transform(rows)))) == 400
+
+
+def test_a_provider_of_ones_own(spark):
+    register("shop", "sku", lambda draw: F.concat(pick(draw("kind"), ["A", "B"]), F.lit("-"), number(draw("n"), 2)))
+    register("shop", "raw", lambda draw: F.round(draw("u"), 3).cast("string"))
+    t = AnonymizedFaker("shop", "sku", cardinality_rule="unique")
+    t._set_fitted_parameters("x")
+    made = column(t.reverse_transform(spark.range(200).selectExpr("id AS k")))
+    assert sorted(made) == sorted(f"{kind}-{n:02d}" for kind in "AB" for n in range(100))
+    raw = AnonymizedFaker("shop", "raw")
+    raw._set_fitted_parameters("x")
+    assert column(raw.reverse_transform(spark.range(3).selectExpr("id AS k")))[0].startswith("0.")
+    raw = AnonymizedFaker("shop", "raw", cardinality_rule="unique")
+    raw._set_fitted_parameters("x")
+    with pytest.raises(TransformerProcessingError, match="told apart"):
+        raw.reverse_transform(spark.range(3).selectExpr("id AS k"))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000, 1001, 1009, 26**4, 1_000_003, 10**12 + 39, (1 << 62) + 5, (1 << 63) - 1])
+def test_permutations(spark, size):
+    p = Permutation(size, "k|1")
+    some = sorted({i for i in [*range(30), size // 2, *range(size - 30, size)] if 0 <= i < size}) if size > 2000 else list(range(size))
+    expected = [p.number(i) for i in some]
+    assert len(set(expected)) == len(some)
+    assert all(0 <= x < size for x in expected)
+    assert size > 2000 or sorted(expected) == some
+    df, made = p.column(spark.createDataFrame([(i,) for i in some], "i long"), F.col("i"))
+    assert [r.x for r in df.select("i", made.alias("x")).orderBy("i").collect()] == expected
+    assert duckdb.sql(f"SELECT p FROM {p.sql('i', '(SELECT unnest(' + str(some) + ') AS i)', 'p')} ORDER BY i").fetchall() == [(x,) for x in expected]
+    assert size < 100 or [Permutation(size, "k|2").number(i) for i in some] != expected
+    if 10**6 < size < 10**7:
+        assert len({p.number(i) for i in range(size)}) == size
 
 
 def test_pattern_is_inferred_before_the_statistics(spark):
