@@ -1,12 +1,13 @@
-"""Univariate distributions fitted from moments, with their probabilities and quantiles as columns.
+"""Univariate distributions fitted by maximum likelihood, with their probabilities and quantiles as columns.
 
 The normal, truncated normal and uniform have closed forms. The others are tabulated
 once on the driver, and looked up by interpolation in Arrow batches, together with the
-normal distribution's side. A kernel density is fitted over bins of sums instead.
+normal distribution's side. A kernel density and Student's t are fitted over bins of sums.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import likelihood as L
 from tessella.functions.numeric import clip, normal_cdf, normal_cdf_of, normal_ppf, normal_ppf_of, staged
 
 FAMILIES = ("norm", "uniform", "truncnorm", "gamma", "beta", "t", "gaussian_kde")
@@ -27,26 +29,7 @@ EDGE = 1e-9
 #: Deviations that a kernel reaches: beyond, less than 1e-15 of it is left.
 REACH = 8.0
 _N = NormalDist()
-
-
-def truncated_moments(mean: float, sd: float, low: float, high: float) -> tuple[float, float]:
-    """Location and scale of the normal whose part between the bounds has this mean and deviation."""
-    mu, sigma = mean, sd
-    widest = 10 * (high - low)
-    for _ in range(200):
-        a, b = (low - mu) / sigma, (high - mu) / sigma
-        z = _N.cdf(b) - _N.cdf(a)
-        if z < 1e-9:  # the bounds leave next to nothing of such a normal
-            return mean, sd
-        fa, fb = _N.pdf(a), _N.pdf(b)
-        shift = (fa - fb) / z
-        m = mu + sigma * shift
-        v = sigma**2 * max(1e-12, 1 + (a * fa - b * fb) / z - shift**2)
-        if abs(m - mean) < 1e-10 * (high - low) and abs(math.sqrt(v) - sd) < 1e-10 * (high - low):
-            break
-        mu = min(max(mu + 0.5 * (mean - m), low - widest), high + widest)
-        sigma = min(max(sigma * (sd / math.sqrt(v)) ** 0.5, sd / 10), widest)
-    return mu, sigma
+LOGGER = logging.getLogger(__name__)
 
 
 def _places(mean: float, sd: float, top: float) -> np.ndarray:
@@ -74,36 +57,33 @@ class Fitted:
     table: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     @staticmethod
-    def of(family: str, stats: dict) -> Fitted:
-        """Fit by moments; a family that doesn't suit the data falls back to the normal."""
+    def of(family: str, stats: dict, logs: dict | None = None, bins: np.ndarray | None = None) -> Fitted:
+        """Fit by maximum likelihood; a family that doesn't suit the data falls back to the normal, with a line in the log."""
         mean, sd, low, high = (float(stats[k] or 0.0) for k in ("mean", "sd", "low", "high"))
         if sd <= 0 or high <= low:
             return Fitted("norm", {"loc": mean, "scale": 0.0})
         width = high - low
-        if family == "norm":
-            return Fitted("norm", {"loc": mean, "scale": sd})
-        if family == "uniform":
-            return Fitted("uniform", {"loc": low, "scale": width})
-        if family == "truncnorm":
-            mu, sigma = truncated_moments(mean, sd, low - EDGE, high + EDGE)
-            return Fitted("truncnorm", {"a": (low - EDGE - mu) / sigma, "b": (high + EDGE - mu) / sigma, "loc": mu, "scale": sigma})
-        if family == "gamma":
-            start = low - width / (2 * stats["n"])
-            shape = ((mean - start) / sd) ** 2
-            scale = sd**2 / (mean - start)
-            return Fitted("gamma", {"a": shape, "loc": start, "scale": scale})._tabulated(mean, sd, high)
-        if family == "beta":
-            m, v = (mean - low) / width, (sd / width) ** 2
-            both = m * (1 - m) / v - 1
-            if both <= 0:
-                return Fitted("norm", {"loc": mean, "scale": sd})
-            return Fitted("beta", {"a": m * both, "b": (1 - m) * both, "loc": low, "scale": width})._tabulated(mean, sd, high)
-        if family == "t":
-            excess = stats["kurtosis"] or 0.0
-            df = min(4 + 6 / excess, 1e4) if excess > 0 else 1e4
-            scale = sd * math.sqrt((df - 2) / df)
-            return Fitted("t", {"df": df, "loc": mean, "scale": scale})._tabulated(mean, sd, mean + max(high - mean, mean - low))
-        return Fitted("norm", {"loc": mean, "scale": sd})  # a kernel density takes sums in bins: see of_kernels
+        try:
+            if family == "uniform":
+                return Fitted("uniform", {"loc": low, "scale": width})
+            if family == "truncnorm":
+                mu, sigma = L.truncated_normal(mean, sd, low - EDGE, high + EDGE)
+                return Fitted("truncnorm", {"a": (low - EDGE - mu) / sigma, "b": (high + EDGE - mu) / sigma, "loc": mu, "scale": sigma})
+            if family == "gamma":
+                start, _ = L.padded(low, high, stats["n"])
+                shape = L.gamma_shape(mean - start, logs["log"])
+                return Fitted("gamma", {"a": shape, "loc": start, "scale": (mean - start) / shape})._tabulated(mean, sd, high)
+            if family == "beta":
+                start, wide = L.padded(low, high, stats["n"])
+                a, b = L.beta_shapes((mean - start) / wide, (sd / wide) ** 2, logs["log"] - math.log(wide), logs["log_rest"] - math.log(wide))
+                return Fitted("beta", {"a": a, "b": b, "loc": start, "scale": wide})._tabulated(mean, sd, start + wide)
+            if family == "t":
+                df, loc, scale = L.student_t(bins)
+                loc += stats["quartiles"][1]  # bins are about the median
+                return Fitted("t", {"df": df, "loc": loc, "scale": scale})._tabulated(mean, sd, loc + max(high - loc, loc - low))
+        except (L.NoFit, np.linalg.LinAlgError, OverflowError, ZeroDivisionError) as e:
+            LOGGER.info("the distribution %r can't be fitted (%s): the normal is taken", family, e)
+        return Fitted("norm", {"loc": mean, "scale": sd})
 
     @staticmethod
     def of_kernels(bins: np.ndarray, middle: float, sd: float) -> Fitted:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tessella.errors import NotFittedError, TransformerInputError
 from tessella.functions.lookup import Dictionary
+from tessella.functions.mixtures import Binning
 from tessella.functions.rng import Draws
 
 #: The hidden column that holds a row's key.
@@ -84,6 +85,17 @@ class BaseTransformer:
     def bind(self, stats: dict[str, Any], values: Dictionary | None) -> None:
         """Take the aggregates and, if wanted, the distinct values."""
 
+    def later(self, x: dict[str, Column]) -> dict[str, Column]:
+        """Aggregates by name that need what ``bind`` took: one scan for all operators that have some."""
+        return {}
+
+    def binning(self, x: dict[str, Column]) -> Binning | None:
+        """A column whose sums in bins are needed: one scan for all operators that have one."""
+        return None
+
+    def bind_later(self, stats: dict[str, Any], bins: Any) -> None:
+        """Take the results of ``later`` and ``binning``, if there were any."""
+
     def forward(self, df: DataFrame, x: dict[str, Column], draws: Draws) -> tuple[DataFrame, dict[str | None, Column]]:
         """Output columns by suffix (None: no suffix)."""
         raise NotImplementedError

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from tessella.errors import InvalidDataError, TransformerInputError
 from tessella.functions import numeric as N
 from tessella.functions.distributions import FAMILIES, Fitted
-from tessella.functions.mixtures import Mixture, fit_mixture, mixture_bins
+from tessella.functions.likelihood import padded
+from tessella.functions.mixtures import Binning, Mixture, fit_mixture
 from tessella.operators.base import BaseTransformer
 from tessella.operators.null import NullTransformer
 
@@ -214,32 +215,40 @@ class GaussianNormalizer(FloatFormatter):
     def requests(self, x, kinds):
         v = self.number(x)
         out = super().requests(x, kinds)
-        out |= {"d_mean": F.avg(v), "d_sd": F.stddev_pop(v), "d_low": F.min(v), "d_high": F.max(v), "d_kurtosis": F.kurtosis(v), "d_skew": F.skewness(v)}
-        if self.distribution == "gaussian_kde":
+        out |= {"d_mean": F.avg(v), "d_sd": F.stddev_pop(v), "d_low": F.min(v), "d_high": F.max(v)}
+        if self.distribution in ("gaussian_kde", "t"):
             out["d_quartiles"] = F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000)
         return out
 
     def bind(self, stats, values):
         super().bind(stats, values)
         own = {k[2:]: v for k, v in stats.items() if k.startswith("d_")}
-        if own["mean"] is None:
-            own = {"mean": 0.0, "sd": 0.0, "low": 0.0, "high": 0.0, "kurtosis": None, "skew": None, "quartiles": [0.0] * 3}
-        share = 1.0 - stats["null_nulls"] / max(1, stats["null_n"])
-        own["n"] = max(1, round(stats["null_n"] * share))
-        self.fitted_distribution = Fitted.of(self.distribution, own)
-        self.spread = (own["quartiles"], own["sd"]) if self.distribution == "gaussian_kde" and own["sd"] and math.isfinite(own["sd"]) else None
-
-    def fit(self, data, column, row_key=None):
-        super().fit(data, column, row_key)
-        self.second_pass(data)
-
-    def second_pass(self, data) -> None:
-        """The kernel density of all values, from sums in bins that a second scan makes; it is bounded by the number of bins."""
-        if self.spread is None:
-            return
-        (low, middle, high), sd = self.spread
-        bins = mixture_bins(data, self.number(self.inputs()) - F.lit(float(middle)), [low - middle, 0.0, high - middle], sd)
-        self.fitted_distribution = Fitted.of_kernels(bins, middle, sd)
+        if own["mean"] is None or not math.isfinite(own["sd"]):
+            own |= {"mean": own["mean"] if own["mean"] is not None and math.isfinite(own["mean"]) else 0.0, "sd": 0.0, "low": 0.0, "high": 0.0}
+        own["n"] = max(1, stats["null_n"] - stats["null_nulls"])
+        self.moments = own
+        # families that need more than moments have the normal until then
+        self.fitted_distribution = Fitted.of("norm" if own["sd"] > 0 and self.distribution in ("gamma", "beta", "t", "gaussian_kde") else self.distribution, own)
+
+    def later(self, x):
+        if self.distribution not in ("gamma", "beta") or not self.moments["sd"]:
+            return {}
+        start, width = padded(self.moments["low"], self.moments["high"], self.moments["n"])
+        v = self.number(x)
+        out = {"log": F.avg(F.log(v - F.lit(start)))}
+        return out if self.distribution == "gamma" else out | {"log_rest": F.avg(F.log(F.lit(start + width) - v))}
+
+    def binning(self, x):
+        if self.distribution not in ("t", "gaussian_kde") or not self.moments["sd"]:
+            return None
+        own = self.moments
+        return Binning.of(self.number(x), own["quartiles"], own["sd"], own["low"], own["high"])
+
+    def bind_later(self, stats, bins):
+        if self.distribution == "gaussian_kde":
+            self.fitted_distribution = Fitted.of_kernels(bins, self.moments["quartiles"][1], self.moments["sd"])
+        else:
+            self.fitted_distribution = Fitted.of(self.distribution, self.moments, stats, bins)
 
     @property
     def learned_distribution(self) -> dict:
@@ -272,22 +281,23 @@ class ClusterBasedNormalizer(FloatFormatter):
 
     def requests(self, x, kinds):
         v = self.number(x)
-        return super().requests(x, kinds) | {"m_quartiles": F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000), "m_mean": F.avg(v), "m_sd": F.stddev_pop(v)}
+        return super().requests(x, kinds) | {"m_quartiles": F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000), "m_mean": F.avg(v), "m_sd": F.stddev_pop(v), "m_low": F.min(v), "m_high": F.max(v)}
 
     def bind(self, stats, values):
         super().bind(stats, values)
+        self.extremes = (stats["m_low"], stats["m_high"])
         self.scale = (stats["m_quartiles"] or [0.0] * 3, stats["m_sd"] or 0.0)
         self.mixture = Mixture([1.0], [stats["m_mean"] or 0.0], [max(stats["m_sd"] or 0.0, 1e-6)])
 
-    def fit(self, data, column, row_key=None):
-        super().fit(data, column, row_key)
-        self.second_pass(data)
+    def binning(self, x):
+        """The values with the mean in place of nulls, in bins: their number bounds the driver's part."""
+        if self.extremes[0] is None or not math.isfinite(self.scale[1]):
+            return None
+        return Binning.of(F.coalesce(self.number(x), F.lit(self.null_transformer.value)), *self.scale, *self.extremes)
 
-    def second_pass(self, data) -> None:
-        """The mixture, from sums in bins that a second scan makes; it is bounded by the number of bins."""
-        filled = self.null_transformer.value
-        v = F.coalesce(self.number(self.inputs()), F.lit(filled))
-        self.mixture = fit_mixture(mixture_bins(data, v, *self.scale), self.max_clusters, self.weight_threshold) or self.mixture
+    def bind_later(self, stats, bins):
+        found = fit_mixture(bins, self.max_clusters, self.weight_threshold)
+        self.mixture = found.shifted(self.scale[0][1]) if found else self.mixture
 
     def forward(self, df, x, draws):
         v, flags = self.filled(df, x, draws)

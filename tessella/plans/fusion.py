@@ -1,4 +1,7 @@
-"""Fits of many operators in two scans: one aggregation, and one grouping of all values that are wanted; date strings have one more, of their shapes."""
+"""Fits of many operators in two scans: one aggregation, and one grouping of all values that are wanted; date strings have one more, of their shapes.
+
+What needs the first statistics (logarithms beyond an edge, sums in bins) is one more aggregation and one more grouping.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import types as T
 
 from tessella.functions import date_shapes as S
 from tessella.functions.lookup import LITERALS, Dictionary
+from tessella.functions.mixtures import binned
 from tessella.functions.tables import cut
 from tessella.operators.base import KEY, BaseTransformer, column, kind_of
 
@@ -85,4 +89,10 @@ def fit_together(df: DataFrame, operators: list[BaseTransformer]) -> None:
     values = value_counts(df, valued, next((op.row_key for op in operators if op.row_key), None)) if valued else {}
     for i, op in enumerate(operators):
         op.bind(found.get(i, {}), values.get(op.columns[0]) if op.wants_values else None)
+    found = _aggregated(df, [op.later(op.inputs()) for op in operators])
+    wanted = {i: b for i, op in enumerate(operators) if (b := op.binning(op.inputs())) is not None}
+    bins = binned(df, wanted) if wanted else {}
+    for i, op in enumerate(operators):
+        if i in found or i in bins:
+            op.bind_later(found.get(i, {}), bins.get(i))
         op.fitted = True

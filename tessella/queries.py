@@ -6,15 +6,19 @@ Doubles are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.likelihood import digamma, truncated_moments
 from tessella.functions.lookup import Dictionary
-from tessella.functions.mixtures import Mixture
-from tessella.functions.numeric import normal_cdf_sql, normal_ppf_sql
+from tessella.functions.mixtures import Mixture, Posterior
+from tessella.functions.numeric import normal_cdf_sql, normal_ppf_sql, staged
 from tessella.functions.permutation import Permutation
 from tessella.functions.rng import uniform_sql
 from tessella.functions.tables import running
@@ -23,7 +27,7 @@ from tessella.operators.boolean import BinaryEncoder
 from tessella.operators.categorical import FrequencyEncoder, LabelEncoder, OneHotEncoder, OrderedLabelEncoder, OrderedUniformEncoder, UniformEncoder
 from tessella.operators.ids import IndexGenerator, RegexGenerator
 from tessella.operators.null import NullTransformer
-from tessella.operators.numeric import ClusterBasedNormalizer, FloatFormatter, GaussianNormalizer, LogitScaler, LogScaler
+from tessella.operators.numeric import EPSILON, ClusterBasedNormalizer, FloatFormatter, GaussianNormalizer, LogitScaler, LogScaler
 from tessella.operators.pii import AnonymizedFaker, PseudoAnonymizedFaker
 from tessella.operators.temporal import OptimizedTimestampEncoder, UnixTimestampEncoder
 from tessella.plans.fusion import fit_together
@@ -227,19 +231,93 @@ def gauss_reverse(spark, sf_dir):
     return rounded(t.reverse_transform(t.fit_transform(data, "x", "c_custkey")))
 
 
-def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that each family gives back to within a thousandth of the range, and the mean and deviation of what it makes."""
-    data, out = table(spark, sf_dir, "events", "event_id", "value AS x", "value AS was"), None
-    for family in ("truncnorm", "gamma", "beta", "t", "gaussian_kde"):
+#: A bell with ends: the sum of three columns.
+_BELL = "l_quantity / 50 + l_discount * 10 + l_tax * 12.5"
+FAMILIES = ("norm", "uniform", "truncnorm", "gamma", "beta", "t", "gaussian_kde")
+
+
+@query("gauss_families", " UNION ALL ".join(f"SELECT '{family}' AS family, count(*) AS rows, count(*) AS near FROM lineitem" for family in FAMILIES))
+def gauss_families(spark, sf_dir):
+    """Every family gives each row back to within a hundredth of the range, but for probabilities that are clipped."""
+    data, out = table(spark, sf_dir, "lineitem", "l_orderkey", f"{_BELL} AS x", f"{_BELL} AS was"), None
+    for family in FAMILIES:
         t = GaussianNormalizer(distribution=family, missing_value_generation=None)
-        made = t.fit_transform(data, "x", "event_id").withColumn("z", F.col("x"))
-        back = t.reverse_transform(made)
-        one = back.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("x") - F.col("was")) < 0.5).alias("near"), F.bround(F.avg("z"), 2).alias("mean"), F.bround(F.stddev_pop("z"), 2).alias("deviation")).select(F.lit(family).alias("family"), "*")
+        back = t.reverse_transform(t.fit_transform(data, "x", "l_orderkey").withColumn("z", F.col("x")))
+        clipped = F.abs("z") > NormalDist().inv_cdf(1 - 2 * EPSILON)
+        one = back.agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.abs(F.col("x") - F.col("was")) < 0.03) | clipped).alias("near")).select(F.lit(family).alias("family"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-QUERIES["gauss_families"] = _families
+def _means_sql() -> str:
+    """Each family's sufficient statistics, as the data have them."""
+    gap = "(hi - lo) / (2 * n)"
+    logs = {"gamma": [("mean", "avg(x - (lo - {gap}))"), ("log", "avg(ln(x - (lo - {gap})))")], "beta": [("log", "avg(ln((x - (lo - {gap})) / (hi - lo + 2 * {gap})))"), ("log_rest", "avg(ln(1 - (x - (lo - {gap})) / (hi - lo + 2 * {gap})))")]}
+    logs |= {"truncnorm": [("mean", "avg(x)"), ("square", "avg(x * x)")], "norm": [("mean", "avg(x)"), ("square", "avg(x * x)")], "t": [("score_loc", "avg(x * 0)"), ("score_scale", "avg(x * 0)")]}
+    each = " UNION ALL ".join(f"SELECT '{family}' AS family, '{name}' AS statistic, round_even({sql.format(gap=gap)}, 5) AS value FROM v, s" for family, own in logs.items() for name, sql in own)
+    return f"WITH v AS (SELECT {_BELL} AS x FROM lineitem), s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM v) {each}"
+
+
+@query("gauss_likelihood", _means_sql())
+def gauss_likelihood(spark, sf_dir):
+    """What the fitted distributions expect of their sufficient statistics: where the likelihood's gradient is zero, it is what the data have.
+
+    Student's t has none, so its scores are summed over all rows with the fitted parameters.
+    """
+    data, out = with_key(table(spark, sf_dir, "lineitem", f"{_BELL} AS x"), None), []
+    own = {family: GaussianNormalizer(distribution=family, missing_value_generation=None) for family in ("norm", "truncnorm", "gamma", "beta", "t")}
+    for t in own.values():
+        t.prepare(data, "x")
+    fit_together(data, list(own.values()))
+    p = {family: t.learned_distribution["parameters"] for family, t in own.items()}
+    out += [("norm", "mean", p["norm"]["loc"]), ("norm", "square", p["norm"]["scale"] ** 2 + p["norm"]["loc"] ** 2)]
+    mean, deviation = truncated_moments(**p["truncnorm"])
+    out += [("truncnorm", "mean", mean), ("truncnorm", "square", deviation**2 + mean**2)]
+    out += [("gamma", "mean", p["gamma"]["a"] * p["gamma"]["scale"]), ("gamma", "log", float(digamma(p["gamma"]["a"])) + math.log(p["gamma"]["scale"]))]
+    both = float(digamma(p["beta"]["a"] + p["beta"]["b"]))
+    out += [("beta", "log", float(digamma(p["beta"]["a"])) - both), ("beta", "log_rest", float(digamma(p["beta"]["b"])) - both)]
+    df, z = p["t"]["df"], (F.col("x") - p["t"]["loc"]) / p["t"]["scale"]
+    weight = F.lit(df + 1) / (F.lit(df) + z * z)
+    scores = data.agg(F.avg(weight * z).alias("score_loc"), (F.avg(weight * z * z) - 1).alias("score_scale")).first()
+    out += [("t", name, round(scores[name], 4) + 0.0) for name in ("score_loc", "score_scale")]
+    return rounded(spark.createDataFrame(out, "family string, statistic string, value double"), "value").withColumn("value", F.bround("value", 5))
+
+
+def _truncnorm_sql() -> str:
+    """The likeliest truncated normal by Newton steps in a recursive query, and each row's normal value by it."""
+    z, fa, fb = "(cb - ca)", "(exp(-a * a / 2) / sqrt(2 * pi()))", "(exp(-b * b / 2) / sqrt(2 * pi()))"
+    return f"""
+WITH RECURSIVE v AS (SELECT {LINE_KEYS}, {_BELL} AS x FROM lineitem),
+s AS (SELECT avg(x) AS mean, stddev_pop(x) AS sd, min(x) - 1e-9 AS lo, max(x) + 1e-9 AS hi FROM v),
+steps(it, mu, sigma) AS (
+  SELECT 0, mean, sd FROM s
+  UNION ALL
+  SELECT it + 1,
+         -- the gradient and Fisher's information of location and scale, from the moments of the standardized value
+         mu + sigma * (g1 * h22 - g2 * h12) / (h11 * h22 - h12 * h12), sigma * exp((g2 * h11 - g1 * h12) / (h11 * h22 - h12 * h12))
+  FROM (
+    SELECT it, mu, sigma, (mean - mu) / sigma - m1 AS g1, ((sd * sd + (mean - mu) * (mean - mu)) / (sigma * sigma)) - m2 AS g2,
+           m2 - m1 * m1 AS h11, m3 - m1 * m2 AS h12, m4 - m2 * m2 AS h22
+    FROM (
+      SELECT *, 2 * m1 + (a * a * pa - b * b * pb) AS m3, 3 * m2 + (a * a * a * pa - b * b * b * pb) AS m4
+      FROM (
+        SELECT *, pa - pb AS m1, 1 + (a * pa - b * pb) AS m2
+        FROM (
+          SELECT *, {fa} / {z} AS pa, {fb} / {z} AS pb
+          FROM (SELECT *, {normal_cdf_sql('a')} AS ca, {normal_cdf_sql('b')} AS cb FROM (SELECT *, (lo - mu) / sigma AS a, (hi - mu) / sigma AS b FROM steps, s WHERE it < 60))))))),
+f AS (SELECT mu, sigma FROM steps WHERE it = 60),
+c AS (SELECT {LINE_KEYS}, {normal_cdf_sql('z')} AS cz, {normal_cdf_sql('a')} AS ca, {normal_cdf_sql('b')} AS cb FROM (SELECT {LINE_KEYS}, (x - mu) / sigma AS z, (lo - mu) / sigma AS a, (hi - mu) / sigma AS b FROM v, f, s)),
+p AS (SELECT {LINE_KEYS}, {_CLIP.format(p='(cz - ca) / (cb - ca)')} AS p FROM c)
+SELECT {LINE_KEYS}, round_even({normal_ppf_sql('p')}, 5) AS x FROM p
+"""
+
+
+@query("gauss_truncnorm", _truncnorm_sql())
+def gauss_truncnorm(spark, sf_dir):
+    """The default distribution, row by row."""
+    made = GaussianNormalizer(missing_value_generation=None).fit_transform(table(spark, sf_dir, "lineitem", *LINE_KEY, f"{_BELL} AS x"), "x", LINE_KEY)
+    return made.withColumn("x", F.bround("x", 5))
+
 
 _MIX = Mixture([0.6, 0.4], [40.0, 160.0], [30.0, 80.0])
 
@@ -273,12 +351,30 @@ def cluster_reverse(spark, sf_dir):
     return rounded(t.reverse_transform(table(spark, sf_dir, "events", "event_id", "value / 500 - 0.5 AS `x.normalized`", "CAST(event_id % 2 AS DOUBLE) AS `x.component`")))
 
 
-@query("cluster_fit")
+@query("cluster_fit", "SELECT count(*) AS n, round_even(avg(value), 6) AS mean, round_even(avg(value * value), 4) AS square, true AS still FROM events")
 def cluster_fit(spark, sf_dir):
-    t = ClusterBasedNormalizer()
-    t.fit(table(spark, sf_dir, "events", "event_id", "value AS x"), "x", "event_id")
-    rows = [(k, *map(float, x)) for k, x in enumerate(zip(t.mixture.weights, t.mixture.means, t.mixture.deviations, strict=True))]
-    return spark.createDataFrame(rows, "component int, weight double, mean double, deviation double")
+    """One more round over all rows, with the responsibilities of the fitted posterior, moves nothing: it is a fixed point.
+
+    Each row's responsibilities add up to one, so the components' masses, means and squares
+    add up to the table's.
+    """
+    t, data = ClusterBasedNormalizer(), table(spark, sf_dir, "events", "event_id", "value AS x")
+    t.fit(data, "x", "event_id")
+    p, middle = t.mixture.posterior, t.scale[0][1]
+    v = F.col("x") - F.lit(middle)
+    scores = [F.lit(float(b)) - (v - F.lit(float(m))) ** 2 / F.lit(2 * float(s)) for b, m, s in zip(p.biases, p.m, p.variance, strict=True)]
+    df, top = staged(data, F.greatest(*scores))
+    shares = [F.exp(s - top) for s in scores]
+    df, whole = staged(df, sum(shares[1:], shares[0]))
+    sums = df.agg(*[f(share / whole * w).alias(f"{name}{k}") for k, share in enumerate(shares) for name, f, w in (("n", F.sum, F.lit(1.0)), ("s", F.sum, v), ("q", F.sum, v * v))]).first()
+    mass, total, squares = (np.array([sums[f"{name}{k}"] for k in range(len(scores))]) for name in "nsq")
+    mean = np.where(mass > 1e-10, total / np.maximum(mass, 1e-300), p.mean0)
+    again = Posterior(p.mean0, p.variance0, mass, mean, squares - mass * mean**2)
+    large = again.weights > 1e-3
+    still = all(np.abs(a[large] - b[large]).max() <= 2e-3 * scale for a, b, scale in ((again.weights, p.weights, 1.0), (again.m, p.m, math.sqrt(p.variance0)), (np.sqrt(again.variance), np.sqrt(p.variance), math.sqrt(p.variance0))))
+    first, second = total.sum() + mass.sum() * middle, squares.sum() + 2 * middle * total.sum() + mass.sum() * middle**2
+    made = [(round(mass.sum()), float(first / mass.sum()), float(second / mass.sum()), bool(still))]
+    return spark.createDataFrame(made, "n long, mean double, square double, still boolean").withColumns({"mean": F.bround("mean", 6), "square": F.bround("square", 4)})
 
 
 # booleans
