@@ -39,20 +39,27 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def decimal_digits(x: Column) -> Column:
+    """The digits after the point of a double's shortest text, which may have an exponent."""
+    text = F.abs(x).cast("string")
+    fraction = F.substring_index(F.substring_index(text, "E", 1), ".", -1)
+    exponent = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).try_cast("int")).otherwise(0)
+    return F.greatest(F.when(fraction == "0", 0).otherwise(F.length(fraction)) - exponent, F.lit(0))
+
+
 def digit_requests(x: Column) -> dict[str, Column]:
-    """For one aggregation: whether all values have at most so many decimal digits, and the longest integer part."""
+    """For one aggregation: the most decimal digits of a value, and the longest integer part."""
     size = F.abs(x)
     whole = F.when(size < 1e15, F.length(F.floor(size).cast("string"))).when(size.isNotNull(), F.lit(16))
-    out = {f"digits{d}": F.bool_and(x == F.bround(x, d)) for d in range(MAX_DIGITS + 1)}
-    return out | {"whole": F.max(whole), "finite": F.bool_and(size < F.lit(math.inf))}
+    finite = size < F.lit(math.inf)
+    return {"digits": F.max(F.when(finite, decimal_digits(x))), "whole": F.max(whole), "finite": F.bool_and(finite)}
 
 
 def learned_digits(stats: dict) -> int | None:
     """The fewest digits that lose nothing, as far as doubles hold them; None: don't round."""
     if not stats["finite"]:
         return None
-    most = max(0, MAX_DIGITS - (stats["whole"] or 0))
-    return next((d for d in range(most + 1) if stats[f"digits{d}"]), None)
+    return stats["digits"] if stats["digits"] <= max(0, MAX_DIGITS - (stats["whole"] or 0)) else None
 
 
 def logit(x: Column, low: float, high: float) -> Column:

@@ -55,6 +55,8 @@ class BaseTransformer:
     INPUT_SDTYPE: str | None = None
     SUPPORTED_SDTYPES: list[str] | None = None
     IS_GENERATOR = False
+    #: Whether columns of arrays, maps and structs are taken.
+    TAKES_NESTED = False
     #: Whether fitting needs the column's distinct values.
     wants_values = False
 
@@ -195,6 +197,9 @@ class BaseTransformer:
         if missing := [c for c in self.columns if c not in df.columns]:
             raise KeyError(f"columns {missing} are not in the data")
         self.kinds = {c: kind_of(df, c) for c in self.columns}
+        nested = [c for c, k in self.kinds.items() if isinstance(k, (T.ArrayType, T.MapType, T.StructType))]
+        if nested and not (self.TAKES_NESTED or self.IS_GENERATOR):
+            raise TransformerInputError(f"columns {nested} are of nested types, which {self.get_name()} can't take")
         self.row_key = row_key
 
     def fit(self, data: DataFrame, column: str | list[str], row_key: str | list[str] | None = None) -> None:
@@ -274,6 +279,7 @@ class ColumnFunctions(BaseTransformer):
 
     INPUT_SDTYPE = "numerical"
     SUPPORTED_SDTYPES = ["numerical", "categorical", "boolean", "datetime", "id", "pii", "text"]
+    TAKES_NESTED = True
 
     def __init__(self, forward_function, inverse_function, pandas_type: str | None = None):
         super().__init__()

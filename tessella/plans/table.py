@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.errors import ConfigNotSetError, InvalidConfigError, InvalidDataError, NotFittedError
 from tessella.operators.base import KEY, BaseMultiColumnTransformer, BaseTransformer, column, with_key
 from tessella.operators.ids import Generator
-from tessella.plans import registry
+from tessella.plans import registry, store
 from tessella.plans.fusion import fit_together
 
 Field = str | tuple[str, ...]
@@ -267,6 +267,15 @@ class HyperTransformer:
         for t in self._sequence:
             t.reset_randomization()
 
+    def save(self, path: str) -> None:
+        """Store the fitted plan in a new folder: :meth:`load` gives it back in any session."""
+        self._need_fit()
+        store.save(self, path)
+
+    @staticmethod
+    def load(path: str, spark: SparkSession | None = None) -> HyperTransformer:
+        return store.load(path, spark)
+
     # apply
 
     @staticmethod
@@ -294,7 +303,10 @@ class HyperTransformer:
 
     def _has_key(self, data: DataFrame) -> bool:
         names = [self.row_key] if isinstance(self.row_key, str) else list(self.row_key or [])
-        return bool(names) and all(n in data.columns for n in names)
+        found = bool(names) and all(n in data.columns for n in names)
+        if names and not found:
+            warnings.warn(f"the data lack the row key {names}: random numbers go by a row's place in its partition, and are others on another partitioning", stacklevel=4)
+        return found
 
     def transform(self, data: DataFrame) -> DataFrame:
         self._need_fit()
