@@ -33,13 +33,30 @@ def _order_of_rows(df: DataFrame, row_key: str | list[str] | None) -> tuple[Colu
 
 def value_counts(df: DataFrame, columns: dict[str, T.DataType], row_key: str | list[str] | None) -> dict[str, Dictionary]:
     """Per column: value (null too), n, and first (the smallest key, if rows have keys of their own)."""
+    return dictionaries(cut(counted(df, columns, row_key)), columns)
+
+
+def counted(df: DataFrame, columns: dict[str, T.DataType], row_key: str | list[str] | None) -> DataFrame:
+    """i (the column's place), v (a value as text), n, first."""
     names = list(columns)
     entries = F.array(*[F.struct(F.lit(i).alias("i"), _text(column(c), columns[c]).alias("v")) for i, c in enumerate(names)])
     order, plain = _order_of_rows(df, row_key)
     least = F.min("o")
     first = (least if plain else least["k"]).cast("string") if row_key else F.lit(None).cast("string")
     spread = df.select((order if row_key else F.lit(None)).alias("o"), F.explode(entries).alias("e")).select("o", "e.i", "e.v")
-    counts = cut(spread.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), first.alias("first")))
+    return spread.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+
+
+def recounted(counts: DataFrame, df: DataFrame, row_key: str | list[str] | None) -> DataFrame:
+    """The sums of several tables of :func:`counted`; ``df`` has the columns of the rows."""
+    plain = _order_of_rows(df, row_key)[1]
+    first = F.min(F.col("first").cast("long")).cast("string") if plain else F.min(F.struct(F.length("first"), F.col("first").alias("k")))["k"]
+    return counts.groupBy("i", "v").agg(F.sum("n").alias("n"), first.alias("first"))
+
+
+def dictionaries(counts: DataFrame, columns: dict[str, T.DataType]) -> dict[str, Dictionary]:
+    """What a stored table of :func:`counted` has, by column."""
+    names = list(columns)
     sizes = {r.i: r.n for r in counts.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each column
     small = [i for i, n in sizes.items() if n <= LITERALS]
     literal: dict[int, list] = {i: [] for i in range(len(names))}
@@ -59,7 +76,7 @@ def value_counts(df: DataFrame, columns: dict[str, T.DataType], row_key: str | l
     return out
 
 
-def _aggregated(df: DataFrame, wanted: list[dict[str, Column]]) -> dict[int, dict]:
+def aggregated(df: DataFrame, wanted: list[dict[str, Column]]) -> dict[int, dict]:
     """The results of several operators' aggregates, by the operator's place and the aggregate's name, from one scan."""
     columns = [c.alias(f"{i}|{name}") for i, own in enumerate(wanted) for name, c in own.items()]
     found = iter(df.agg(*columns).first() if columns else ())
@@ -84,12 +101,12 @@ def fit_together(df: DataFrame, operators: list[BaseTransformer]) -> None:
     texts = {i: t for i, op in enumerate(operators) if (t := op.texts(op.inputs())) is not None}
     for i, own in (date_shapes(df, texts) if texts else {}).items():
         operators[i].choose(own)
-    found = _aggregated(df, [op.requests(op.inputs(), op.kinds) for op in operators])
+    found = aggregated(df, [op.requests(op.inputs(), op.kinds) for op in operators])
     valued = {op.columns[0]: op.kinds[op.columns[0]] for op in operators if op.wants_values}
     values = value_counts(df, valued, next((op.row_key for op in operators if op.row_key), None)) if valued else {}
     for i, op in enumerate(operators):
         op.bind(found.get(i, {}), values.get(op.columns[0]) if op.wants_values else None)
-    found = _aggregated(df, [op.later(op.inputs()) for op in operators])
+    found = aggregated(df, [op.later(op.inputs()) for op in operators])
     wanted = {i: b for i, op in enumerate(operators) if (b := op.binning(op.inputs())) is not None}
     bins = binned(df, wanted) if wanted else {}
     for i, op in enumerate(operators):

@@ -124,6 +124,15 @@ class _Reader:
         return simple[kind]()
 
 
+def packed(value: Any) -> Any:
+    """A value of plain types as JSON."""
+    return _Writer("").told(value)
+
+
+def unpacked(spark: SparkSession, told: Any) -> Any:
+    return _Reader(spark, "").made(told)
+
+
 def save(thing: Any, path: str, spark: SparkSession | None = None) -> None:
     """Store a fitted plan or operator in a new folder, which may be in any store that Spark writes."""
     spark = spark or SparkSession.active()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -213,6 +214,10 @@ class HyperTransformer:
 
     def fit(self, data: DataFrame) -> None:
         """Learn all operators: a scan or two for each level of chained operators."""
+        self._fit(data, fit_together)
+
+    def _fit(self, data: DataFrame, learn: Callable[[DataFrame, list[BaseTransformer]], None]) -> None:
+        """Learn level by level; ``learn`` fits prepared operators."""
         self._check_columns(data)
         self._reset()
         self._input_columns = list(data.columns)
@@ -231,7 +236,7 @@ class HyperTransformer:
                 if isinstance(operator, BaseMultiColumnTransformer):
                     operator.columns_to_sdtypes = {c: self.field_sdtypes.get(c, "categorical") for c in columns}
                 operator.prepare(df, columns, self.row_key)
-            fit_together(df, [t for _, t, _ in level])
+            learn(df, [t for _, t, _ in level])
             following = []
             for columns, operator, origin in level:
                 if hasattr(operator, "second_pass"):

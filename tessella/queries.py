@@ -7,6 +7,7 @@ Doubles are rounded to six digits on both sides.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from statistics import NormalDist
 
@@ -21,7 +22,7 @@ from tessella.functions.mixtures import Mixture, Posterior
 from tessella.functions.numeric import normal_cdf_sql, normal_ppf_sql, staged
 from tessella.functions.permutation import Permutation
 from tessella.functions.rng import uniform_sql
-from tessella.functions.tables import running
+from tessella.functions.tables import running, shared_root
 from tessella.operators.base import ColumnFunctions, with_key
 from tessella.operators.boolean import BinaryEncoder
 from tessella.operators.categorical import FrequencyEncoder, LabelEncoder, OneHotEncoder, OrderedLabelEncoder, OrderedUniformEncoder, UniformEncoder
@@ -35,6 +36,7 @@ from tessella.plans.table import HyperTransformer
 from tessella.sources.demo import CARDS, DEMO_ROWS, GENERATORS, get_demo, random_column
 from tessella.sources.providers import CITIES, DOMAINS, FIRST, LAST, LETTERS
 from tessella.streaming.apply import transform_stream
+from tessella.streaming.fit import StreamFit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1021,16 +1023,25 @@ def dataset_generators(spark, sf_dir):
 @query("stream_apply", "SELECT event_id, round_even(ln(value), 6) AS value FROM events")
 def stream_apply(spark, sf_dir):
     """A plan fitted on the table, applied to the table as a stream."""
-    from tessella.functions.tables import shared_root
-
     plan = HyperTransformer("event_id")
     plan.set_config({"sdtypes": {"event_id": "id", "value": "numerical"}, "transformers": {"event_id": None, "value": LogScaler()}})
     data = table(spark, sf_dir, "events", "event_id", "value")
     plan.fit(data)
     stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     made = rounded(transform_stream(plan, stream.select("event_id", "value")))
-    import uuid
-
     path = f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
     made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+@query("stream_fit", ORACLES["hyper_default"])
+def stream_fit(spark, sf_dir):
+    """A plan of statistics that micro-batches of a stream of orders left, applied to the table."""
+    path = f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
+    data = _order_table(spark, sf_dir)
+    data.repartition(4).write.parquet(f"{path}/in")
+    fit = StreamFit(_order_plan, f"{path}/fit")
+    stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    fit.start(stream, f"{path}/state").awaitTermination()
+    made = fit.plan(spark).transform(data)
+    return rounded(made.withColumn("day", F.col("day") / 1e9))
