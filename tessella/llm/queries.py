@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,10 +111,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def groups_digest(groups: str) -> str:
+    """Of a text without tokens, which has no groups, an empty string."""
+    return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+
+
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = token_alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    return made.withColumn("groups_sha256", digest).drop("groups")
+    made = token_alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), kept=groups_digest)
+    return made.withColumnRenamed("groups", "groups_sha256")
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

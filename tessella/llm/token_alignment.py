@@ -9,12 +9,13 @@ documents as hold a group with it, less what documents count twice that hold sev
 such groups (each document tells these itself). The dictionary's sums over links then go
 back to documents by the groups' keys, times their frequencies.
 
-Both tokenizers always end a token before a space that follows something else, so a
-text is a row of chunks that begin with a space; a chunk's tokens and groups do not depend
-on its neighbours, and workers remember chunks within a bound of bytes.
+Workers find groups in whole batches of texts: ends of tokens are sums of their bytes'
+numbers, cuts are the ends that both have, and a group's key is a 128-bit sum of its mixed
+tokens. Both tokenizers always end a token before a space that follows something else, so
+very long texts are tokenized in parts.
 
 Keys that hold a large share of a join's rows are told by their counts: of keys with more
-than a 65,536th of the rows there are 65,536 at most, and these are broadcast; the others are
+than a 262,144th of the rows there are 262,144 at most, and these are broadcast; the others are
 shuffled.
 
 Defined cases: null and empty texts, and texts whose tokens of either tokenizer do not add
@@ -25,10 +26,8 @@ tokens are plain text; other columns are not read; an empty table gives an empty
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,15 +38,19 @@ from pyspark.sql import functions as F
 
 from tessella.llm import packing
 from tessella.llm.common import column_buffers, cut, slices
+from tessella.llm.textscan import U, mix
 
 SLICE_BYTES = 1 << 20
-#: Bytes that a worker's remembered chunks and groups take before they are forgotten, and characters of a chunk that is not kept.
-KEPT_BYTES, MOST_KEPT, ENTRY_BYTES = 96 << 20, 200, 700
+#: Characters of a text that are tokenized at a time, and keys that a task remembers to have told.
+PART, MOST_TOLD = 1 << 20, 1_000_000
 #: A key with more than this part of a join's rows is broadcast; there are as many of them at most.
-SHARES = 1 << 16
-#: A chunk: a space, and on to the next space that does not follow white space.
-CHUNK = re.compile(rf" [^ ]*+(?:(?<=[{packing.WHITE}]) [^ ]*+)*+")
+SHARES = 1 << 18
+#: Links of a group beyond which its ids are made distinct before they are paired.
+MANY_LINKS = 1 << 20
+#: A space that does not follow white space: both tokenizers begin a token there.
+BREAK = re.compile(rf"(?<=[^{packing.WHITE}]) ")
 SPACE_MARK = "▁"
+LANES = (U(0x9216D5D98979FB1B), U(0xD1310BA698DFB5AC))
 
 TOLD = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, used array<struct<k0:long,k1:long,times:int>>, "
@@ -55,25 +58,17 @@ TOLD = (
 )
 
 
-class Group:
-    """The tokens of a group, and its distinct links if there are several."""
-
-    __slots__ = ("a", "b", "key", "links")
-
-    def __init__(self, a: list[int], b: list[int], text: str):
-        digest = hashlib.blake2b(text.encode(), digest_size=16).digest()
-        self.key = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
-        self.a, self.b = a, b
-        self.links = frozenset(x << 32 | y for x in set(a) for y in set(b))
-
-
-class Chunk:
-    """A chunk's counts of tokens, groups and links, its groups as text, and the groups."""
-
-    __slots__ = ("counts", "groups", "text")
-
-    def __init__(self, counts: tuple[int, int, int, int], text: str, groups: list[Group]):
-        self.counts, self.text, self.groups = counts, text, groups
+def parts_of(text: str) -> list[str]:
+    """A space and the text, in parts that begin with a space where the text breaks."""
+    if len(text) <= PART:
+        return [" " + text]
+    out, at = [], 0
+    while at < len(text):
+        found = BREAK.search(text, at + PART)
+        end = found.start() if found else len(text)
+        out.append(text[at:end] if at else " " + text[:end])
+        at = end
+    return out
 
 
 class Aligner:
@@ -83,105 +78,114 @@ class Aligner:
         import sentencepiece
 
         self.a = packing.encoder(a_path)
-        self.a_bytes = {i: self.a.fast.decode_single_token_bytes(i) for i in self.a.fast._mergeable_ranks.values()}
+        a_bytes = {i: self.a.fast.decode_single_token_bytes(i) for i in self.a.fast._mergeable_ranks.values()}
+        self.a_sizes = np.zeros(max(a_bytes) + 1, np.int64)
+        for i, raw in a_bytes.items():
+            self.a_sizes[i] = len(raw)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
-            raise ValueError("a piece goes on beyond a space: chunks cannot be told apart")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+            raise ValueError("a piece goes on beyond a space: parts cannot be told apart")
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.b_sizes = np.array([len(x) for x in b_bytes], np.int64)
+        self.b_starts = np.cumsum(self.b_sizes) - self.b_sizes
+        self.b_flat = np.frombuffer(b"".join(b_bytes), np.uint8)
         self.space = self.b.piece_to_id(SPACE_MARK)
-        self.forget()
-
-    def forget(self) -> None:
-        self.chunks: dict[str, Chunk | None] = {}
-        self.groups: dict[str, Group] = {}
-        self.told: set[tuple[int, int]] = set()
-        self.size = 0
-
-    def a_ids(self, chunk: str) -> list[int]:
-        if len(chunk) > packing.LONG_WORD:
-            return np.frombuffer(self.a.encode_by_word(chunk, special=False), "<u4").tolist()
-        return self.a.fast.encode_ordinary(chunk)
-
-    def learn(self, chunks: list[str]) -> dict[str, Chunk | None]:
-        """Chunks as they are, or None where the tokens do not add up to the chunk."""
-        out = {}
-        for chunk, b in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            # a space at the end is the model's own prefix, which an empty text does not get
-            out[chunk] = self.grouped(chunk, self.a_ids(chunk), b if len(chunk) > 1 else [self.space])
-        return out
-
-    def grouped(self, chunk: str, a: list[int], b: list[int]) -> Chunk | None:
-        raw = chunk.encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return None
-        groups, texts, links = [], [], 0
-        i = j = from_i = from_j = 0
-        at_a = at_b = 0
-        while i < len(a):
-            at_a += len(a_parts[i])
-            i += 1
-            while at_b < at_a:
-                at_b += len(b_parts[j])
-                j += 1
-            if at_a != at_b:
-                continue
-            own_a, own_b = a[from_i:i], b[from_j:j]
-            text = f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}"
-            group = self.groups.get(text)
-            if group is None:
-                group = Group(own_a, own_b, text)
-                if len(text) <= MOST_KEPT:
-                    self.groups[text] = group
-                    self.size += ENTRY_BYTES + 100 * len(group.links)
-            groups.append(group)
-            texts.append(text)
-            links += len(own_a) * len(own_b)
-            from_i, from_j = i, j
-        return Chunk((len(a), len(b), len(groups), links), ";".join(texts), groups)
-
-    def known(self, wanted: Counter) -> dict[str, Chunk | None]:
-        new = [c for c in wanted if c not in self.chunks]
-        if not new:
-            return self.chunks
-        learned = self.learn(new)
-        if all(len(c) <= MOST_KEPT for c in new):
-            self.chunks |= learned
-            self.size += sum(ENTRY_BYTES + 2 * len(c) for c in new)
-            return self.chunks
-        return {c: self.chunks[c] for c in wanted if c in self.chunks} | learned
-
-    def align(self, text: str | None) -> tuple | None:
-        """A text's counts, its groups as text, distinct groups with how often each comes, and links that several of them hold."""
-        if not text:
-            return None
-        chunks = CHUNK.findall(" " + text)
-        wanted = Counter(chunks)
-        known = self.known(wanted)
-        own = [(known[c], n) for c, n in wanted.items()]
-        if any(c is None for c, _ in own):
-            return None
-        counts = tuple(sum(c.counts[k] * n for c, n in own) for k in range(4))
-        times: dict[tuple[int, int], int] = {}
-        held: dict[tuple[int, int], Group] = {}
-        for c, n in own:
-            for g in c.groups:
-                key = g.key
-                if key in times:
-                    times[key] += n
-                else:
-                    times[key], held[key] = n, g
-        # a link of a larger group may be that of another group of this text
-        several: Counter = Counter()
-        single: set[int] = set()
-        for g in held.values():
-            if len(g.links) > 1:
-                several.update(g.links)
+        #: Ids as text, with what follows them: within a group, and at the end of its A or its B tokens.
+        self.written = [f"{i}{mark}" for sizes, marks in ((self.a_sizes, ",|"), (self.b_sizes, ",;")) for i in range(len(sizes)) for mark in marks]
+
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+        a: list[int] = []
+        b: list[int] = []
+        for part in parts_of(text):
+            raw = np.frombuffer(part.encode(), np.uint8)
+            if packing.long_runs(raw, np.array([0, len(raw)])):
+                a += np.frombuffer(self.a.encode_by_word(part, special=False), "<u4").tolist()
             else:
-                single |= g.links
-        again = [(link, n - 1 + (link in single)) for link, n in several.items() if n > 1 or link in single]
-        return counts, ";".join([known[c].text for c in chunks]), times, held, again
+                a += self.a.fast.encode_ordinary(part)
+            # a space alone is the model's own prefix, which an empty text does not get
+            b += self.b.encode(part[1:]) if len(part) > 1 else [self.space]
+        return a, b
+
+    def align(self, texts: list[str | None]) -> Groups:
+        """The groups of texts; a text without tokens has none."""
+        ids = [self.tokens(t) if t else ([], []) for t in texts]
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(np.array(own[k], np.int64) for own in ids)]) for k in (0, 1))
+        a_doc, b_doc = (np.repeat(np.arange(len(ids)), [len(own[k]) for own in ids]) for k in (0, 1))
+        # texts whose tokens don't add up to them go
+        a_whole, b_whole = (np.bincount(doc, own, minlength=len(ids)).astype(np.int64) for doc, own in ((a_doc, self.a_sizes[a]), (b_doc, self.b_sizes[b])))
+        good = (a_whole == sizes) & (b_whole == sizes)
+        own = b[good[b_doc]]
+        lengths = self.b_sizes[own]
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.b_starts[own], lengths)
+        differs = self.b_flat[at] != np.frombuffer(b"".join(r for r, ok in zip(raw, good.tolist(), strict=True) if ok), np.uint8)
+        if differs.any():
+            good[np.repeat(np.flatnonzero(good), sizes[good])[differs]] = False
+        keep_a, keep_b = good[a_doc], good[b_doc]
+        return Groups(self, a[keep_a], b[keep_b], a_doc[keep_a], b_doc[keep_b], len(texts))
+
+
+class Groups:
+    """The groups of a batch of texts, as ranges of flat arrays of tokens."""
+
+    def __init__(self, own: Aligner, a: np.ndarray, b: np.ndarray, a_doc: np.ndarray, b_doc: np.ndarray, n: int):
+        self.own, self.a, self.b, self.n = own, a, b, n
+        a_ends, b_ends = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
+        at = np.searchsorted(b_ends, a_ends)
+        common = np.flatnonzero(b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends) if len(a) else np.zeros(0, np.int64)
+        a_upto, b_upto = common + 1, at[common] + 1
+        self.a_from, self.b_from = np.append(0, a_upto)[:-1], np.append(0, b_upto)[:-1]
+        self.n_a, self.n_b = a_upto - self.a_from, b_upto - self.b_from
+        self.doc = a_doc[self.a_from] if len(common) else common
+        self.doc_a, self.doc_b = np.bincount(a_doc, minlength=n), np.bincount(b_doc, minlength=n)
+        self.a_group, self.b_group = np.repeat(np.arange(len(common)), self.n_a), np.repeat(np.arange(len(common)), self.n_b)
+
+    def counts(self) -> list[np.ndarray]:
+        links = np.zeros(self.n, np.int64)
+        np.add.at(links, self.doc, self.n_a * self.n_b)
+        return [self.doc_a, self.doc_b, np.bincount(self.doc, minlength=self.n), links]
+
+    def texts(self) -> list[str]:
+        """Each text's groups: ids joined by commas, A and B by a bar, groups by semicolons."""
+        a_last, b_last = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        a_last[self.a_from + self.n_a - 1] = 1
+        b_last[self.b_from + self.n_b - 1] = 1
+        order = np.empty(len(self.a) + len(self.b), np.int64)
+        order[np.arange(len(self.a)) + self.b_from[self.a_group]] = 2 * self.a + a_last
+        order[np.arange(len(self.b)) + (self.a_from + self.n_a)[self.b_group]] = 2 * (self.b + len(self.own.a_sizes)) + b_last
+        flat = list(map(self.own.written.__getitem__, order.tolist()))
+        ends = np.cumsum(self.doc_a + self.doc_b).tolist()
+        return ["".join(flat[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each group's tokens and their places."""
+        out = []
+        for lane in LANES:
+            h = np.zeros(len(self.doc), U)
+            for side, (ids, group, first) in enumerate(((self.a, self.a_group, self.a_from), (self.b, self.b_group, self.b_from))):
+                place = (np.arange(len(ids)) - first[group]).astype(U)
+                value = mix(mix(ids.astype(U) * U(2) + U(side) + lane) + place * U(0x9E3779B97F4A7C15))
+                if len(ids):
+                    h += np.add.reduceat(value, first)
+            out.append(mix(h ^ lane).view(np.int64))
+        return out[0], out[1]
+
+    def links(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All links of some groups: the group's place among them, a, b; of a group with very many, each pair once."""
+        n_a, n_b = self.n_a[groups], self.n_b[groups]
+        few = n_a * n_b <= MANY_LINKS
+        own = np.flatnonzero(few)
+        many = n_a[own] * n_b[own]
+        owner = np.repeat(own, many)
+        off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        a, b = self.a[self.a_from[groups[owner]] + off // n_b[owner]], self.b[self.b_from[groups[owner]] + off % n_b[owner]]
+        for k in np.flatnonzero(~few).tolist():
+            g = groups[k]
+            x, y = np.unique(self.a[self.a_from[g] : self.a_from[g] + n_a[k]]), np.unique(self.b[self.b_from[g] : self.b_from[g] + n_b[k]])
+            owner, a, b = np.append(owner, np.full(len(x) * len(y), k)), np.append(a, np.repeat(x, len(y))), np.append(b, np.tile(y, len(x)))
+        return owner, a, b
 
 
 @lru_cache(maxsize=1)
@@ -189,62 +193,59 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _lists(bounds: list[int], columns: dict[str, pa.Array]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
-
-
-class Rows:
-    """Rows of TOLD that a batch collects, flat."""
-
-    def __init__(self):
-        self.doc: list[tuple] = []
-        self.used: list[tuple] = []
-        self.learned: list[tuple] = []
-        self.again: list[tuple] = []
-        self.bounds: tuple[list[int], ...] = ([0], [0], [0])
-
-    def add(self, row: int, doc_id: int | None, found: tuple | None, told: set[tuple[int, int]]) -> None:
-        if found is None:
-            self.doc.append((row, doc_id, 0, 0, 0, 0, ""))
-        else:
-            counts, text, times, held, again = found
-            self.doc.append((row, doc_id, *counts, text))
-            self.used += [(*key, n) for key, n in times.items()]
-            new = times.keys() - told
-            told |= new
-            self.learned += [(*key, held[key].a, held[key].b) for key in new]
-            self.again += [(link >> 32, link & 0xFFFFFFFF, n) for link, n in again]
-        for bounds, flat in zip(self.bounds, (self.used, self.learned, self.again), strict=True):
-            bounds.append(len(flat))
-
-    def batch(self) -> pa.RecordBatch:
-        long, whole, ids = pa.int64(), pa.int32(), pa.list_(pa.int32())
-
-        def columns(flat: list[tuple], **kinds: pa.DataType) -> dict[str, pa.Array]:
-            parts = zip(*flat, strict=True) if flat else [()] * len(kinds)
-            return {name: pa.array(p, kind) for (name, kind), p in zip(kinds.items(), parts, strict=True)}
-
-        out = columns(self.doc, row=long, doc_id=long, n_a=long, n_b=long, n_groups=long, n_links=long, groups=pa.string())
-        out["used"] = _lists(self.bounds[0], columns(self.used, k0=long, k1=long, times=whole))
-        out["learned"] = _lists(self.bounds[1], columns(self.learned, k0=long, k1=long, a=ids, b=ids))
-        out["again"] = _lists(self.bounds[2], columns(self.again, a=whole, b=whole, times=whole))
-        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-
-def _told(a_path: str, b_path: str):
+def _lists(owner: np.ndarray, n: int, **columns: pa.Array) -> pa.Array:
+    """A list of structs for each of ``n`` rows; ``owner`` rises."""
+    bounds = np.append(0, np.cumsum(np.bincount(owner, minlength=n))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def _ids(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Ranges of an array as lists."""
+    at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(flat[at], pa.int32()))
+
+
+def _batch(row: int, doc_ids: pa.Array, found: Groups, told: set[int], kept: Callable[[str], str] = str) -> pa.RecordBatch:
+    n = found.n
+    k0, k1 = found.keys()
+    # distinct groups of each text, with how often it has them
+    order = np.lexsort((k1, k0, found.doc))
+    d, x, y = found.doc[order], k0[order], k1[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(d)]
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(d)))
+    group, d = order[first], d[first]
+    # links that several distinct groups of a text hold
+    owner, a, b = found.links(group)
+    pair = (d[owner] * len(found.own.a_sizes) + a) * len(found.own.b_sizes) + b
+    by = np.lexsort((owner, pair))
+    pair, owner = pair[by], owner[by]
+    once = np.append(True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))[: len(pair)]
+    pair, held = np.unique(pair[once], return_counts=True)
+    pair, held = pair[held > 1], held[held > 1] - 1
+    again, a = np.divmod(pair // len(found.own.b_sizes), len(found.own.a_sizes))
+    # groups that this task has not told yet go with the batch's first row
+    _, some = np.unique(k0[group], return_index=True)
+    some = some[np.array([k not in told for k in k0[group[some]].tolist()], bool)] if len(some) else some
+    learned = group[some]
+    if len(told) > MOST_TOLD:
+        told.clear()
+    told.update(k0[learned].tolist())
+    columns = [pa.array(np.arange(row, row + n)), doc_ids, *map(pa.array, found.counts()), pa.array(list(map(kept, found.texts())), pa.string())]
+    columns.append(_lists(d, n, k0=pa.array(k0[group]), k1=pa.array(k1[group]), times=pa.array(times, pa.int32())))
+    columns.append(_lists(np.zeros(len(learned), np.int64), n, k0=pa.array(k0[learned]), k1=pa.array(k1[learned]), a=_ids(found.a, found.a_from[learned], found.n_a[learned]), b=_ids(found.b, found.b_from[learned], found.n_b[learned])))
+    columns.append(_lists(again, n, a=pa.array(a, pa.int32()), b=pa.array(pair % len(found.own.b_sizes), pa.int32()), times=pa.array(held, pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "used", "learned", "again"])
+
+
+def _told(a_path: str, b_path: str, kept: Callable[[str], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 40
-        own.told = set()  # a task's rows have the groups that they use
+        own, row, told = aligner(a_path, b_path), TaskContext.get().partitionId() << 40, set()
         for batch in batches:
             _, offsets = column_buffers(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
-                rows = Rows()
-                for doc_id, text in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), strict=True):
-                    rows.add(row, doc_id, own.align(text), own.told)
-                    row += 1
-                    if own.size > KEPT_BYTES:
-                        own.forget()
-                yield rows.batch()
+                yield _batch(row, batch.column(0).slice(i, j - i), own.align(batch.column(1).slice(i, j - i).to_pylist()), told, kept)
+                row += j - i
 
     return run
 
@@ -258,9 +259,9 @@ def by_share(rows: DataFrame, values: DataFrame, on: list[str], weight: str) ->
     return rows.join(F.broadcast(often), on).unionByName(rest)
 
 
-def tokenized(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", kept: Callable[[str], str] = str) -> DataFrame:
     """A row for each document, with its groups' keys and the groups that its task met first; stored, as rows are numbered by task."""
-    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_told(a_path, b_path), TOLD))
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_told(a_path, b_path, kept), TOLD))
 
 
 def _uses(told: DataFrame) -> DataFrame:
@@ -290,9 +291,12 @@ def _links(dictionary: DataFrame) -> DataFrame:
     return dictionary.select("k0", "k1", F.explode("a").alias("a"), "b").select("k0", "k1", "a", F.explode("b").alias("b"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (``a1,a2|b1;a3|b2,b3``: ids in order)."""
-    told = tokenized(docs, a_path, b_path, id_col, text_col)
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", kept: Callable[[str], str] = str) -> DataFrame:
+    """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (``a1,a2|b1;a3|b2,b3``: ids in order).
+
+    ``kept`` tells what is kept of a text's groups, which are several times its length; all of them where it isn't given.
+    """
+    told = tokenized(docs, a_path, b_path, id_col, text_col, kept)
     dictionary = group_dictionary(told)
     counts = cut(link_counts(told, dictionary))
     valued = by_share(_links(dictionary), counts.withColumnRenamed("documents", "held"), ["a", "b"], "groups")

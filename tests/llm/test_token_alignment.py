@@ -1,7 +1,7 @@
 """Alignments against whole-text tokenization by the two libraries, and plain loops."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,13 +91,21 @@ def test_op11(spark, sf_dir, libraries, monkeypatch):
     assert sorted((tuple(r) for r in queries.op11_token_alignment(spark, sf_dir).collect()), key=repr) == sorted(told, key=repr)
 
 
-def test_chunks_that_are_forgotten_are_learned_again(spark, sf_dir, libraries):
-    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(40).collect()]
+def test_long_texts_go_in_parts(spark, libraries, monkeypatch):
+    """Whatever the parts' length, and however few links a group may have before its ids are made distinct."""
+    text = " ".join(t for _, t in ODD if t and "▁" not in t)
     own = token_alignment.Aligner(queries.tokenizer(A), queries.tokenizer(B))
-    for d, text in docs:
-        found = own.align(text)
-        assert (found[1] if found else "") == next(r[-1] for r in expected([(d, text)], libraries))
-        own.forget()
+    told = expected([(1, text)], libraries)[0]
+    for part, most in ((1 << 20, 1 << 20), (50, 1), (7, 4), (1, 1 << 20)):
+        monkeypatch.setattr(token_alignment, "PART", part)
+        monkeypatch.setattr(token_alignment, "MANY_LINKS", most)
+        found = own.align([None, text, "", text])
+        assert found.texts() == ["", told[-1], "", told[-1]]
+        assert [c.tolist() for c in found.counts()] == [[0, n, 0, n] for n in told[1:5]]
+        batch = token_alignment._batch(0, token_alignment.pa.array([1, 2, 3, 4]), found, set()).to_pylist()
+        links = [{(x, y) for x in a for y in b} for a, b in {(tuple(a), tuple(b)) for a, b in groups_of(text, libraries)}]
+        several = {p: n - 1 for p, n in Counter(p for own in links for p in own).items() if n > 1}
+        assert {(r["a"], r["b"]): r["times"] for r in batch[1]["again"]} == several
 
 
 def test_links_are_expanded_once_for_each_group(spark):
