@@ -192,16 +192,29 @@ def confirming(rows: DataFrame, words: int, threshold_percent: int) -> Callable[
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        own = texts.join(wanted, "doc_id")
-        one = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+        if pairs.count() <= BROADCAST_IDS:
+            # each pair's b brings its text to a, so texts are shuffled once
+            one = texts.withColumnRenamed("doc_id", "b").join(F.broadcast(pairs), "b").withColumnRenamed("text", "b_text")
+            firsts = F.broadcast(pairs.select("a").distinct())
+            two = one.join(texts.withColumnRenamed("doc_id", "a").join(firsts, "a").withColumnRenamed("text", "a_text"), "a")
+        else:
+            wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            own = texts.join(wanted, "doc_id")
+            one = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+            two = one.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
         return cut(two.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(words, threshold_percent), "a long, b long").distinct())
 
     return linked
 
 
+def representatives(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest id (node) of each set (k0, k1), and the rows of those ids; only ids and keys are joined, not the rows' columns."""
+    reps = cut(keyed.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
+    copies = cut(keyed.select("doc_id", "k0", "k1").join(reps, ["k0", "k1"]).where("doc_id <> node").select("doc_id", "k0").distinct())
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    return reps, keyed.join(copies, ["doc_id", "k0"], "left_anti").withColumnRenamed("doc_id", "node")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach), kept (id equals component_id).
 
@@ -213,8 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(rows.mapInArrow(_sign(words, bands, ROWS_PER_BAND, threshold_percent / 100), SIGNED))
     keyed = signed.where("k0 IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(keyed.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
-    nodes = cut(keyed.join(reps, ["k0", "k1"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands", *BITMAPS))
+    reps, own_rows = representatives(keyed)
+    nodes = cut(own_rows.select("node", F.col("n_shingles").alias("n"), "bands", *BITMAPS))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     members = cut(spread.join(shared.select("bucket", "pivot"), "bucket").distinct())
