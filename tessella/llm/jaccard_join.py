@@ -32,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.clusters import components_of
 from tessella.llm.common import column_buffers, cut, slices
-from tessella.llm.near_dedup import BITMAPS, BROADCAST_IDS, SET_WORDS, SKETCH_WORDS, confirming, distinct_sets, parities, set_keys, sets_may_link, shingle_hashes
+from tessella.llm.near_dedup import BITMAPS, BROADCAST_IDS, SET_WORDS, SKETCH_WORDS, confirming, distinct_sets, parities, representatives, set_keys, sets_may_link, shingle_hashes
 from tessella.llm.textscan import U, mix
 
 SLICE_BYTES = 1 << 20
@@ -149,10 +149,27 @@ def _deletions(words: int, partition: Partition):
     return run
 
 
-def _shared(spread: DataFrame) -> DataFrame:
-    """Keys that several nodes have: bucket, pivot (the smallest node), shared (how many)."""
-    counts = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("shared"))
-    return counts.where("pivot < last").drop("last")
+def _often(spread: DataFrame, most_shared: int) -> DataFrame:
+    """Keys that more than about ``most_shared`` nodes have, told by one node in so many.
+
+    The sample's nodes are chosen by their hash. Which keys it tells is a matter of cost:
+    all nodes skip the same ones, so no link depends on it.
+    """
+    one_in = max(1, most_shared // 8)
+    some = spread.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)
+    return cut(some.groupBy("bucket").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") * one_in > most_shared).select("bucket"))
+
+
+def _members(spread: DataFrame) -> DataFrame:
+    """Nodes of keys that several have: bucket, node, pivot (the key's smallest node); the keys are shuffled once.
+
+    Linked sets share most of their keys. Keys that the same nodes have are one bucket,
+    which is named by its nodes, so nodes meet once and not under each key.
+    """
+    own = Window.partitionBy("bucket")
+    nodes = F.struct(F.bit_xor(F.xxhash64("node")).over(own), F.count(F.lit(1)).over(own), F.min("node").over(own), F.max("node").over(own))
+    met = spread.select("node", nodes.alias("nodes")).toDF("node", "nodes").select("node", "nodes.*").toDF("node", "mixed", "shared", "pivot", "last").where("pivot < last")
+    return met.select(F.xxhash64("mixed", "shared", "pivot", "last").alias("bucket"), "node", "pivot").distinct()
 
 
 def similarity_classes(docs: DataFrame, words: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
@@ -165,24 +182,21 @@ def similarity_classes(docs: DataFrame, words: int = 5, threshold_percent: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(rows.mapInArrow(_sign(words, partition), SIGNED))
     keyed = signed.where("k0 IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(keyed.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
-    nodes = cut(keyed.join(reps, ["k0", "k1"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "keys", *SET_BITMAP))
+    reps, own_rows = representatives(keyed)
+    nodes = cut(own_rows.select("node", F.col("n_shingles").alias("n"), "keys", *SET_BITMAP))
 
     spread = nodes.select("node", F.explode("keys").alias("bucket"))
-    shared = cut(_shared(spread))
-    hot = cut(shared.where(F.col("shared") > most_shared).select("bucket"))
-    n_hot = hot.count()
-    if n_hot:
-        small = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+    often = _often(spread, most_shared)
+    if n_often := often.count():
+        small = F.broadcast(often) if n_often <= BROADCAST_IDS else often
         skipped = spread.join(small, "bucket").groupBy("node").agg(F.collect_set("bucket").alias("skipped"))
         texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "node")
         asked = texts.join(skipped, "node").select("node", "text", "skipped")
         deleted = cut(asked.mapInArrow(_deletions(words, partition), "node long, keys array<long>")).select("node", F.explode("keys").alias("bucket"))
-        parts = [(spread.join(small, "bucket", "left_anti"), shared.where(F.col("shared") <= most_shared)), (deleted, _shared(deleted))]
+        members = _members(spread.join(small, "bucket", "left_anti")).unionByName(_members(deleted))
     else:
-        parts = [(spread, shared)]
-    members = [own.join(known.select("bucket", "pivot"), "bucket") for own, known in parts]
-    members = cut((members[0] if len(members) == 1 else members[0].unionByName(members[1])).distinct())
+        members = _members(spread)
+    members = cut(members)
 
     # the texts of one id are one vertex
     own = keyed.join(reps, ["k0", "k1"]).select("doc_id", "node")
