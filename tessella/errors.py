@@ -13,6 +13,14 @@ class InvalidDataError(Exception):
     """Data don't fit the plan or an operator's bounds."""
 
 
+class OutOfBoundsError(InvalidDataError):
+    """A column has values that an operator's bounds exclude; ``bad`` tells by a column of values whether they are."""
+
+    def __init__(self, message: str, bad=None):
+        super().__init__(message)
+        self.bad = bad
+
+
 class NotFittedError(Exception):
     """A plan or operator is applied before it is fitted."""
 

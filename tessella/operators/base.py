@@ -17,6 +17,7 @@ import inspect
 import warnings
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +26,36 @@ from tessella.errors import NotFittedError, TransformerInputError
 from tessella.functions.lookup import Dictionary
 from tessella.functions.mixtures import Binning
 from tessella.functions.rng import Draws
+from tessella.functions.watch import Watch
 
 #: The hidden column that holds a row's key.
 KEY = "__row_key"
+#: The ``row_key`` of tables without one of their own: a row's file and its number in it, so results are the same on any partitioning.
+FILE_ROWS = "_metadata"
+#: What ``forward`` may give beside its outputs: whether the fit has not seen a row's value. It is evaluated only if it is watched.
+UNSEEN = "__unseen"
+
+
+def file_rows(df: DataFrame) -> DataFrame | None:
+    """Rows with their file and their number in it as the key; None if the data aren't read straight from Parquet files.
+
+    Selections, filters, sorts and repartitions keep where a row is from; joins, unions and groupings don't.
+    """
+    try:
+        return df.withColumn(KEY, F.concat_ws("|", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
+    except AnalysisException:
+        return None
 
 
 def with_key(df: DataFrame, row_key: str | list[str] | None) -> DataFrame:
-    """Add the key column: the given columns as text, or the row's number in its partition."""
+    """Add the key column: the given columns as text, a row's place in its file (FILE_ROWS), or its number in its partition."""
     if KEY in df.columns:
         return df
+    if row_key == FILE_ROWS and FILE_ROWS not in df.columns:
+        if (found := file_rows(df)) is not None:
+            return found
+        warnings.warn("the rows don't come straight from Parquet files: random numbers go by a row's place in its partition, and are others on another partitioning", stacklevel=3)
+        row_key = None
     names = [row_key] if isinstance(row_key, str) else list(row_key or [])
     # without a key a row has its place in the input's partitions: an input that is not read from files should be stored first
     if not names:
@@ -216,10 +238,11 @@ class BaseTransformer:
         if not self.fitted:
             raise NotFittedError(f"the {self.get_name()} is not fitted")
 
-    def transform(self, data: DataFrame, validate: bool = False) -> DataFrame:
+    def transform(self, data: DataFrame, validate: bool = False, watch: Watch | None = None) -> DataFrame:
         """Replace the input columns by the outputs; data without them stay as they are.
 
         ``validate`` looks for values that the fit has not seen, and warns: a job of its own.
+        ``watch`` notes them in the result's own job.
         """
         if any(c not in data.columns for c in self.columns):
             return data
@@ -229,6 +252,8 @@ class BaseTransformer:
         df = with_key(data, self.row_key)
         df, made = self.forward(df, self.inputs(), self.draws("transform"))
         self.calls["transform"] += 1
+        if watch is not None and UNSEEN in made:
+            df = watch.over(df, {self.columns[0]: (column(self.columns[0]), made[UNSEEN])})
         outputs = [made[s].alias(n) for n, s in self.outputs_by_name().items()]
         return df.select(*[column(c) for c in data.columns if c not in self.columns], *outputs)
 

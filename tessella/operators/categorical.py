@@ -17,7 +17,7 @@ from tessella.errors import TransformerInputError
 from tessella.functions import numeric as N
 from tessella.functions.lookup import LITERALS, Dictionary
 from tessella.functions.tables import cut, running
-from tessella.operators.base import BaseTransformer
+from tessella.operators.base import UNSEEN, BaseTransformer
 
 #: Width of a frequency's noise: a sixth of its interval.
 NOISE = 6.0
@@ -173,7 +173,7 @@ class UniformEncoder(_Categories):
         u = draws.uniform("place")
         df, spare = self.dictionary.lookup(df, self.random_known(draws), "label", ["lo", "hi"])
         known = F.when(at["lo"].isNotNull(), at["lo"] + (at["hi"] - at["lo"]) * u)
-        return df, {None: F.when(~self.passes(v), F.coalesce(known, spare["lo"] + (spare["hi"] - spare["lo"]) * u))}
+        return df, {None: F.when(~self.passes(v), F.coalesce(known, spare["lo"] + (spare["hi"] - spare["lo"]) * u)), UNSEEN: at["lo"].isNull() & ~self.passes(v)}
 
     def inverse(self, df, y, draws):
         df, value = self.dictionary.interval(df, N.clip(y[None].cast("double"), 0.0, 1.0), "value")
@@ -267,7 +267,7 @@ class FrequencyEncoder(_Categories):
             df, u = N.staged(df, u)
             noisy = middle + N.normal_ppf(u) * (hi - lo) / F.lit(NOISE)
             middle = F.greatest(F.least(noisy, hi - F.lit(1e-9)), lo)
-        return df, {None: middle}
+        return df, {None: middle, UNSEEN: at["lo"].isNull()}
 
     def inverse(self, df, y, draws):
         df, value = self.dictionary.interval(df, N.clip(y[None].cast("double"), 0.0, 1.0), "value", closed="left")
@@ -293,7 +293,7 @@ class LabelEncoder(_Categories):
         v = x[self.name]
         df, at = self.dictionary.lookup(df, v, "value", ["label"])
         label = F.when(~self.passes(v), F.coalesce(at["label"], self.random_known(draws)))
-        return df, {None: label.cast("double") + draws.uniform("noise") if self.add_noise else label}
+        return df, {None: label.cast("double") + draws.uniform("noise") if self.add_noise else label, UNSEEN: at["label"].isNull() & ~self.passes(v)}
 
     def inverse(self, df, y, draws):
         v = y[None].cast("double")
@@ -324,34 +324,71 @@ class CustomLabelEncoder(OrderedLabelEncoder):
 
 
 class OneHotEncoder(_Categories):
-    """An indicator for each category, and one for missing values if there are any."""
+    """An indicator for each category, and one for missing values if there are any.
+
+    With ``sparse`` there is one output column, a struct of size, indices (from 0) and values, as sparse
+    vectors have, so a column may have any number of categories. A value that the fit has not seen has no
+    index. On the way back the largest of the vector's numbers tells the category, the first one
+    among equals; numbers that are not listed are 0, null and NaN count as 0, indices beyond the size are left out.
+    """
 
     #: Categories, which are columns of the output, at most; a plan of more columns is the caller's choice.
     MOST = 1000
 
-    def __init__(self, most_columns: int = MOST):
+    def __init__(self, most_columns: int = MOST, sparse: bool = False):
         super().__init__(None, "new_category")
-        self.most_columns = most_columns
+        self.most_columns, self.sparse = most_columns, sparse
+
+    def table_order(self):
+        return [F.col("value").isNull(), *super().table_order()]
 
     def bind(self, stats, values):
+        if self.sparse:
+            self.dictionary = self.numbered(values)
+            self.output_properties = {None: {"sdtype": "vector", "next_transformer": None}}
+            return
         if values.size > self.most_columns:
-            raise TransformerInputError(f"column '{self.name}' has {values.size} categories, more than {self.most_columns} columns: see most_columns")
+            raise TransformerInputError(f"column '{self.name}' has {values.size} categories, more than {self.most_columns} columns: see most_columns, or sparse=True")
         rows = self.sorted_rows(values.rows if values.rows is not None else [r.asDict() for r in values.table.collect()])
-        rows = [r for r in rows if r["value"] is not None] + [r for r in rows if r["value"] is None]
         self.dictionary = Dictionary({"value": values.kinds["value"], "label": T.LongType()}, rows=[{"value": r["value"], "label": k} for k, r in enumerate(rows)], size=len(rows))
         self.output_properties = {f"value{k}": {"sdtype": "float", "next_transformer": None} for k in range(len(rows))}
 
+    def sorted_rows(self, rows):
+        return sorted(super().sorted_rows(rows), key=lambda r: r["value"] is None)
+
     @property
     def dummies(self) -> list:
-        return [r["value"] for r in self.dictionary.rows]
+        return [r["value"] for r in self.listed()]
 
     def forward(self, df, x, draws):
         kind, v = self.kinds[self.name], x[self.name]
-        return df, {f"value{r['label']}": v.eqNullSafe(F.lit(r["value"]).cast(kind)).cast("int") for r in self.dictionary.rows}
+        if self.sparse:
+            df, at = self.dictionary.lookup(df, v, "value", ["label"])
+            found = F.array_compact(F.array(at["label"].cast("int")))
+            vector = F.struct(F.lit(self.dictionary.size).alias("size"), found.alias("indices"), F.transform(found, lambda _: F.lit(1.0)).alias("values"))
+            return df, {None: vector, UNSEEN: at["label"].isNull()}
+        filled = [F.lit(r["value"]).cast(kind) for r in self.dictionary.rows if r["value"] is not None]
+        known = F.when(v.isNull(), F.lit(len(filled) < len(self.dictionary.rows))).otherwise(v.isin(*filled) if filled else F.lit(False))
+        return df, {f"value{r['label']}": v.eqNullSafe(F.lit(r["value"]).cast(kind)).cast("int") for r in self.dictionary.rows} | {UNSEEN: ~known}
+
+    def _largest(self, vector: Column) -> Column:
+        """The first place of a sparse vector's largest number; null for a null vector."""
+        listed = F.arrays_zip(vector["indices"].alias("i"), vector["values"].cast("array<double>").alias("v"))
+        listed = F.filter(listed, lambda e: (e["i"] >= 0) & (e["i"] < self.dictionary.size))
+        listed = F.transform(listed, lambda e: F.struct(F.coalesce(F.nanvl(e["v"], F.lit(0.0)), F.lit(0.0)).alias("v"), e["i"].cast("long").alias("i")))
+        # one of the first places, as many as are listed and one more, is not listed, if any
+        listed_at = F.transform(listed, lambda e: e["i"])
+        absent = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(listed).cast("long")), listed_at))
+        zero = F.when(absent < self.dictionary.size, F.array(F.struct(F.lit(0.0).alias("v"), absent.alias("i"))))
+        every = F.transform(F.concat(listed, F.coalesce(zero, F.filter(listed, lambda _: F.lit(False)))), lambda e: F.struct((-e["v"]).alias("v"), e["i"].alias("i")))
+        return F.when(vector.isNotNull(), F.array_min(every)["i"])
 
     def inverse(self, df, y, draws):
-        if not self.dictionary.rows:
+        if not self.dictionary.size:
             return df, {self.name: F.lit(None).cast(self.kinds[self.name])}
+        if self.sparse:
+            df, at = self.dictionary.lookup(df, self._largest(y[None]), "label", ["value"])
+            return df, {self.name: at["value"]}
         scores = F.array(*[y[f"value{r['label']}"].cast("double") for r in self.dictionary.rows])
         first = F.array_position(scores, F.array_max(scores)) - 1
         df, at = self.dictionary.lookup(df, first, "label", ["value"])

@@ -13,6 +13,7 @@ from tessella.functions.lookup import Dictionary
 from tessella.functions.permutation import MOST, Permutation
 from tessella.functions.regexes import enumeration
 from tessella.functions.rng import uniform
+from tessella.functions.sketches import distinct_found, distinct_requests
 from tessella.functions.tables import by_ranges, cut, running, running_over
 from tessella.operators.base import KEY, BaseTransformer
 
@@ -99,6 +100,10 @@ class Generator(BaseTransformer):
         self.made = 0
         self.repeats = Repeats()
 
+    def sketched(self) -> bool:
+        """Whether the fit counts distinct values by a sketch."""
+        return getattr(self, "cardinality_rule", None) == "match" and getattr(self, "distinct", "exact") == "sketch"
+
     def forward(self, df, x, draws):
         return df, {}
 
@@ -139,6 +144,12 @@ class IDGenerator(IndexGenerator):
         super().__init__(prefix, starting_value, suffix)
 
 
+def check_distinct(distinct: str) -> str:
+    if distinct not in ("exact", "sketch"):
+        raise TransformerInputError(f"distinct can't be {distinct!r}: use 'exact' or 'sketch'")
+    return distinct
+
+
 def check_rule(rule: str | None, enforce_uniqueness: bool | None, known: tuple) -> str | None:
     if enforce_uniqueness is not None:
         warnings.warn("enforce_uniqueness is deprecated: use cardinality_rule", FutureWarning, stacklevel=3)
@@ -156,22 +167,29 @@ class RegexGenerator(Generator):
     """Strings that match a pattern, in order or scrambled.
 
     cardinality_rule None starts over when the strings run out; 'unique' goes on with
-    numbers; 'match' makes as many strings as the fit saw values; 'scale' repeats each
-    string as often as values were repeated in the data the fit saw.
+    numbers; 'match' makes as many strings as the fit saw values (with ``distinct='sketch'`` about
+    as many, told without a grouping of the values); 'scale' repeats each string as often as
+    values were repeated in the data the fit saw.
     """
 
-    def __init__(self, regex_format: str = "[A-Za-z]{5}", cardinality_rule: str | None = None, generation_order: str = "alphanumeric", enforce_uniqueness: bool | None = None):
+    def __init__(self, regex_format: str = "[A-Za-z]{5}", cardinality_rule: str | None = None, generation_order: str = "alphanumeric", enforce_uniqueness: bool | None = None, distinct: str = "exact"):
         super().__init__()
         if generation_order not in ("alphanumeric", "scrambled"):
             raise TransformerInputError(f"generation_order can't be {generation_order!r}: use 'alphanumeric' or 'scrambled'")
         self.cardinality_rule = check_rule(cardinality_rule, enforce_uniqueness, (None, "unique", "match", "scale"))
         self.regex_format, self.generation_order, self.enforce_uniqueness = regex_format, generation_order, enforce_uniqueness
         self.strings = enumeration(regex_format)
+        self.distinct = check_distinct(distinct)
         self.n_distinct = 0
         self.repetitions: list[tuple[int, int]] = []
 
+    def requests(self, x, kinds):
+        return distinct_requests(x[self.columns[0]], kinds[self.columns[0]], True) if self.sketched() else {}
+
     def bind(self, stats, values):
         self.output_properties = {}
+        if self.sketched():
+            self.n_distinct = distinct_found(stats)
 
     def fit(self, data, column, row_key=None):
         super().fit(data, column, row_key)
@@ -179,7 +197,7 @@ class RegexGenerator(Generator):
 
     def second_pass(self, data: DataFrame) -> None:
         """Distinct values, and how many are repeated how often: a row for each count of repetitions."""
-        if self.cardinality_rule not in ("match", "scale"):
+        if self.cardinality_rule not in ("match", "scale") or self.sketched():
             return
         histogram = value_counts(data, F.col(f"`{self.columns[0]}`")).groupBy("n").agg(F.count(F.lit(1)).alias("values"))
         self.repetitions = [(r.n, r["values"]) for r in histogram.orderBy("n").collect()]

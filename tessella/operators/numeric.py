@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import InvalidDataError, TransformerInputError
+from tessella.errors import OutOfBoundsError, TransformerInputError
 from tessella.functions import numeric as N
 from tessella.functions.distributions import FAMILIES, Fitted
 from tessella.functions.likelihood import padded
@@ -149,7 +149,8 @@ class LogScaler(FloatFormatter):
         fill = self.null_transformer.value
         seen = [v for v in (stats["edge"], fill if stats["null_nulls"] else None) if v is not None]
         if any(v >= self.constant if self.invert else v <= self.constant for v in seen):
-            raise InvalidDataError(f"column '{self.columns[0]}' has values that aren't {'below' if self.invert else 'above'} the constant {self.constant}: they have no logarithm")
+            wrong = lambda v: v >= self.constant if self.invert else v <= self.constant
+            raise OutOfBoundsError(f"column '{self.columns[0]}' has values that aren't {'below' if self.invert else 'above'} the constant {self.constant}, so they have no logarithm", wrong)
 
     def forward(self, df, x, draws):
         v, flags = self.filled(df, x, draws)
@@ -186,7 +187,7 @@ class LogitScaler(FloatFormatter):
         super().bind(stats, values)
         bad = [v for v, out in ((stats["below"], (stats["below"] or 0) < self.min_value), (stats["above"], (stats["above"] or 0) > self.max_value)) if v is not None and out]
         if bad:
-            raise InvalidDataError(f"column '{self.columns[0]}' has values such as {bad} outside [{self.min_value}, {self.max_value}]")
+            raise OutOfBoundsError(f"column '{self.columns[0]}' has values outside [{self.min_value}, {self.max_value}]", self.outside)
 
     def forward(self, df, x, draws):
         v, flags = self.filled(df, x, draws)

@@ -13,10 +13,11 @@ from tessella.functions.lookup import LITERALS, Dictionary
 from tessella.functions.numeric import staged
 from tessella.functions.permutation import MOST, Permutation
 from tessella.functions.rng import Draws, uniform
+from tessella.functions.sketches import distinct_found, distinct_requests
 from tessella.functions.tables import by_ranges, cut, running_over
 from tessella.operators.base import BaseTransformer
 from tessella.operators.categorical import LabelEncoder
-from tessella.operators.ids import Generator, check_rule, value_counts
+from tessella.operators.ids import Generator, check_distinct, check_rule, value_counts
 from tessella.sources.providers import CATALOGUE, LETTERS, SDTYPE_ANONYMIZERS, Digits, get_provider_name, space_size
 
 #: Letters of a value beyond those of a function.
@@ -28,7 +29,8 @@ class AnonymizedFaker(Generator):
 
     Without a rule, values are drawn by a row's number. With one, a value has a number:
     'unique' has one for each row of all calls, 'match' as many as the fit saw values,
-    'scale' repeats them as the fit saw values repeated. A keyed permutation makes a rank of
+    'scale' repeats them as the fit saw values repeated (``distinct='sketch'`` counts values for 'match'
+    by a sketch, without a grouping). A keyed permutation makes a rank of
     the number, and the rank's digits choose the value's parts, so different numbers have
     different values, over calls too. Numbers beyond the function's values are words of
     letters, with a warning.
@@ -37,9 +39,10 @@ class AnonymizedFaker(Generator):
     INPUT_SDTYPE = "pii"
     RULES = (None, "unique", "match", "scale")
 
-    def __init__(self, provider_name: str | None = None, function_name: str | None = None, function_kwargs: dict | None = None, locales: list[str] | None = None, cardinality_rule: str | None = None, enforce_uniqueness: bool | None = None, missing_value_generation: str | None = "random"):
+    def __init__(self, provider_name: str | None = None, function_name: str | None = None, function_kwargs: dict | None = None, locales: list[str] | None = None, cardinality_rule: str | None = None, enforce_uniqueness: bool | None = None, missing_value_generation: str | None = "random", distinct: str = "exact"):
         super().__init__()
         self.cardinality_rule = check_rule(cardinality_rule, enforce_uniqueness, self.RULES)
+        self.distinct = check_distinct(distinct)
         if missing_value_generation not in (None, "random"):
             raise TransformerInputError(f"missing_value_generation can't be {missing_value_generation!r}: use 'random' or None")
         self.provider_name = provider_name or (get_provider_name(function_name) if function_name else "BaseProvider")
@@ -63,11 +66,14 @@ class AnonymizedFaker(Generator):
 
     def requests(self, x, kinds):
         v = x[self.columns[0]]
-        return {"n": F.count(F.lit(1)), "nulls": F.count_if(v.isNull())}
+        counts = {"n": F.count(F.lit(1)), "nulls": F.count_if(v.isNull())}
+        return counts | distinct_requests(v, kinds[self.columns[0]], False) if self.sketched() else counts
 
     def bind(self, stats, values):
         self.output_properties = {}
         self.null_share = stats["nulls"] / stats["n"] if stats["n"] else 0.0
+        if self.sketched():
+            self.n_distinct = distinct_found(stats)
 
     def fit(self, data, column, row_key=None):
         super().fit(data, column, row_key)
@@ -75,7 +81,7 @@ class AnonymizedFaker(Generator):
 
     def second_pass(self, data: DataFrame) -> None:
         """Distinct values, and how many are repeated how often: a row for each count of repetitions."""
-        if self.cardinality_rule not in ("match", "scale"):
+        if self.cardinality_rule not in ("match", "scale") or self.sketched():
             return
         filled = data.where(F.col(f"`{self.columns[0]}`").isNotNull())
         histogram = value_counts(filled, F.col(f"`{self.columns[0]}`")).groupBy("n").agg(F.count(F.lit(1)).alias("values"))

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.errors import OutOfBoundsError
 from tessella.functions import date_shapes as S
 from tessella.functions.lookup import LITERALS, Dictionary
 from tessella.functions.mixtures import binned
 from tessella.functions.tables import cut
+from tessella.functions.watch import report, report_columns
 from tessella.operators.base import KEY, BaseTransformer, column, kind_of
 
 
@@ -96,6 +98,13 @@ def date_shapes(df: DataFrame, texts: dict[int, Column]) -> dict[int, list[tuple
     return out
 
 
+def _with_examples(error: OutOfBoundsError, df: DataFrame, op: BaseTransformer) -> OutOfBoundsError:
+    """The error with up to five of its values: one more scan, only of data that are refused."""
+    v = column(op.columns[0])
+    found = report(df.agg(*[c.alias(name) for name, c in report_columns(v, F.coalesce(error.bad(v.cast("double")), F.lit(False))).items()]).first().asDict())
+    return OutOfBoundsError(f"{error}, such as {found}" if found.rows else str(error), error.bad)
+
+
 def fit_together(df: DataFrame, operators: list[BaseTransformer]) -> None:
     """Fit prepared operators on ``df``, which has the key column."""
     texts = {i: t for i, op in enumerate(operators) if (t := op.texts(op.inputs())) is not None}
@@ -105,7 +114,10 @@ def fit_together(df: DataFrame, operators: list[BaseTransformer]) -> None:
     valued = {op.columns[0]: op.kinds[op.columns[0]] for op in operators if op.wants_values}
     values = value_counts(df, valued, next((op.row_key for op in operators if op.row_key), None)) if valued else {}
     for i, op in enumerate(operators):
-        op.bind(found.get(i, {}), values.get(op.columns[0]) if op.wants_values else None)
+        try:
+            op.bind(found.get(i, {}), values.get(op.columns[0]) if op.wants_values else None)
+        except OutOfBoundsError as e:
+            raise _with_examples(e, df, op) from None
     found = aggregated(df, [op.later(op.inputs()) for op in operators])
     wanted = {i: b for i, op in enumerate(operators) if (b := op.binning(op.inputs())) is not None}
     bins = binned(df, wanted) if wanted else {}

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.errors import ConfigNotSetError, InvalidConfigError, InvalidDataError, NotFittedError
-from tessella.operators.base import KEY, BaseMultiColumnTransformer, BaseTransformer, column, with_key
+from tessella.functions.watch import Watch
+from tessella.operators.base import FILE_ROWS, KEY, UNSEEN, BaseMultiColumnTransformer, BaseTransformer, column, with_key
 from tessella.operators.ids import Generator
 from tessella.plans import registry, store
 from tessella.plans.fusion import fit_together
@@ -35,7 +36,8 @@ class HyperTransformer:
     """Transform and reverse all columns of a table.
 
     ``row_key`` names columns that identify a row: with them random numbers are the same
-    on any partitioning, and categories are ordered by their first rows.
+    on any partitioning, and categories are ordered by their first rows. For Parquet files
+    FILE_ROWS is such a key, without a column of its own.
     """
 
     def __init__(self, row_key: str | list[str] | None = None):
@@ -284,22 +286,26 @@ class HyperTransformer:
     # apply
 
     @staticmethod
-    def _forward(df: DataFrame, operators: list[BaseTransformer]) -> DataFrame:
+    def _forward(df: DataFrame, operators: list[BaseTransformer], watch: Watch | None = None) -> DataFrame:
         """All operators of one level in one projection; those whose inputs are missing are left out."""
         operators = [t for t in operators if all(c in df.columns for c in t.columns)]
-        names, made = list(df.columns), []
+        names, made, noted = list(df.columns), [], {}
         for t in operators:
             df, own = t.forward(df, t.inputs(), t.draws("transform"))
             t.calls["transform"] += 1
             made += [own[s].alias(n) for n, s in t.outputs_by_name().items()]
+            if UNSEEN in own:
+                noted[t.columns[0]] = (column(t.columns[0]), own[UNSEEN])
+        if watch is not None:
+            df = watch.over(df, noted)
         used = {c for t in operators for c in t.columns}
         return df.select(*[column(c) for c in names if c not in used], *made)
 
-    def _transform(self, data: DataFrame) -> DataFrame:
+    def _transform(self, data: DataFrame, watch: Watch | None = None) -> DataFrame:
         names = [c for c in data.columns]
         df = with_key(data, self.row_key if self._has_key(data) else None)
         for level in self._levels:
-            df = self._forward(df, level)
+            df = self._forward(df, level, watch)
         passing = [c for c in names if self.field_transformers.get(self._field_of(c)) is None]
         return df.select(*[column(c) for c in self._output_columns if c in df.columns and (c not in names or c in passing or c in self._made())])
 
@@ -307,23 +313,26 @@ class HyperTransformer:
         return {c for t in self._sequence for c in t.get_output_columns()}
 
     def _has_key(self, data: DataFrame) -> bool:
+        if self.row_key == FILE_ROWS and FILE_ROWS not in data.columns:
+            return True  # with_key warns where rows come from no files
         names = [self.row_key] if isinstance(self.row_key, str) else list(self.row_key or [])
         found = bool(names) and all(n in data.columns for n in names)
         if names and not found:
             warnings.warn(f"the data lack the row key {names}: random numbers go by a row's place in its partition, and are others on another partitioning", stacklevel=4)
         return found
 
-    def transform(self, data: DataFrame) -> DataFrame:
+    def transform(self, data: DataFrame, watch: Watch | None = None) -> DataFrame:
+        """All columns; ``watch`` notes values that the fit has not seen in the result's own job."""
         self._need_fit()
         self._check_columns(data)
-        return self._transform(data)
+        return self._transform(data, watch)
 
-    def transform_subset(self, data: DataFrame) -> DataFrame:
+    def transform_subset(self, data: DataFrame, watch: Watch | None = None) -> DataFrame:
         """As transform, for some of the columns."""
         self._need_fit()
         if unknown := set(data.columns) - set(self.field_sdtypes):
             raise InvalidDataError(f"columns that the fit has not seen: {sorted(unknown)}")
-        return self._transform(data)
+        return self._transform(data, watch)
 
     def fit_transform(self, data: DataFrame) -> DataFrame:
         self.fit(data)

@@ -22,8 +22,10 @@ from tessella.functions.mixtures import Mixture, Posterior
 from tessella.functions.numeric import normal_cdf_sql, normal_ppf_sql, staged
 from tessella.functions.permutation import Permutation
 from tessella.functions.rng import uniform_sql
+from tessella.functions.sketches import ERROR, distinct_counts
 from tessella.functions.tables import running, shared_root
-from tessella.operators.base import ColumnFunctions, with_key
+from tessella.functions.watch import Watch
+from tessella.operators.base import FILE_ROWS, ColumnFunctions, with_key
 from tessella.operators.boolean import BinaryEncoder
 from tessella.operators.categorical import FrequencyEncoder, LabelEncoder, OneHotEncoder, OrderedLabelEncoder, OrderedUniformEncoder, UniformEncoder
 from tessella.operators.ids import IndexGenerator, RegexGenerator
@@ -527,6 +529,48 @@ def one_hot_reverse(spark, sf_dir):
     return t.reverse_transform(t.fit_transform(orders(spark, sf_dir, "o_orderstatus"), "x", "o_orderkey"))
 
 
+_CLIENTS = f"(SELECT o_orderkey, {nulled('o_custkey', 'o_orderkey')} AS x FROM orders)"
+
+
+@query("one_hot_sparse", intervals(_CLIENTS, "o_orderkey", "x IS NULL, k") + "SELECT o_orderkey, (SELECT CAST(count(*) AS INT) FROM d) AS size, CAST(label AS INT) AS place, 1.0::DOUBLE AS indicator FROM t JOIN d ON t.x IS NOT DISTINCT FROM d.x")
+def one_hot_sparse(spark, sf_dir):
+    """Vectors of as many places as there are customers with orders, and one for missing ones."""
+    made = OneHotEncoder(sparse=True).fit_transform(orders(spark, sf_dir, "o_custkey"), "x", "o_orderkey")
+    return made.select("o_orderkey", "x.size", F.col("x.indices")[0].alias("place"), F.col("x.values")[0].alias("indicator"))
+
+
+@query("one_hot_sparse_reverse", intervals(_CLIENTS, "o_orderkey", "x IS NULL, k") + "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (SELECT x FROM d WHERE label = 0) ELSE t.x END AS x FROM t")
+def one_hot_sparse_reverse(spark, sf_dir):
+    """Vectors with a second, smaller number; every third one has negative numbers only, so that the first place is the largest."""
+    t = OneHotEncoder(sparse=True)
+    made = t.fit_transform(orders(spark, sf_dir, "o_custkey"), "x", "o_orderkey")
+    at, size = F.col("x.indices")[0], F.col("x.size")
+    other = F.when(at + 1 < size, at + 1).otherwise(at - 1)
+    below = F.col("o_orderkey") % 3 == 0
+    places = F.when(below, F.array(F.greatest(at, F.lit(1)))).otherwise(F.array(other, at))
+    numbers = F.when(below, F.array(F.lit(-1.0))).otherwise(F.array(F.lit(0.25), F.lit(0.75)))
+    return t.reverse_transform(made.withColumn("x", F.struct(size, places.alias("indices"), numbers.alias("values"))))
+
+
+@query("unseen_watched", "SELECT 'x' AS name, count(*) AS n_rows, list_aggregate(list_sort(list_distinct(list(event_type))), 'string_agg', ',') AS examples FROM events WHERE event_type NOT IN ('click', 'view')")
+def unseen_watched(spark, sf_dir):
+    """What the job that writes a transform's result notes of values that the fit has not seen."""
+    plan, watch = HyperTransformer("event_id"), Watch()
+    data = table(spark, sf_dir, "events", "event_id", "event_type AS x")
+    plan.set_config({"sdtypes": {"event_id": "id", "x": "categorical"}, "transformers": {"event_id": None, "x": LabelEncoder()}})
+    plan.fit(data.where("x IN ('click', 'view')"))
+    plan.transform(data, watch).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(c, r.rows, ",".join(r.examples)) for c, r in watch.reports.items()], "name string, n_rows long, examples string")
+
+
+@query("file_row_labels", intervals("(SELECT o_orderkey, o_orderpriority AS x FROM orders)", "o_orderkey") + "SELECT o_orderkey, CAST(label AS BIGINT) AS x FROM t JOIN d USING (x)")
+def file_row_labels(spark, sf_dir):
+    """Labels by first appearance in the files (which are in the order of the keys), whatever the partitioning; no key is named."""
+    t, data = LabelEncoder(), orders(spark, sf_dir, "o_orderpriority", null=False)
+    t.fit(data.repartition(13, "x"), "x", FILE_ROWS)
+    return t.transform(data.repartition(7))
+
+
 _BRANDS = "(SELECT p_partkey, p_brand AS x FROM part)"
 
 
@@ -682,6 +726,23 @@ def regex_match(spark, sf_dir):
     return _generated(spark, sf_dir, RegexGenerator("[A-Z]{2}", cardinality_rule="match"), "c_nationkey")
 
 
+@query("regex_match_sketch", ORACLES["regex_match"])
+def regex_match_sketch(spark, sf_dir):
+    """As regex_match, with the number of values from a sketch, which is exact for so few."""
+    return _generated(spark, sf_dir, RegexGenerator("[A-Z]{2}", cardinality_rule="match", distinct="sketch"), "c_nationkey")
+
+
+_COUNTED = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag"]
+
+
+@query("distinct_sketches", " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_distinct, true AS near FROM lineitem" for c in _COUNTED))
+def distinct_sketches(spark, sf_dir):
+    """Exact counts of distinct values, and whether the sketches' are within four standard errors of them."""
+    data = table(spark, sf_dir, "lineitem", *_COUNTED)
+    about, exact = distinct_counts(data), distinct_counts(data, exact=True)
+    return spark.createDataFrame([(c, n, abs(about[c] - n) <= 4 * ERROR * n) for c, n in exact.items()], "name string, n_distinct long, near boolean")
+
+
 def _scaled_sql(calls: int) -> str:
     """The strings of the rows of the last of so many calls, from the repetitions that each number draws."""
     return (

@@ -8,7 +8,7 @@ additions only.
 
 Operators whose fit takes more than one look at the rows have no such statistics and are
 refused: mixtures, kernel densities, gamma, beta and Student's t, date strings without a
-given pattern, rules 'match' and 'scale', pseudonyms, and chains of operators.
+given pattern, the rules 'scale' and (unless by sketches) 'match', pseudonyms, and chains of operators.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tessella.errors import NotFittedError
+from tessella.functions.sketches import union
 from tessella.functions.tables import cut
 from tessella.operators.base import BaseTransformer, with_key
 from tessella.operators.numeric import ClusterBasedNormalizer, GaussianNormalizer
@@ -33,7 +34,7 @@ from tessella.plans.store import packed, unpacked
 from tessella.plans.table import HyperTransformer
 
 #: Names of statistics by how they are merged; other names raise.
-SUMS = {"null_n", "null_nulls", "n", "nulls", "misfits"}
+SUMS = {"null_n", "null_nulls", "n", "nulls", "misfits", "blank"}
 LEAST = {"null_low", "low", "rep_low", "below", "d_low", "zone_low", "example"}
 MOST = {"null_high", "high", "rep_high", "above", "d_high", "zone_high", "digits", "whole"}
 ALL = {"rep_whole", "finite"}
@@ -42,7 +43,7 @@ MEANS = {"null_mean", "d_mean"}
 
 def check_streamable(operator: BaseTransformer) -> None:
     """Raise ValueError for an operator that can't be fitted from one look at the rows."""
-    bad = isinstance(operator, (ClusterBasedNormalizer, PseudoAnonymizedFaker)) or getattr(operator, "cardinality_rule", None) in ("match", "scale")
+    bad = isinstance(operator, (ClusterBasedNormalizer, PseudoAnonymizedFaker)) or getattr(operator, "cardinality_rule", None) in ("match", "scale") and not operator.sketched()
     bad = bad or isinstance(operator, GaussianNormalizer) and operator.distribution in ("gamma", "beta", "t", "gaussian_kde")
     if bad or operator.texts(operator.inputs()) is not None:
         raise ValueError(f"{operator!r} for {operator.columns} needs more than one look at the rows: fit it on a batch")
@@ -66,7 +67,9 @@ def merged(operator: BaseTransformer, batches: list[dict[str, Any]]) -> dict[str
             out[name] = all(v for v, _ in values)
         elif name in MEANS:
             out[name] = math.fsum(v * n for v, n in values) / max(1, sum(n for _, n in values))
-        elif name != "d_sd":
+        elif name == "sketch":
+            out["sketch"], out["about"] = union(v for v, _ in values)
+        elif name not in ("d_sd", "about"):
             raise ValueError(f"the statistic {name!r} of {operator.get_name()} can't be merged")
     if "d_sd" in batches[0]:
         # squared deviations about the whole mean
