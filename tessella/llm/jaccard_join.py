@@ -10,10 +10,12 @@ one shingle at most.
 A set is indexed by its part in each segment (its exact keys). What a key costs is how
 many sets hold it: where more than ``most_shared`` do (an empty part, a common passage), the
 allocation skips that segment and asks more of the block's other one, which is indexed by
-its part and by the part without each one of its shingles (its one-deletion keys). Sets
-that share a skipped part both skip it, and so meet under the other segment's deletion
-keys; where just one of them skips, the other's exact key is met. So no link is lost,
-whatever the bound, which moves cost only.
+its part and by the part without each one of its shingles (its one-deletion keys), each
+together with the skipped part. Sets that share a skipped part both skip it, and so meet
+under the other segment's deletion keys; where the other part is what they share, its
+exact key is met, or is skipped by both. Parts that differ in one shingle are the smaller
+one and the larger without that shingle, so a key that no set has as its whole part links
+nothing and goes. So no link is lost, whatever the bound, which moves cost only.
 
 Sets under one key are compared by :mod:`tessella.llm.clusters`, first by bitmaps that
 never refuse a link, then by the full sets.
@@ -121,7 +123,7 @@ def _sign(words: int, partition: Partition):
 
 
 def _deletions(words: int, partition: Partition):
-    """The deletion keys of the segments whose partners are skipped."""
+    """The keys of the segments whose partners are skipped: of parts without one shingle, and of whole parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,21 +132,24 @@ def _deletions(words: int, partition: Partition):
                 sets, bounds = distinct_sets(*shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
                 n, size = j - i, np.diff(bounds)
                 skipped = np.unique(batch.column(2).slice(i, n).flatten().to_numpy()).view(U)
-                keys, owner = [], []
+                wholes, less, owner, less_owner = [], [], [], []
                 for above in (0, 1):
                     before, place, sums, own = partition.segments(sets, bounds, above)
                     rows = np.repeat(np.arange(n), np.diff(before))
                     # segments come in blocks of two, so a row's first one is even
-                    asked = np.isin(mix(sums ^ own), skipped).reshape(-1, 2)[:, ::-1].reshape(-1)
+                    other = mix(sums ^ own).reshape(-1, 2)[:, ::-1].reshape(-1)
+                    asked = np.isin(other, skipped)
+                    key = lambda at, part: mix((part ^ own[at] ^ DELETED) + mix(other[at]))  # noqa: B023, E731
                     whole = np.flatnonzero(asked)
-                    keys.append(mix((sums ^ own)[whole] ^ DELETED))
+                    wholes.append(key(whole, sums[whole]))
                     owner.append(rows[whole])
                     used = sets[np.repeat(np.diff(before) > 0, size)]
                     one = np.flatnonzero(asked[place])
                     at = place[one]
-                    keys.append(mix(((sums[at] - mix(used[one] ^ PART)) ^ own[at]) ^ DELETED))
-                    owner.append(rows[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), _lists(np.concatenate(keys), np.concatenate(owner), n)], ["node", "keys"])
+                    less.append(key(at, sums[at] - mix(used[one] ^ PART)))
+                    less_owner.append(rows[at])
+                lists = [_lists(np.concatenate(k), np.concatenate(o), n) for k, o in ((less, less_owner), (wholes, owner))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *lists], ["node", "keys", "wholes"])
 
     return run
 
@@ -160,18 +165,25 @@ def _often(spread: DataFrame, most_shared: int) -> DataFrame:
     return cut(some.groupBy("bucket").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") * one_in > most_shared).select("bucket"))
 
 
-def _members(spread: DataFrame) -> DataFrame:
-    """Nodes of keys that several have: bucket, node, pivot (the key's smallest node); the keys are shuffled once.
+def _members(spread: DataFrame, some: str = "true") -> DataFrame:
+    """Nodes of keys that several have, one of them with ``some``: bucket, node, pivot (the key's smallest node); the keys are shuffled once.
 
     Linked sets share most of their keys. Keys that the same nodes have are one bucket,
     which is named by its nodes, so nodes meet once and not under each key.
     """
     own = Window.partitionBy("bucket")
     nodes = F.struct(F.bit_xor(F.xxhash64("node")).over(own), F.count(F.lit(1)).over(own), F.min("node").over(own), F.max("node").over(own))
-    met = spread.select("node", nodes.alias("nodes")).toDF("node", "nodes").select("node", "nodes.*").toDF("node", "mixed", "shared", "pivot", "last").where("pivot < last")
+    met = spread.select("node", nodes.alias("nodes"), F.max(F.expr(some)).over(own).alias("met")).where("met").select("node", "nodes.*").toDF("node", "mixed", "shared", "pivot", "last").where("pivot < last")
     return met.select(F.xxhash64("mixed", "shared", "pivot", "last").alias("bucket"), "node", "pivot").distinct()
 
 
+def _with_skipped(texts: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Texts of the nodes that skip segments, with these; up to BROADCAST_IDS nodes, no other text is shuffled."""
+    if skipped.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(skipped.select("node")), "node", "left_semi")
+    return texts.join(skipped, "node").select("node", "text", "skipped")
+
+
 def similarity_classes(docs: DataFrame, words: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach).
 
@@ -185,15 +197,15 @@ def similarity_classes(docs: DataFrame, words: int = 5, threshold_percent: int =
     reps, own_rows = representatives(keyed)
     nodes = cut(own_rows.select("node", F.col("n_shingles").alias("n"), "keys", *SET_BITMAP))
 
-    spread = nodes.select("node", F.explode("keys").alias("bucket"))
+    spread = nodes.select(F.explode("keys").alias("bucket"), "node")
     often = _often(spread, most_shared)
     if n_often := often.count():
         small = F.broadcast(often) if n_often <= BROADCAST_IDS else often
         skipped = spread.join(small, "bucket").groupBy("node").agg(F.collect_set("bucket").alias("skipped"))
         texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "node")
-        asked = texts.join(skipped, "node").select("node", "text", "skipped")
-        deleted = cut(asked.mapInArrow(_deletions(words, partition), "node long, keys array<long>")).select("node", F.explode("keys").alias("bucket"))
-        members = _members(spread.join(small, "bucket", "left_anti")).unionByName(_members(deleted))
+        deleted = cut(_with_skipped(texts, cut(skipped)).mapInArrow(_deletions(words, partition), "node long, keys array<long>, wholes array<long>"))
+        of = lambda keys, whole: deleted.select(F.explode(keys).alias("bucket"), "node", F.lit(whole).alias("whole"))
+        members = _members(spread.join(small, "bucket", "left_anti")).unionByName(_members(of("keys", False).unionByName(of("wholes", True)), "whole"))
     else:
         members = _members(spread)
     members = cut(members)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join, near_dedup, queries
 
@@ -83,3 +84,29 @@ def test_odd_inputs(spark):
     assert {r[0]: r[2] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, None: None, 6: 6, 7: 6, 8: 8}
     assert {r[1] for r in got if r[0] in (1, 2, 3)} == {0}
     assert jaccard_join.similarity_classes(df.limit(0)).count() == 0
+
+
+def test_keys_without_a_whole_part_link_nothing(spark):
+    """Parts that differ in one shingle are a whole one and one without a shingle; two that both lack one differ in two."""
+    spread = spark.createDataFrame([(1, 10, True), (1, 11, False), (2, 10, False), (2, 11, False), (3, 12, True), (4, 10, True), (4, 11, True)], "bucket long, node long, whole boolean")
+    assert sorted((r.node, r.pivot) for r in jaccard_join._members(spread, "whole").collect()) == [(10, 10), (11, 10)]  # buckets 1 and 4 have the same nodes
+    assert jaccard_join._members(spread.where("bucket = 2"), "whole").count() == 0
+    assert jaccard_join._members(spread.where("bucket = 2")).count() == 2
+
+
+def test_only_texts_that_skip_segments_are_shuffled(spark, monkeypatch):
+    """Of 5000 texts 3 skip a segment; the rows that go through the shuffle are these, whatever their arrays' size."""
+    texts = spark.range(5000).select(F.col("id").alias("node"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    skipped = spark.createDataFrame([(d, [d, d + 1]) for d in (7, 70, 700)], "node long, skipped array<long>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = jaccard_join._with_skipped(texts, skipped)
+        assert sorted(tuple(r) for r in made.collect()) == [(d, f"text {d}", [d, d + 1]) for d in (7, 70, 700)]
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 2)
+        many = jaccard_join._with_skipped(texts, skipped)
+        assert "LeftSemi" not in many._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in many.collect()) == sorted(tuple(r) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
