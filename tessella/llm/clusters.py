@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
@@ -22,6 +22,19 @@ from tessella.llm.components import connected
 PIVOTS = 1024
 
 
+def members_of(spread: DataFrame, some: str = "true") -> DataFrame:
+    """Nodes of keys that several have, one of them with ``some``: bucket, node, pivot (the key's smallest node); the keys are shuffled once.
+
+    Nodes that link share most of their keys. Keys that the same nodes have are one bucket,
+    which is named by its nodes, so nodes meet once and not under each key. Were two buckets to
+    get one name, their nodes would meet needlessly; no link depends on it.
+    """
+    own = Window.partitionBy("bucket")
+    nodes = F.struct(F.bit_xor(F.xxhash64("node")).over(own), F.count(F.lit(1)).over(own), F.min("node").over(own), F.max("node").over(own))
+    met = spread.select("node", nodes.alias("nodes"), F.max(F.expr(some)).over(own).alias("met")).where("met").select("node", "nodes.*").toDF("node", "mixed", "shared", "pivot", "last").where("pivot < last")
+    return met.select(F.xxhash64("mixed", "shared", "pivot", "last").alias("bucket"), "node", "pivot").distinct()
+
+
 def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, component) after some more links (a, b): only the components that these meet are joined."""
     if parts is None:

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.clusters import components_of
+from tessella.llm.clusters import components_of, members_of
 from tessella.llm.common import column_buffers, cut, slices
 from tessella.llm.near_dedup import BITMAPS, BROADCAST_IDS, SET_WORDS, SKETCH_WORDS, confirming, distinct_sets, parities, representatives, set_keys, sets_may_link, shingle_hashes
 from tessella.llm.textscan import U, mix
@@ -165,18 +165,6 @@ def _often(spread: DataFrame, most_shared: int) -> DataFrame:
     return cut(some.groupBy("bucket").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") * one_in > most_shared).select("bucket"))
 
 
-def _members(spread: DataFrame, some: str = "true") -> DataFrame:
-    """Nodes of keys that several have, one of them with ``some``: bucket, node, pivot (the key's smallest node); the keys are shuffled once.
-
-    Linked sets share most of their keys. Keys that the same nodes have are one bucket,
-    which is named by its nodes, so nodes meet once and not under each key.
-    """
-    own = Window.partitionBy("bucket")
-    nodes = F.struct(F.bit_xor(F.xxhash64("node")).over(own), F.count(F.lit(1)).over(own), F.min("node").over(own), F.max("node").over(own))
-    met = spread.select("node", nodes.alias("nodes"), F.max(F.expr(some)).over(own).alias("met")).where("met").select("node", "nodes.*").toDF("node", "mixed", "shared", "pivot", "last").where("pivot < last")
-    return met.select(F.xxhash64("mixed", "shared", "pivot", "last").alias("bucket"), "node", "pivot").distinct()
-
-
 def _with_skipped(texts: DataFrame, skipped: DataFrame) -> DataFrame:
     """Texts of the nodes that skip segments, with these; up to BROADCAST_IDS nodes, no other text is shuffled."""
     if skipped.count() <= BROADCAST_IDS:
@@ -205,9 +193,9 @@ def similarity_classes(docs: DataFrame, words: int = 5, threshold_percent: int =
         texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "node")
         deleted = cut(_with_skipped(texts, cut(skipped)).mapInArrow(_deletions(words, partition), "node long, keys array<long>, wholes array<long>"))
         of = lambda keys, whole: deleted.select(F.explode(keys).alias("bucket"), "node", F.lit(whole).alias("whole"))
-        members = _members(spread.join(small, "bucket", "left_anti")).unionByName(_members(of("keys", False).unionByName(of("wholes", True)), "whole"))
+        members = members_of(spread.join(small, "bucket", "left_anti")).unionByName(members_of(of("keys", False).unionByName(of("wholes", True)), "whole"))
     else:
-        members = _members(spread)
+        members = members_of(spread)
     members = cut(members)
 
     # the texts of one id are one vertex

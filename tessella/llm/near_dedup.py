@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.clusters import components_of
+from tessella.llm.clusters import components_of, members_of
 from tessella.llm.common import column_buffers, cut, slices
 from tessella.llm.textscan import U, lowered, mix, run_hashes, word_hashes, words_of
 
@@ -228,9 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     keyed = signed.where("k0 IS NOT NULL AND doc_id IS NOT NULL")
     reps, own_rows = representatives(keyed)
     nodes = cut(own_rows.select("node", F.col("n_shingles").alias("n"), "bands", *BITMAPS))
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    members = cut(spread.join(shared.select("bucket", "pivot"), "bucket").distinct())
+    members = cut(members_of(nodes.select(F.explode("bands").alias("bucket"), "node")))
 
     # the texts of one id are one vertex
     own = keyed.join(reps, ["k0", "k1"]).select("doc_id", "node")

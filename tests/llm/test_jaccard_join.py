@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import jaccard_join, near_dedup, queries
+from tessella.llm import clusters, jaccard_join, near_dedup, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,9 +89,9 @@ def test_odd_inputs(spark):
 def test_keys_without_a_whole_part_link_nothing(spark):
     """Parts that differ in one shingle are a whole one and one without a shingle; two that both lack one differ in two."""
     spread = spark.createDataFrame([(1, 10, True), (1, 11, False), (2, 10, False), (2, 11, False), (3, 12, True), (4, 10, True), (4, 11, True)], "bucket long, node long, whole boolean")
-    assert sorted((r.node, r.pivot) for r in jaccard_join._members(spread, "whole").collect()) == [(10, 10), (11, 10)]  # buckets 1 and 4 have the same nodes
-    assert jaccard_join._members(spread.where("bucket = 2"), "whole").count() == 0
-    assert jaccard_join._members(spread.where("bucket = 2")).count() == 2
+    assert sorted((r.node, r.pivot) for r in clusters.members_of(spread, "whole").collect()) == [(10, 10), (11, 10)]  # buckets 1 and 4 have the same nodes
+    assert clusters.members_of(spread.where("bucket = 2"), "whole").count() == 0
+    assert clusters.members_of(spread.where("bucket = 2")).count() == 2
 
 
 def test_only_texts_that_skip_segments_are_shuffled(spark, monkeypatch):

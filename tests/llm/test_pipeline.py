@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import near_dedup, substring_dedup
@@ -116,3 +117,24 @@ def test_documents_keep_columns_that_are_named_like_the_operators(spark):
     rows = made.orderBy("doc_id").collect()
     assert [(r.text, r.n_chars) for r in rows] == [(text, len(text)), ("", 0)]
     assert [[r[n] for n in names] for r in rows] == [[f"{n} {d}" for n in names] for d in (1, 2)]
+
+
+def test_band_keys_are_shuffled_once_and_buckets_of_the_same_nodes_are_one(spark, monkeypatch):
+    """Copies that differ in a word share many bands: they meet in a few buckets, and each key goes through one exchange."""
+    text = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join(text[:150] + ([f"x{d}"] if d else []) + text[150:])) for d in range(6)] + [(9, "something else that nobody has")]
+    seen, own = [], near_dedup.cut
+
+    def watched(df):
+        if df.columns == ["bucket", "node", "pivot"]:
+            seen.append((df, df._jdf.queryExecution().optimizedPlan().toString()))
+        return own(df)
+
+    monkeypatch.setattr(near_dedup, "cut", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.keep_one(docs).collect()}
+    assert kept == {0, 9}
+    [(members, plan)] = seen
+    assert plan.count("Generate explode") == 1 and "Join" not in plan
+    named = [r.nodes for r in members.groupBy("bucket").agg(F.sort_array(F.collect_set("node")).alias("nodes")).collect()]
+    assert named and len(named) == len({tuple(x) for x in named})
