@@ -130,15 +130,22 @@ class FloatFormatter(BaseTransformer):
 
 
 class LogScaler(FloatFormatter):
-    """The logarithm of the distance from a constant."""
+    """The logarithm of the distance from a constant.
 
-    def __init__(self, missing_value_replacement: Any = "mean", missing_value_generation: str | None = "random", constant: float = 0.0, invert: bool = False, learn_rounding_scheme: bool = False):
+    Values at the constant or on its wrong side are an error. With ``refuse=False`` they
+    have the logarithms of floating-point arithmetic: minus infinity at the constant, NaN beyond.
+    """
+
+    #: What operators have that were stored before there was a choice.
+    refuse = True
+
+    def __init__(self, missing_value_replacement: Any = "mean", missing_value_generation: str | None = "random", constant: float = 0.0, invert: bool = False, learn_rounding_scheme: bool = False, refuse: bool = True):
         if not isinstance(constant, (int, float)):
             raise ValueError("constant must be a number")
         if not isinstance(invert, bool):
             raise ValueError("invert must be true or false")
         super().__init__(missing_value_replacement, None, learn_rounding_scheme, False, "Float", missing_value_generation)
-        self.constant, self.invert = constant, invert
+        self.constant, self.invert, self.refuse = constant, invert, refuse
 
     def requests(self, x, kinds):
         v = self.number(x)
@@ -148,16 +155,19 @@ class LogScaler(FloatFormatter):
         super().bind(stats, values)
         fill = self.null_transformer.value
         seen = [v for v in (stats["edge"], fill if stats["null_nulls"] else None) if v is not None]
-        if any(v >= self.constant if self.invert else v <= self.constant for v in seen):
+        if self.refuse and any(v >= self.constant if self.invert else v <= self.constant for v in seen):
             wrong = lambda v: v >= self.constant if self.invert else v <= self.constant
             raise OutOfBoundsError(f"column '{self.columns[0]}' has values that aren't {'below' if self.invert else 'above'} the constant {self.constant}, so they have no logarithm", wrong)
 
     def forward(self, df, x, draws):
         v, flags = self.filled(df, x, draws)
         gap = F.lit(float(self.constant)) - v if self.invert else v - F.lit(float(self.constant))
-        # a value on the wrong side is an error, not a null
-        checked = F.when(gap > 0, F.log(gap)).when(gap.isNotNull(), F.raise_error(F.lit(f"column '{self.columns[0]}' has a value on the wrong side of {self.constant}")).cast("double"))
-        return df, {None: checked} | flags
+        found = F.when(gap > 0, F.log(gap))
+        if self.refuse:  # a value on the wrong side is an error, not a null
+            found = found.when(gap.isNotNull(), F.raise_error(F.lit(f"column '{self.columns[0]}' has a value on the wrong side of {self.constant}")).cast("double"))
+        else:  # Spark's logarithm has nulls there
+            found = found.when(gap == 0, F.lit(-math.inf)).when(gap < 0, F.lit(math.nan))
+        return df, {None: found} | flags
 
     def inverse(self, df, y, draws):
         v = F.lit(float(self.constant)) - F.exp(y[None]) if self.invert else F.exp(y[None]) + F.lit(float(self.constant))
