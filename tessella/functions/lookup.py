@@ -88,13 +88,20 @@ class Dictionary:
         joined = df.join(side, key.eqNullSafe(F.col(names[by])), "left")
         return joined, {c: F.col(names[c]) for c in wanted}
 
-    def interval(self, df: DataFrame, v: Column, wanted: str, closed: str = "right") -> tuple[DataFrame, Column]:
-        """``wanted`` of the interval (lo, hi] or [lo, hi) that holds ``v`` in [0, 1]; the first holds 0, the last 1."""
+    def interval(self, df: DataFrame, v: Column, wanted: str, closed: str = "right", strict: bool = False) -> tuple[DataFrame, Column]:
+        """``wanted`` of the interval (lo, hi] or [lo, hi) that holds ``v`` in [0, 1]; the first holds 0, the last 1.
+
+        ``strict``: of the interval that holds any ``v`` by its own bounds; null for none.
+        """
         if self.rows is not None and len(self.rows) <= CASES:
             rows = sorted((r for r in self.rows if r["hi"] > r["lo"] or len(self.rows) == 1), key=lambda r: r["lo"])
             if not rows:
                 return df, F.lit(None).cast(self.kinds[wanted])
             out = F.when(v.isNull(), F.lit(None).cast(self.kinds[wanted]))
+            if strict:
+                for r in rows:
+                    out = out.when((v > r["lo"]) & (v <= r["hi"]) if closed == "right" else (v >= r["lo"]) & (v < r["hi"]), typed(r[wanted], self.kinds[wanted]))
+                return df, out
             for r in rows[:-1]:
                 out = out.when(v <= r["hi"] if closed == "right" else v < r["hi"], typed(r[wanted], self.kinds[wanted]))
             return df, out.otherwise(typed(rows[-1][wanted], self.kinds[wanted]))
@@ -104,7 +111,9 @@ class Dictionary:
         tag = uuid4().hex[:8]
         lo, hi, at, name = (f"_{c}_{tag}" for c in ("lo", "hi", "at", "it"))
         side = table.where("hi > lo").select(F.col("lo").alias(lo), F.col("hi").alias(hi), F.col(wanted).alias(name), F.explode(F.sequence(F.floor(F.col("lo") * n), F.floor(F.col("hi") * n))).alias(at))
-        inside = ((v > F.col(lo)) & (v <= F.col(hi))) | ((v == 0) & (F.col(lo) == 0)) if closed == "right" else ((v >= F.col(lo)) & (v < F.col(hi))) | ((v >= 1) & (F.col(hi) >= 1))
+        inside = (v > F.col(lo)) & (v <= F.col(hi)) if closed == "right" else (v >= F.col(lo)) & (v < F.col(hi))
+        if not strict:
+            inside = inside | ((v == 0) & (F.col(lo) == 0) if closed == "right" else (v >= 1) & (F.col(hi) >= 1))
         joined = df.join(side, (bucket == F.col(at)) & inside, "left")
         return joined, F.col(name)
 
